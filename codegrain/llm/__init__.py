@@ -4,7 +4,7 @@ Functions that run in Python workers are pickled by value, so executors need
 no copy of this package on their import path.
 """
 
-import importlib
+import importlib.util
 
 from pyspark import cloudpickle
 
@@ -20,5 +20,5 @@ _WORKER_MODULES = (
     "outliers",
 )
 
-for _name in ():
+for _name in (m for m in _WORKER_MODULES if importlib.util.find_spec(f"{__name__}.{m}")):
     cloudpickle.register_pickle_by_value(importlib.import_module(f"{__name__}.{_name}"))
