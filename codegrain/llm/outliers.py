@@ -36,7 +36,7 @@ SPAN = 8
 MIN_WORDS = 20
 MAX_REPEAT = 30
 MIN_GROUP = 200
-STEPS = 4
+STEPS = 3
 BINS = 4096
 #: Scale floor per statistic: what counts as no spread at all.
 FLOOR = 0.02
@@ -104,63 +104,59 @@ def vector() -> list[Column]:
         F.sqrt(F.col("n_upper") / c) * noise,
         F.sqrt(F.col("n_punct") / n) * noise,
         F.log(F.col("n_distinct") / n) / F.log(n + 1) * noise,
-        F.sqrt(F.col("n_repeat_words") / n),
     ]
 
 
-def _moments(df: DataFrame, keys: list[str], p: int) -> DataFrame:
-    x = [F.col(f"x{i}") for i in range(p)]
-    return df.groupBy(*keys).agg(F.count("*").alias("m"), F.array(*[F.avg(a) for a in x]).alias("mean"), F.array(*[F.covar_pop(x[i], x[j]) for i in range(p) for j in range(p)]).alias("cov"))
+def _upper(p: int) -> list[tuple[int, int]]:
+    return [(i, j) for i in range(p) for j in range(i, p)]
 
 
 def _invert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Upper triangles of covariances -> of their inverses."""
     for b in batches:
         out = []
         for row in b.column("cov").to_pylist():
-            p = round(len(row) ** 0.5)
-            cov = np.array(row, float).reshape(p, p) + FLOOR**2 * np.eye(p)
-            out.append(np.linalg.inv(cov).ravel().tolist())
-        yield pa.RecordBatch.from_arrays([b.column(n) for n in b.schema.names if n != "cov"] + [pa.array(out, pa.list_(pa.float64()))], [n for n in b.schema.names if n != "cov"] + ["inv"])
+            p = int((2 * len(row)) ** 0.5)
+            cov = np.zeros((p, p))
+            cov[np.triu_indices(p)] = row
+            cov = np.triu(cov) + np.triu(cov, 1).T + FLOOR**2 * np.eye(p)
+            out.append(np.linalg.inv(cov)[np.triu_indices(p)].tolist())
+        keep = [n for n in b.schema.names if n != "cov"]
+        yield pa.RecordBatch.from_arrays([b.column(n) for n in keep] + [pa.array(out, pa.list_(pa.float64()))], [*keep, "inv"])
+
+
+def _away(rows: DataFrame, p: int) -> DataFrame:
+    """Adds dist, the squared Mahalanobis distance to the model that rows carry."""
+    rows = rows.withColumns({f"d{i}": F.col(f"x{i}") - F.col("mean")[i] for i in range(p)})
+    total = F.lit(0.0)
+    for k, (i, j) in enumerate(_upper(p)):
+        total = total + F.col(f"d{i}") * F.col(f"d{j}") * F.col("inv")[k] * (1 if i == j else 2)
+    return rows.withColumn("dist", total).drop(*[f"d{i}" for i in range(p)])
 
 
-def _distance(p: int) -> Column:
-    d = [F.col(f"x{i}") - F.col("mean")[i] for i in range(p)]
-    total = F.lit(0.0)
-    for i in range(p):
-        for j in range(p):
-            total = total + d[i] * d[j] * F.col("inv")[i * p + j]
-    return total
-
-
-def _null_safe(df: DataFrame, model: DataFrame, keys: list[str]) -> DataFrame:
-    return df.join(model, keys, "left") if keys else df.crossJoin(F.broadcast(model))
-
-
-def _fit(rows: DataFrame, keys: list[str], p: int) -> DataFrame:
-    """(keys, n, mean, inv, scale): concentration steps on rows grouped by keys."""
-    spread = [F.percentile_approx(f"x{i}", F.lit(0.5), F.lit(1000)).alias(f"c{i}") for i in range(p)]
-    centre = rows.groupBy(*keys).agg(F.count("*").alias("n"), *spread)
-    off = _null_safe(rows, centre, keys)
-    mads = off.groupBy(*keys).agg(F.first("n").alias("n"), *[F.first(f"c{i}").alias(f"c{i}") for i in range(p)], *[F.percentile_approx(F.abs(F.col(f"x{i}") - F.col(f"c{i}")), F.lit(0.5), F.lit(1000)).alias(f"d{i}") for i in range(p)])
-    cov = F.array(*[(F.pow(1.4826 * F.col(f"d{i}"), 2) if i == j else F.lit(0.0)) for i in range(p) for j in range(p)])
-    model = mads.select(*keys, "n", F.array(*[f"c{i}" for i in range(p)]).alias("mean"), cov.alias("cov"))
-    kinds = {**{k: "string" for k in keys}, "n": "long", "mean": "array<double>", "inv": "array<double>"}
-    schema = ", ".join(f"{k} {t}" for k, t in kinds.items())
-    model = cut(model.mapInArrow(_invert, schema), "mcd")
+KEYS = ["level", "gl", "gs"]
+
+
+def fit(rows: DataFrame, p: int) -> DataFrame:
+    """(level, gl, gs, x0..) rows -> (level, gl, gs, n, mean, inv, half): estimates of every group, half its median squared distance."""
+    centre = rows.groupBy(*KEYS).agg(F.count("*").alias("n"), *[F.percentile_approx(f"x{i}", F.lit(0.5), F.lit(1000)).alias(f"c{i}") for i in range(p)])
+    off = rows.join(centre, KEYS).groupBy(*KEYS).agg(F.first("n").alias("n"), F.array(*[F.first(f"c{i}") for i in range(p)]).alias("mean"), *[F.percentile_approx(F.abs(F.col(f"x{i}") - F.col(f"c{i}")), F.lit(0.5), F.lit(1000)).alias(f"d{i}") for i in range(p)])
+    cov = F.array(*[F.pow(1.4826 * F.col(f"d{i}"), 2) if i == j else F.lit(0.0) for i, j in _upper(p)])
+    schema = "level int, gl string, gs string, n long, mean array<double>, inv array<double>"
+    model = cut(off.select(*KEYS, "n", "mean", cov.alias("cov")).mapInArrow(_invert, schema), "mcd")
     for step in range(STEPS + 1):
-        away = _null_safe(rows, model, keys).withColumn("dist", _distance(p))
-        bin_of = F.least(F.lit(BINS), F.floor(F.log1p("dist") * 200)).cast("int")
-        away = away.withColumn("bin", bin_of)
-        bins = away.groupBy(*keys, "bin").agg(F.count("*").alias("in_bin"), F.max("dist").alias("top"))
-        arr = bins.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("bin", "in_bin", "top"))).alias("bins"), F.sum("in_bin").alias("n"))
-        found = F.aggregate("bins", F.struct(F.lit(0).cast("long").alias("seen"), F.lit(None).cast("double").alias("at")), lambda a, x: F.struct((a["seen"] + x["in_bin"]).alias("seen"), F.when(a["at"].isNull() & ((a["seen"] + x["in_bin"]) * 2 >= F.col("n")), x["top"]).otherwise(a["at"]).alias("at")))
-        halves = arr.select(*keys, found["at"].alias("half"))
+        away = _away(rows.join(model, KEYS), p)
+        bins = away.groupBy(*KEYS, F.least(F.lit(BINS), F.floor(F.log1p("dist") * 200)).cast("int").alias("bin")).agg(F.count("*").alias("in_bin"), F.max("dist").alias("top"))
+        per = bins.groupBy(*KEYS).agg(F.array_sort(F.collect_list(F.struct("bin", "in_bin", "top"))).alias("bins"), F.sum("in_bin").alias("m"))
+        start = F.struct(F.lit(0).cast("long").alias("seen"), F.lit(None).cast("double").alias("at"))
+        found = F.aggregate("bins", start, lambda a, x: F.struct((a["seen"] + x["in_bin"]).alias("seen"), F.when(a["at"].isNull() & ((a["seen"] + x["in_bin"]) * 2 >= F.col("m")), x["top"]).otherwise(a["at"]).alias("at")))
+        halves = per.select(*KEYS, found["at"].alias("half"))
         if step == STEPS:
-            return cut(_null_safe(model, halves, keys).select(*keys, "n", "mean", "inv", F.greatest("half", F.lit(1.0)).alias("half")), "mcd")
-        core = _null_safe(away.drop("n", "mean", "inv"), halves, keys).filter(F.col("dist") <= F.col("half"))
-        moments = _moments(core, keys, p)
-        n = _null_safe(moments, model.select(*keys, "n"), keys)
-        model = cut(n.select(*keys, "n", "mean", F.transform("cov", lambda c: c * 2.5).alias("cov")).mapInArrow(_invert, schema), "mcd")
+            return cut(model.join(halves, KEYS).withColumn("half", F.greatest("half", F.lit(1.0))), "mcd")
+        core = away.join(halves, KEYS).filter(F.col("dist") <= F.col("half"))
+        sums = core.groupBy(*KEYS).agg(F.first("n").alias("n"), F.array(*[F.avg(f"x{i}") for i in range(p)]).alias("mean"), F.array(*[F.covar_pop(f"x{i}", f"x{j}") for i, j in _upper(p)]).alias("cov"))
+        # the inner half of a normal sample has a smaller spread; the factor makes up for it
+        model = cut(sums.withColumn("cov", F.transform("cov", lambda c: c * 2.5)).mapInArrow(_invert, schema), "mcd")
     raise AssertionError
 
 
@@ -170,17 +166,20 @@ def judge(docs: DataFrame) -> DataFrame:
     stats = cut(measured(docs).withColumn("base_failed", failed), "stats")
     vec = vector()
     p = len(vec)
-    keyed = stats.withColumns({"gl": F.coalesce(F.concat(F.lit("s"), "lang"), F.lit("n")), "gs": F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n"))})
-    keyed = keyed.select("*", *[F.when(~F.col("base_failed"), v).alias(f"x{i}") for i, v in enumerate(vec)])
-    rows = keyed.filter(~F.col("base_failed")).select("gl", "gs", *[f"x{i}" for i in range(p)])
-    by_group, by_lang = _fit(rows, ["gl", "gs"], p), _fit(rows, ["gl"], p)
-    good = lambda m: m.filter(F.col("n") >= MIN_GROUP)
+    group = lambda c: F.coalesce(F.concat(F.lit("s"), F.col(c)), F.lit("n"))
+    keyed = stats.select("*", group("lang").alias("gl"), group("source").alias("gs"), *[F.when(~F.col("base_failed"), v).alias(f"x{i}") for i, v in enumerate(vec)])
+    levels = F.array(F.struct(F.lit(0).alias("level"), "gl", "gs"), F.struct(F.lit(1).alias("level"), "gl", F.lit("").alias("gs")), F.struct(F.lit(2).alias("level"), F.lit("").alias("gl"), F.lit("").alias("gs")))
+    xs = [f"x{i}" for i in range(p)]
+    model = fit(keyed.filter(~F.col("base_failed")).select(F.explode(levels).alias("k"), *xs).select("k.*", *xs), p).filter(F.col("n") >= MIN_GROUP)
     chi_median = p * (1 - 2 / (9 * p)) ** 3
-    score = lambda: _distance(p) * chi_median / F.col("half")
-    first = _null_safe(keyed, good(by_group).drop("n"), ["gl", "gs"]).withColumn("near", score()).drop("mean", "inv", "half")
-    second = _null_safe(first, good(by_lang).drop("n"), ["gl"]).withColumn("distance", F.coalesce("near", score()))
+    scored = keyed
+    for level, on in ((0, ["gl", "gs"]), (1, ["gl"]), (2, [])):
+        own = model.filter(F.col("level") == level).select(*on, "mean", "inv", "half")
+        joined = scored.join(own, on, "left") if on else scored.join(F.broadcast(own), F.lit(True), "left")  # at most one row
+        scored = _away(joined, p).withColumn(f"near{level}", F.col("dist") * chi_median / F.col("half")).drop("mean", "inv", "half", "dist")
+    scored = scored.withColumn("distance", F.coalesce("near0", "near1", "near2"))
     kept = ~F.col("base_failed") & ~F.coalesce(F.col("distance") > CUTOFF, F.lit(False))
-    return second.select("doc_id", *NAMES, "base_failed", "distance", kept.alias("kept"))
+    return scored.select("doc_id", *NAMES, "base_failed", "distance", kept.alias("kept"))
 
 
 def op10_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
