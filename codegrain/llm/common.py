@@ -67,3 +67,35 @@ def worker_cache(name: str) -> dict:
 def text_bytes(name: str = "text") -> Column:
     """UTF-8 bytes of a text column, null as empty."""
     return F.coalesce(F.col(name), F.lit("")).cast("binary")
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, name: str, folds: int, held: int, rows: int) -> DataFrame:
+    """(text, label) of at most rows labelled documents outside the held fold, by least hash of the id.
+
+    Null and other labels are left out, an id's repeated labels count as their
+    largest, and each distinct text counts once.
+    """
+    known = labels.filter(F.col(name).isin(0, 1)).filter(fold(F.col("doc_id"), folds) != held).groupBy("doc_id").agg(F.max(name).cast("int").alias("label"))
+    few = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
+    got = docs.select("doc_id", text_bytes().alias("text")).join(F.broadcast(few), "doc_id")  # rows is the bound
+    return got.groupBy(F.xxhash64("text").alias("h")).agg(F.first("text").alias("text"), F.max("label").alias("label")).select("text", "label")
+
+
+def sigmoid_fit(x, y, steps: int = 200) -> tuple[float, float]:
+    """(a, b) of 1 / (1 + exp(-(a x + b))) by Newton steps with smoothed targets."""
+    import numpy as np
+
+    x, y = np.asarray(x, float), np.asarray(y, float)
+    pos, neg = y.sum(), len(y) - y.sum()
+    t = np.where(y > 0.5, (pos + 1) / (pos + 2), 1 / (neg + 2))
+    a, b = 0.0, float(np.log((pos + 1) / (neg + 1)))
+    for _ in range(steps):
+        p = 1 / (1 + np.exp(-np.clip(a * x + b, -30, 30)))
+        g, w = np.array([((p - t) * x).sum() + 1e-3 * a, (p - t).sum()]), np.maximum(p * (1 - p), 1e-9)
+        h = np.array([[(w * x * x).sum() + 1e-3, (w * x).sum()], [(w * x).sum(), w.sum() + 1e-9]])
+        step = np.linalg.solve(h, g)
+        step *= min(1.0, 2.0 / (np.abs(step).max() + 1e-12))
+        a, b = a - step[0], b - step[1]
+        if np.abs(step).max() < 1e-8:
+            break
+    return float(a), float(b)
