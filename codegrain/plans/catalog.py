@@ -2,10 +2,183 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from codegrain.operators import datoms, effects, hub, overlay, rules, symbols, traversal, views, wcag
+from codegrain.plans.projection import Graph, project, with_views
+from codegrain.sources import seeds
+from codegrain.streaming import changes
+
+_Q: dict[str, tuple[Callable, str | None, tuple[str, ...]]] = {}
+
+
+def query(name: str, sql: str | None, *needs: str):
+    """Register a function of a Graph (and the session and folder) with its SQL over the named views."""
+
+    def put(f: Callable):
+        _Q[name] = (f, sql, needs)
+        return f
+
+    return put
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {n: (lambda spark, sf_dir, f=f: f(project(spark, sf_dir), spark, sf_dir)) for n, (f, _, _) in _Q.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {n: with_views(sql, *needs) if needs else sql for n, (_, sql, needs) in _Q.items() if sql}
+
+
+# --- symbols and schema
+
+_SUMMARY = "entity_id, name, kind, split_part(entity_id, ':', 1) || '/' || file_path as file, start_line as line"
+_DETAILS = _SUMMARY + ", end_line, qualified_name, is_exported, visibility, type_signature, documentation"
+
+query("schema_kinds", "select kind, count(*) as count, cast(count(*) filter (where is_exported) as bigint) as exported_count from nodes group by kind", "nodes")(lambda g, *_: symbols.schema_kinds(g.nodes))
+query("schema_edges", "select edge_type, count(*) as count from edges group by edge_type", "edges")(lambda g, *_: symbols.schema_edges(g.edges))
+query("schema_stats", "select (select count(*) from nodes) as nodes, (select count(distinct file_path) from nodes) as files, (select count(distinct split_part(entity_id, ':', 2)) from nodes) as packages, (select count(*) from edges) as edges", "nodes", "edges")(lambda g, *_: symbols.schema_stats(g.nodes, g.edges))
+query("schema_tables", "select 'nodes' as table_name, count(*) as row_count from nodes union all select 'edges', count(*) from edges union all select 'effects', count(*) from effects union all select 'external_refs', count(*) from external_refs", "nodes", "edges", "effects", "external_refs")(lambda g, *_: symbols.schema_tables(nodes=g.nodes, edges=g.edges, effects=g.effects, external_refs=g.external_refs).drop("columns"))
+query("symbol_find_glob", f"select {_SUMMARY} from (select * from nodes where name like 'order\\_1%' escape '\\' order by file_path nulls last, start_line, entity_id limit 200 offset 20)", "nodes")(lambda g, *_: symbols.symbol_find(g.nodes, name="order_1*", limit=200, offset=20))
+query("symbol_find_counts", "select kind, count(*) as count from nodes where is_exported and entity_id like 'supply:%' group by kind", "nodes")(lambda g, *_: symbols.symbol_find(g.nodes, "counts", repo="supply", exported=True))
+query("symbol_find_details", f"select {_DETAILS} from (select * from nodes where kind = 'function' and file_path like 'Brand#1%' order by file_path, start_line, entity_id limit 1000)", "nodes")(lambda g, *_: symbols.symbol_find(g.nodes, "details", kind="function", file="Brand#1*", limit=1000))
+query("symbol_get", f"select {_DETAILS} from nodes where entity_id = 'supply:catalog:function:7'", "nodes")(lambda g, *_: symbols.symbol_get(g.nodes, "supply:catalog:function:7"))
+query("symbol_file", f"select {_SUMMARY} from (select * from nodes where file_path = 'hooks/3.tsx' order by start_line, entity_id limit 100)", "nodes")(lambda g, *_: symbols.symbol_file(g.nodes, "hooks/3.tsx"))
+query("doc_coverage", "select file_path, count(*) as symbols, count(documentation) as documented, cast(round(count(documentation) * 100.0 / count(*), 1) as double) as coverage from nodes group by file_path having count(*) >= 5", "nodes")(lambda g, *_: symbols.doc_coverage(g.nodes, 5))
+query("kind_shares", "select kind, count(*) as count, cast(round(count(*) * 100.0 / sum(count(*)) over (), 2) as double) as percent from nodes group by kind", "nodes")(lambda g, *_: symbols.kind_shares(g.nodes))
+query("decorator_usage", "select decorator, count(*) as uses from (select unnest(decorators) as decorator from nodes) group by decorator", "nodes")(lambda g, *_: symbols.decorator_usage(g.nodes))
+query("duplicate_names", "select name, count(*) as count, count(distinct split_part(entity_id, ':', 2)) as packages from nodes group by name having count(*) > 1", "nodes")(lambda g, *_: symbols.duplicate_names(g.nodes))
+query("unused_exports", "select entity_id, name, kind from nodes n where is_exported and not exists (select 1 from edges e where e.edge_type = 'IMPORTS' and e.target_entity_id = n.entity_id)", "nodes", "edges")(lambda g, *_: symbols.unused_exports(g.nodes, g.edges))
+query("most_called", "select target_entity_id, count(*) as calls from edges where edge_type = 'CALLS' group by 1 order by calls desc, 1 limit 20", "edges")(lambda g, *_: symbols.most_called(g.edges))
+query("orphan_edges", "select count(*) as orphans from (select source_entity_id, target_entity_id from edges union all select 'gone:' || source_entity_id, target_entity_id from clicks) e where not exists (select 1 from nodes n where n.entity_id = e.source_entity_id)", "nodes", "edges", "clicks")(lambda g, *_: symbols.orphan_edges(g.edges.select("source_entity_id", "target_entity_id").unionByName(g.clicks.select(F.concat(F.lit("gone:"), "source_entity_id").alias("source_entity_id"), "target_entity_id")), g.nodes).agg(F.count("*").alias("orphans")))
+query("integrity", "select (select count(*) from nodes) as node_count, (select count(distinct file_path) from nodes) as file_count, (select count(*) from edges) as edge_count, (select count(*) from external_refs) as ref_count, (select count(*) from external_refs where not is_resolved) as unresolved_count, (select count(*) from edges e where not exists (select 1 from nodes n where n.entity_id = e.source_entity_id)) as orphan_count", "nodes", "edges", "external_refs")(lambda g, *_: symbols.integrity(g.nodes, g.edges, g.external_refs))
+query("edges_named", "select e.edge_type, s.kind as source_kind, t.kind as target_kind, count(*) as count from edges e join nodes s on s.entity_id = e.source_entity_id join nodes t on t.entity_id = e.target_entity_id group by 1, 2, 3", "nodes", "edges")(lambda g, *_: symbols.endpoints(g.edges, g.nodes).groupBy("edge_type", "source_kind", "target_kind").agg(F.count("*").alias("count")))
+query("mutual_edges", "select distinct a.source_entity_id, a.target_entity_id from clicks a join clicks b on a.source_entity_id = b.target_entity_id and a.target_entity_id = b.source_entity_id where a.source_entity_id < a.target_entity_id", "clicks")(lambda g, *_: symbols.mutual_edges(g.clicks))
+query("symbol_at_line", "select file_path, line, entity_id from (select p.file_path, p.line, n.entity_id, row_number() over (partition by p.file_path, p.line order by n.end_line - n.start_line, n.start_line, n.entity_id) as rn from (select distinct source_file_path as file_path, source_line as line from effects) p join nodes n on n.file_path = p.file_path and p.line between n.start_line and n.end_line) where rn = 1", "nodes", "effects")(lambda g, *_: symbols.symbol_at_line(g.nodes, g.effects.select(F.col("source_file_path").alias("file_path"), F.col("source_line").alias("line")).distinct()))
+
+# --- traversal
+
+_SEEDS = "select min(source_entity_id) as entity_id from clicks"
+
+
+def _seed(g: Graph) -> DataFrame:
+    return g.clicks.agg(F.min("source_entity_id").alias("entity_id"))
+
+
+def _walk(a: str, b: str, depth: int, edges: str, closed: bool, seeds: str) -> str:
+    path = f"[e.{a}, e.{b}]" if closed else f"[e.{b}]"
+    return f"""with hop as (select distinct source_entity_id, target_entity_id, edge_type from {edges}), seeds as ({seeds}),
+w as (select e.{a} as here, e.{b} as there, e.edge_type, {path} as path, 1 as depth from hop e join seeds s on e.{a} = s.entity_id
+ union all select e.{a}, e.{b}, e.edge_type, list_append(w.path, e.{b}), w.depth + 1 from w join hop e on e.{a} = w.there where w.depth < {depth} and not list_contains(w.path, e.{b}))
+"""
+
+
+_S, _T = "source_entity_id", "target_entity_id"
+query("graph_deps_1", f"select e.source_entity_id, e.target_entity_id, e.edge_type, 1 as depth from (select distinct source_entity_id, target_entity_id, edge_type from edges) e where e.source_entity_id = 'geo:atlas:module:3'", "edges")(lambda g, spark, _: traversal.graph_deps(g.edges, spark.createDataFrame([("geo:atlas:module:3",)], "entity_id string")))
+query("graph_deps_cyclic", _walk(_S, _T, 3, "clicks", False, _SEEDS) + "select here as source_entity_id, there as target_entity_id, edge_type, min(depth) as depth from w group by 1, 2, 3", "clicks")(lambda g, *_: traversal.graph_deps(g.clicks, _seed(g), 3))
+query("graph_dependents_cyclic", _walk(_T, _S, 2, "clicks", False, _SEEDS) + "select there as source_entity_id, here as target_entity_id, edge_type, min(depth) as depth from w group by 1, 2, 3", "clicks")(lambda g, *_: traversal.graph_dependents(g.clicks, _seed(g), 2))
+query("graph_deps_layers", _walk(_S, _T, 4, "edges", False, "select 'geo:atlas:namespace:1' as entity_id") + "select edge_type, depth, count(*) as edges from (select here, there, edge_type, min(depth) as depth from w group by 1, 2, 3) group by 1, 2", "edges")(lambda g, spark, _: traversal.graph_deps(g.edges, spark.createDataFrame([("geo:atlas:namespace:1",)], "entity_id string"), 4).groupBy("edge_type", "depth").agg(F.count("*").alias("edges")))
+query("call_graph", _walk(_S, _T, 2, "clicks", True, _SEEDS) + ", m as (select distinct there, depth from w where here <> there) select n.entity_id, m.depth, n.name, n.kind, n.file_path from m join nodes n on n.entity_id = m.there order by m.depth, n.name, n.entity_id limit 100", "clicks", "nodes")(lambda g, *_: traversal.call_graph(g.clicks, g.nodes, _seed(g), 2))
+query("graph_imports", "select e.source_entity_id, e.target_entity_id, n.name as target_name, n.kind as target_kind from edges e left join nodes n on n.entity_id = e.target_entity_id where e.edge_type in ('IMPORTS', 'RE_EXPORTS')", "edges", "nodes")(lambda g, *_: traversal.graph_imports(g.edges, g.nodes).select("source_entity_id", "target_entity_id", "target_name", "target_kind"))
+query("affected", f"with seeds as ({_SEEDS}), a as (select distinct e.source_entity_id as id from clicks e join seeds s on e.target_entity_id = s.entity_id where e.source_entity_id <> s.entity_id), b as (select distinct e.source_entity_id as id from clicks e join a on e.target_entity_id = a.id where e.source_entity_id not in (select id from a) and e.source_entity_id not in (select entity_id from seeds)) select id as entity_id, 1 as depth, split_part(id, ':', 1) as repo, true as is_direct from a union all select id, 2, split_part(id, ':', 1), false from b", "clicks")(lambda g, *_: traversal.affected(g.clicks, _seed(g), 2))
+
+# --- effects
+
+query("effect_statistics", "select count(*) as total, count(*) filter (where effect_type = 'FunctionCall') as functioncall, count(*) filter (where effect_type = 'Store') as store, count(*) filter (where effect_type = 'Retrieve') as retrieve, count(*) filter (where effect_type = 'Send') as send, count(*) filter (where effect_type = 'Request') as request, count(*) filter (where effect_type = 'Response') as response, count(*) filter (where is_external) as external, count(distinct source_entity_id) as sources, count(distinct coalesce(target_resource, target)) as targets from effects", "effects")(lambda g, *_: effects.statistics(g.effects))
+query("effects_page", "select effect_id, effect_type, source_entity_id from effects where effect_type in ('Store', 'Send') order by timestamp desc, effect_id limit 50 offset 10", "effects")(lambda g, *_: effects.page(effects.effects_where(g.effects, types=["Store", "Send"]), 50, 10).select("effect_id", "effect_type", "source_entity_id"))
+query("effects_filtered", "select effect_id, callee_name from effects where is_external and is_async and callee_name like '%put%'", "effects")(lambda g, *_: effects.effects_where(g.effects, external=True, asynchronous=True, callee="put").select("effect_id", "callee_name"))
+query("effects_summary_file", "select source_file_path, count(*) as count from effects group by 1", "effects")(lambda g, *_: effects.summary(g.effects, "source_file_path"))
+query("callee_patterns", "select callee_name, is_method_call, is_async, is_external, external_module, count(*) as count from effects where effect_type = 'FunctionCall' group by all having count(*) >= 3", "effects")(lambda g, *_: effects.callee_patterns(g.effects, 3))
+query("workspace_effects", "select split_part(source_entity_id, ':', 1) as repo, count(*) filter (where lower(effect_type) = 'store') as store, count(*) filter (where lower(effect_type) = 'retrieve') as retrieve, count(*) filter (where lower(effect_type) in ('send', 'external')) as external, count(*) filter (where lower(effect_type) not in ('store', 'retrieve', 'send', 'external')) as other from effects group by 1", "effects")(lambda g, *_: effects.workspace_counts(g.effects))
+query("cross_patterns", "with n as (select source_file_path, callee_name, count(*) as n from effects where callee_name is not null group by 1, 2), r as (select *, row_number() over (partition by source_file_path order by n desc, callee_name) as rn from n) select callee_name, count(*) as groups, cast(sum(n) as bigint) as total from r where rn <= 10 group by 1 having count(*) >= 2", "effects")(lambda g, *_: effects.cross_patterns(g.effects, "source_file_path", 10))
+query("async_by_file", "select source_file_path, count(*) filter (where is_async) as async_calls, count(*) filter (where not is_async) as sync_calls from effects where effect_type = 'FunctionCall' group by 1", "effects")(lambda g, *_: effects.async_by_file(g.effects))
+query("effects_enriched", "select e.effect_type, coalesce(n.kind, 'unknown') as source_kind, count(*) as count from effects e left join nodes n on n.entity_id = e.source_entity_id group by 1, 2", "effects", "nodes")(lambda g, *_: effects.enriched(g.effects, g.nodes).groupBy("effect_type", "source_kind").agg(F.count("*").alias("count")))
+
+# --- rules and views
+
+
+def _case(column: str) -> str:
+    """DuckDB CASE chain of the built-in rules."""
+    def when(r: rules.Rule) -> str:
+        pattern, flags = (r.callee[4:], "i") if r.callee.startswith("(?i)") else (r.callee, "c")
+        more = " and is_external" if r.external else ""
+        return f"when effect_type = 'FunctionCall' and regexp_matches(callee_name, '{pattern}', '{flags}'){more} then '{getattr(r, column) or ''}'"
+
+    return "nullif(case " + " ".join(when(r) for r in rules.ordered(rules.BUILTIN)) + " end, '')"
+
+
+_RULED = f"with d as (select *, {_case('id')} as rule_id, {_case('domain')} as domain, {_case('action')} as action, {_case('provider')} as provider from effects), h as (select *, 'Hooks' as container from d where rule_id is not null) "
+query("run_rules", _RULED + "select effect_id, rule_id, domain, action, provider from h", "effects")(lambda g, *_: rules.run_rules(g.effects).select("effect_id", "rule_id", "domain", "action", "provider"))
+query("rule_stats", _RULED + "select i.rule_id, count(h.rule_id) as matches from (select unnest([" + ", ".join(f"'{r.id}'" for r in rules.BUILTIN) + "]) as rule_id) i left join h on h.rule_id = i.rule_id group by 1", "effects")(lambda g, *_: rules.rule_stats(g.effects))
+query("domain_summary", _RULED + "select domain, array_to_string(list_sort(list(distinct action)), ',') as actions, count(*) as count from h group by 1", "effects")(lambda g, *_: views.domain_summary(rules.run_rules(g.effects)))
+query("containers", _RULED + "select container, count(distinct source_entity_id) as components, count(*) as effects, array_to_string(list_sort(list(distinct domain)), ',') as domains from h group by 1", "effects")(lambda g, *_: views.containers(rules.grouped(rules.run_rules(g.effects))))
+query("external_systems", _RULED + "select domain, provider, count(*) as count from h where is_external and provider is not null group by 1, 2", "effects")(lambda g, *_: views.external_systems(rules.run_rules(g.effects)))
+query("relationships", _RULED + "select container, domain, count(*) as count, array_to_string(list_sort(list(distinct action))[1:3], '/') as label from h group by 1, 2", "effects")(lambda g, *_: views.relationships(rules.grouped(rules.run_rules(g.effects))))
+query("boundaries", _RULED + "select domain, count(distinct source_file_path) as files, count(distinct source_entity_id) as components, round(least(1.0, count(distinct source_entity_id)::double / greatest(1, 2 * count(distinct source_file_path))), 6) as cohesion from h group by 1", "effects")(lambda g, *_: views.boundaries(rules.run_rules(g.effects)))
+query("flow_steps", _RULED + "select * from (select domain, coalesce(provider, 'internal') as provider, effect_id, row_number() over (partition by domain, coalesce(provider, 'internal') order by length(effect_id), effect_id) as step from h) where step <= 8", "effects")(lambda g, *_: views.flow_steps(rules.run_rules(g.effects)).select("domain", "provider", "effect_id", "step"))
+query("significance", _RULED + ", n as (select target_entity_id, count(*) as dependents from clicks group by 1) select case when domain in ('Payment', 'Auth') then 'critical' when domain = 'Observability' then 'hidden' when domain = 'Database' and action = 'Write' then 'important' when coalesce(dependents, 0) >= 10 then 'important' else 'minor' end as significance, count(*) as count from h left join n on n.target_entity_id = h.source_entity_id group by 1", "effects", "clicks")(lambda g, *_: rules.significance(rules.run_rules(g.effects), g.clicks.groupBy(F.col("target_entity_id").alias("source_entity_id")).agg(F.count("*").alias("dependents"))).groupBy("significance").agg(F.count("*").alias("count")))
+query("mapped_effects", "select case when effect_type <> 'FunctionCall' then effect_type when regexp_matches(callee_name, '(put|create|insert|write|save)', 'i') then 'Store' when regexp_matches(callee_name, '(get|find|query|read|select)', 'i') then 'Retrieve' when regexp_matches(callee_name, '(send|publish|fetch|post)', 'i') then 'Send' else 'FunctionCall' end as mapped_type, count(*) as count from effects group by 1", "effects")(lambda g, *_: rules.mapped(g.effects).groupBy("mapped_type").agg(F.count("*").alias("count")))
+query("internal_relationships", "select s.c as source, t.c as target, count(*) as calls from edges e join (select entity_id, kind as c from nodes) s on s.entity_id = e.source_entity_id join (select entity_id, kind as c from nodes) t on t.entity_id = e.target_entity_id where e.edge_type = 'CALLS' and s.c <> t.c group by 1, 2", "edges", "nodes")(lambda g, *_: views.internal_relationships(g.edges, g.nodes.select("entity_id", F.col("kind").alias("container"))))
+query("f1_of_sets", "with a as (select distinct source_entity_id as k from edges where edge_type = 'CONTAINS'), p as (select distinct target_entity_id as k from edges where edge_type = 'CONTAINS'), n as (select count(*) filter (where a.k is not null and p.k is not null) as tp, count(*) filter (where a.k is null) as fp, count(*) filter (where p.k is null) as fn from a full join p on a.k = p.k), r as (select *, case when tp + fp > 0 then tp::double / (tp + fp) else 0 end as precision, case when tp + fn > 0 then tp::double / (tp + fn) else 0 end as recall from n) select tp, fp, fn, round(precision, 6) as precision, round(recall, 6) as recall, round(case when precision + recall > 0 then 2 * precision * recall / (precision + recall) else 0 end, 6) as f1 from r", "edges")(lambda g, *_: (lambda e: views.f1(e.select(F.col("source_entity_id").alias("k")), e.select(F.col("target_entity_id").alias("k")), "k"))(g.edges.filter("edge_type = 'CONTAINS'")))
+
+# --- overlay and merges
+
+
+def _branched(g: Graph) -> tuple[DataFrame, DataFrame]:
+    key = F.element_at(F.split("entity_id", ":"), -1).cast("long")
+    n = g.nodes.filter(F.col("kind") == "method").select("entity_id", "name", "file_path", key.alias("key"))
+    base = n.filter("key % 10 < 9").withColumn("is_deleted", F.lit(False))
+    return base, n.filter("key % 10 >= 8").withColumns({"name": F.concat(F.lit("new_"), "name"), "is_deleted": F.col("key") % 40 == 8})
+
+
+_BRANCHED = "with n as (select entity_id, name, file_path, cast(split_part(entity_id, ':', 4) as bigint) as key from nodes where kind = 'method'), base as (select *, false as is_deleted from n where key % 10 < 9), branch as (select * replace ('new_' || name as name), key % 40 = 8 as is_deleted from n where key % 10 >= 8) "
+query("overlay_nodes", _BRANCHED + "select entity_id, name from branch where not is_deleted union all select entity_id, name from base b where not exists (select 1 from branch r where r.entity_id = b.entity_id)", "nodes")(lambda g, *_: overlay.overlay(*_branched(g), overlay.KEYS["nodes"]).select("entity_id", "name"))
+query("upsert_nodes", _BRANCHED + "select entity_id, name from (select *, row_number() over (partition by entity_id order by src desc) as rn from (select entity_id, name, 0 as src from base union all select entity_id, name, 1 from branch)) where rn = 1", "nodes")(lambda g, *_: overlay.upsert(*(x.select("entity_id", "name", F.lit(0).alias("at")) for x in _branched(g)), ["entity_id"], F.col("at")).select("entity_id", "name"))
+query("diff_nodes", _BRANCHED + "select coalesce(a.entity_id, b.entity_id) as entity_id, case when a.entity_id is null then 'added' when b.entity_id is null then 'removed' else 'modified' end as change from base a full join branch b on a.entity_id = b.entity_id where a.name is distinct from b.name", "nodes")(lambda g, *_: overlay.diff(*_branched(g), ["entity_id"], ["name"]))
+query("incremental_merge", _BRANCHED + "select entity_id, name from base where file_path not in (select file_path from branch where is_deleted) union all select entity_id, name from branch where is_deleted", "nodes")(lambda g, *_: (lambda b, r: overlay.merge_files(b, r.filter("is_deleted"), r.filter("is_deleted"), "file_path").select("entity_id", "name"))(*_branched(g)))
+query("tombstones", _BRANCHED + "select count(*) as hidden from base where file_path in (select file_path from branch where is_deleted)", "nodes")(lambda g, *_: (lambda b, r: overlay.tombstones(b, r.filter("is_deleted"), "file_path").agg(F.count("*").alias("hidden")))(*_branched(g)))
+query("resolve_refs", "select module_specifier, count(*) as refs, count(*) filter (where is_resolved or try_cast(substr(imported_symbol, 4) as int) % 2 = 0) as resolved from external_refs group by 1", "external_refs")(lambda g, *_: overlay.resolve(g.external_refs, g.external_refs.select("imported_symbol").distinct().filter("cast(substr(imported_symbol, 4) as int) % 2 = 0").withColumn("resolved_id", F.concat(F.lit("to:"), "imported_symbol")), ["imported_symbol"]).groupBy("module_specifier").agg(F.count("*").alias("refs"), F.count_if("is_resolved").alias("resolved")))
+
+# --- hub
+
+query("diagnostics_query", "select diagnostic_id, severity, source from diagnostics where not resolved and severity in ('critical', 'error') and source = 'eslint' order by case severity when 'critical' then 0 else 1 end, updated_at desc, diagnostic_id limit 100", "diagnostics")(lambda g, *_: hub.diagnostics_ordered(hub.diagnostics_where(g.diagnostics, False, severity=["critical", "error"], source=["eslint"])).select("diagnostic_id", "severity", "source"))
+for _by in ("source", "severity", "category", "repo_id"):
+    query(f"diagnostics_by_{_by}", f"select {_by}, " + ", ".join(f"count(*) filter (where severity = '{s}') as {'n_' * (_by == 'severity') + s}" for s in hub.SEVERITIES) + f", count(*) as total from diagnostics where not resolved group by 1", "diagnostics")(lambda g, *_, by=_by: hub.diagnostics_summary(g.diagnostics, by).withColumnsRenamed({s: f"n_{s}" for s in hub.SEVERITIES} if by == "severity" else {}))
+query("diagnostics_counts", "select count(*) as total, count(*) filter (where not resolved) as unresolved, " + ", ".join(f"count(*) filter (where not resolved and severity = '{s}') as {s}" for s in hub.SEVERITIES) + " from diagnostics", "diagnostics")(lambda g, *_: hub.diagnostics_counts(g.diagnostics))
+query("validation_summary", "select file_path, count(*) filter (where severity in ('critical', 'error')) as errors, count(*) filter (where severity = 'warning') as warnings, count(*) as total from diagnostics group by 1", "diagnostics")(lambda g, *_: hub.validation_summary(g.diagnostics, "file_path"))
+query("mark_resolved", "select source, count(*) filter (where resolved or severity = 'note') as resolved from diagnostics group by 1", "diagnostics")(lambda g, *_: hub.mark_resolved(g.diagnostics, g.diagnostics.filter("severity = 'note'")).groupBy("source").agg(F.count_if("resolved").alias("resolved")))
+query("cross_repo_needs", "select module_specifier, case when module_specifier like '.%' then 'relative' when module_specifier like '@%' then 'scoped' else 'bare' end as module_kind, count(*) as refs, count(distinct imported_symbol) as symbols from external_refs where not is_resolved group by 1, 2", "external_refs")(lambda g, *_: hub.cross_repo_needs(g.external_refs))
+query("resolution_stats", "select source_file_path, count(*) as total, count(*) filter (where is_resolved) as resolved, cast(round(count(*) filter (where is_resolved) * 100.0 / count(*), 1) as double) as percent from external_refs group by 1", "external_refs")(lambda g, *_: hub.resolution_stats(g.external_refs))
+query("evaluation", "with s as (select case when doc_id % 2 = 0 then 'baseline' else 'enhanced' end as mode, quality, toxic from labels), l as (select mode, 'quality' as dimension, quality as score from s union all select mode, 'toxic', toxic from s), n as (select dimension, coalesce(avg(score) filter (where mode = 'baseline'), 0) as b, coalesce(avg(score) filter (where mode = 'enhanced'), 0) as e from l group by 1) select dimension, round(b, 6) as baseline, round(e, 6) as enhanced, round(e - b, 6) as delta from n")(lambda g, spark, d: hub.evaluation(_table(spark, d, "labels").select(F.when(F.col("doc_id") % 2 == 0, "baseline").otherwise("enhanced").alias("mode"), "quality", "toxic"), ["quality", "toxic"]))
+
+# --- attribute rows, pages, free SQL, change streams
+
+_DATOMS = "with datoms as (" + " union all ".join(f"select entity_id as e, ':node/{a}' as a, {a} as v from nodes where {a} is not null" for a in datoms.ATTRIBUTES) + ") "
+query("datom_counts", _DATOMS + "select a, count(*) as datoms, count(distinct e) as entities from datoms group by 1", "nodes")(lambda g, *_: datoms.attribute_counts(datoms.node_datoms(g.nodes)))
+query("datom_entity", _DATOMS + "select a, v from datoms where e = 'supply:catalog:function:11'", "nodes")(lambda g, *_: datoms.entity(datoms.node_datoms(g.nodes), "supply:catalog:function:11"))
+query("datom_by_value", _DATOMS + "select distinct e from datoms where a = ':node/visibility' and v = 'private'", "nodes")(lambda g, *_: datoms.with_attribute(datoms.node_datoms(g.nodes), ":node/visibility", "private"))
+query("datom_reverse_refs", "select distinct source_entity_id as e from edges where target_entity_id = 'supply:catalog:function:5'", "edges")(lambda g, *_: datoms.reverse_refs(datoms.edge_datoms(g.edges), "supply:catalog:function:5"))
+query("wcag_issues", r"with t as (select page_id, generate_subscripts(m, 1) as at, unnest(m) as tag from (select page_id, regexp_extract_all(html, '<[A-Za-z][^>]*>') as m from pages)), n as (select *, lower(regexp_extract(tag, '^<([A-Za-z][A-Za-z0-9]*)', 1)) as name from t), h as (select page_id, cast(name[2] as int) as level, lag(cast(name[2] as int)) over (partition by page_id order by at) as before from n where regexp_matches(name, '^h[1-6]$')), i as (select page_id, 'image-alt' as rule_id from n where name = 'img' and not regexp_matches(tag, '\balt=', 'i') union all select page_id, 'tabindex' from n where regexp_matches(tag, 'tabindex=[""'']?[1-9]', 'i') union all select page_id, 'heading-order' from h where level > before + 1) select rule_id, count(*) as issues, count(distinct page_id) as pages from i group by 1".replace('""', '"'))(lambda g, spark, d: wcag.issues(_table(spark, d, "pages")))
+query("raw_sql", "select kind, count(*) as n from nodes where is_async group by kind", "nodes")(lambda g, spark, _: seeds.query(spark, "select kind, count(*) as n from nodes@* where is_async group by kind", nodes=g.nodes))
+
+
+def _file_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kind = F.when(F.col("event_type") == "signup", "add").when(F.col("event_type") == "error", "unlink").otherwise("change")
+    return _table(spark, sf_dir, "events").select(F.concat(F.lit("src/f"), F.col("user_id").cast("string"), F.lit(".ts")).alias("path"), kind.alias("event"), F.col("props").alias("hash"), F.col("ts").cast("timestamp").alias("ts"), "event_id")
+
+
+@query("changed_content", "with f as (select 'src/f' || user_id || '.ts' as path, case event_type when 'signup' then 'add' when 'error' then 'unlink' else 'change' end as event, props as hash, ts from events), k as (select *, lag(case when event <> 'unlink' then hash end) over (partition by path order by ts, event) as known from f) select event, count(*) as events from k where event <> 'change' or hash is distinct from known group by 1")
+def _changed(g: Graph, spark: SparkSession, d: str) -> DataFrame:
+    return changes.changed_content(_file_events(spark, d)).groupBy("event").agg(F.count("*").alias("events"))
+
+
+@query("debounced_bursts", "with f as (select 'src/f' || user_id || '.ts' as path, ts from events), k as (select *, case when ts < lag(ts) over (partition by path order by ts) + interval 6 hour then 0 else 1 end as fresh from f), b as (select path, sum(fresh) over (partition by path order by ts rows unbounded preceding) as burst from k), n as (select path, burst, count(*) as events from b group by 1, 2) select events, count(*) as bursts from n group by 1")
+def _bursts(g: Graph, spark: SparkSession, d: str) -> DataFrame:
+    return changes.debounced(_file_events(spark, d), "6 hours").groupBy("events").agg(F.count("*").alias("bursts"))
