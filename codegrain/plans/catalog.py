@@ -165,7 +165,7 @@ query("datom_counts", _DATOMS + "select a, count(*) as datoms, count(distinct e)
 query("datom_entity", _DATOMS + "select a, v from datoms where e = 'supply:catalog:function:11'", "nodes")(lambda g, *_: datoms.entity(datoms.node_datoms(g.nodes), "supply:catalog:function:11"))
 query("datom_by_value", _DATOMS + "select distinct e from datoms where a = ':node/visibility' and v = 'private'", "nodes")(lambda g, *_: datoms.with_attribute(datoms.node_datoms(g.nodes), ":node/visibility", "private"))
 query("datom_reverse_refs", "select distinct source_entity_id as e from edges where target_entity_id = 'supply:catalog:function:5'", "edges")(lambda g, *_: datoms.reverse_refs(datoms.edge_datoms(g.edges), "supply:catalog:function:5"))
-query("wcag_issues", r"with t as (select page_id, generate_subscripts(m, 1) as at, unnest(m) as tag from (select page_id, regexp_extract_all(html, '<[A-Za-z][^>]*>') as m from pages)), n as (select *, lower(regexp_extract(tag, '^<([A-Za-z][A-Za-z0-9]*)', 1)) as name from t), h as (select page_id, cast(name[2] as int) as level, lag(cast(name[2] as int)) over (partition by page_id order by at) as before from n where regexp_matches(name, '^h[1-6]$')), i as (select page_id, 'image-alt' as rule_id from n where name = 'img' and not regexp_matches(tag, '\balt=', 'i') union all select page_id, 'tabindex' from n where regexp_matches(tag, 'tabindex=[""'']?[1-9]', 'i') union all select page_id, 'heading-order' from h where level > before + 1) select rule_id, count(*) as issues, count(distinct page_id) as pages from i group by 1".replace('""', '"'))(lambda g, spark, d: wcag.issues(_table(spark, d, "pages")))
+query("wcag_issues", r"with t as (select page_id, generate_subscripts(m, 1) as pos, unnest(m) as tag from (select page_id, regexp_extract_all(html, '<[A-Za-z][^>]*>') as m from pages)), n as (select *, lower(regexp_extract(tag, '^<([A-Za-z][A-Za-z0-9]*)', 1)) as name from t), h as (select page_id, cast(name[2] as int) as level, lag(cast(name[2] as int)) over (partition by page_id order by pos) as before from n where regexp_matches(name, '^h[1-6]$')), i as (select page_id, 'image-alt' as rule_id from n where name = 'img' and not regexp_matches(tag, '\balt=', 'i') union all select page_id, 'tabindex' from n where regexp_matches(tag, 'tabindex=[""'']?[1-9]', 'i') union all select page_id, 'heading-order' from h where level > before + 1) select rule_id, count(*) as issues, count(distinct page_id) as pages from i group by 1".replace('""', '"'))(lambda g, spark, d: wcag.issues(_table(spark, d, "pages")))
 query("raw_sql", "select kind, count(*) as n from nodes where is_async group by kind", "nodes")(lambda g, spark, _: seeds.query(spark, "select kind, count(*) as n from nodes@* where is_async group by kind", nodes=g.nodes))
 
 
