@@ -14,6 +14,7 @@ _WORKER_MODULES = (
     "secret_scan",
     "toxicity",
     "simhash",
+    "copies",
     "nbsvm",
     "suffix",
     "packing",

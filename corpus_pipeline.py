@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codegrain.llm import mixing, nbsvm, packing, secret_scan, simhash
+from codegrain.llm import copies, mixing, nbsvm, packing, secret_scan
 from codegrain.llm.common import cut, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -23,8 +23,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates the row with the least doc_id (null last)."""
     rows = cut(docs.select(F.monotonically_increasing_id().alias("rid"), *COLUMNS), "dedup")
-    groups = simhash.near_groups(rows.select(F.col("rid").alias("doc_id"), "text"))
-    ranked = groups.select(F.col("doc_id").alias("rid"), "component_id").join(rows.select("rid", "doc_id"), "rid")
+    ranked = copies.near_copies(rows).join(rows.select("rid", "doc_id"), "rid")
     stay = ranked.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "rid")).alias("m")).select("m.rid")
     return rows.join(stay, "rid", "left_semi").select(COLUMNS)
 
