@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import atexit
 import builtins
+import contextlib
+import gc
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,7 +16,8 @@ from pyspark.sql import functions as F
 #: Separators of a word: ASCII white space only.
 WORD = r"[^\x20\x09-\x0D]+"
 
-_WRITTEN: list[tuple[SparkSession, str]] = []
+_WRITTEN: list[tuple[SparkSession, str, str]] = []
+_SCOPE = [""]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,14 +39,26 @@ def cut(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/codegrain-{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    _WRITTEN.append((spark, path))
+    _WRITTEN.append((spark, path, _SCOPE[-1]))
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_cuts() -> None:
-    """Delete every table that cut() wrote.  Runs at exit; call it earlier once results are written."""
-    while _WRITTEN:
-        spark, path = _WRITTEN.pop()
+@contextlib.contextmanager
+def scope(name: str) -> Iterator[None]:
+    """Tables that cut() writes inside belong to name, for drop_cuts(name)."""
+    _SCOPE.append(name)
+    try:
+        yield
+    finally:
+        _SCOPE.pop()
+
+
+def drop_cuts(name: str | None = None) -> None:
+    """Delete the tables that cut() wrote, of one scope or all.  Runs at exit; call it earlier once results are written."""
+    gone = [x for x in _WRITTEN if name is None or x[2] == name]
+    for x in gone:
+        spark, path, _ = x
+        _WRITTEN.remove(x)
         try:
             jvm = spark.sparkContext._jvm
             where = jvm.org.apache.hadoop.fs.Path(path)
@@ -51,6 +67,12 @@ def drop_cuts() -> None:
             return
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of plans that nothing refers to any more: it does so when the driver's garbage is collected."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 atexit.register(drop_cuts)
 
 
@@ -60,8 +82,11 @@ def fold(doc_id: Column, folds: int) -> Column:
 
 
 def worker_cache(name: str) -> dict:
-    """A dict that outlives tasks within one Python worker."""
-    return builtins.__dict__.setdefault("_codegrain_cache", {}).setdefault(name, {})
+    """A dict that outlives tasks within one Python worker; a worker holds that of one name at a time, so memory stays bounded over stages."""
+    held = builtins.__dict__.setdefault("_codegrain_cache", {})
+    if name not in held:
+        held.clear()
+    return held.setdefault(name, {})
 
 
 def text_bytes(name: str = "text") -> Column:

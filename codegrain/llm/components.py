@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codegrain.llm.common import cut
+from codegrain.llm.common import cut, release
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -34,6 +34,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         if state == seen or state[0] == 0:
             break
         seen = state
+        release(now.sparkSession)
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root"))).distinct()

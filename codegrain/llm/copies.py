@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codegrain.llm import simhash
-from codegrain.llm.common import cut, text_bytes
+from codegrain.llm.common import cut, release, text_bytes
 from codegrain.llm.components import components
 from codegrain.llm.suffix import word_hashes
 
@@ -170,5 +170,6 @@ def near_copies(docs: DataFrame) -> DataFrame:
     ends = near.join(by_print.withColumnRenamed("fp", "u"), "u").select("v", F.col("least").alias("a")).join(by_print.withColumnRenamed("fp", "v"), "v").select(F.col("a").alias("u"), F.col("least").alias("v"))
     same = texts.join(by_print, "fp").select(F.col("least").alias("u"), F.col("rid").alias("v")).filter("u <> v")
     roots = components(ends.unionByName(same).unionByName(set_links(rows, texts)))
+    release(docs.sparkSession)
     named = texts.join(roots.withColumnRenamed("node", "rid"), "rid", "left").select("k1", "k2", F.coalesce("root", "rid").alias("component_id"))
     return rows.select("rid", "k1", "k2").join(named, ["k1", "k2"]).select("rid", "component_id")

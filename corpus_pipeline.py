@@ -6,12 +6,15 @@ kept; all but the last return the columns of documents.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codegrain.llm import copies, mixing, nbsvm, packing, secret_scan
-from codegrain.llm.common import cut, table
+from codegrain.llm.common import cut, drop_cuts, scope, table
 
+SCOPE = "pipeline"
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
@@ -43,7 +46,18 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(docs)
 
 
-STAGES = [("quality", quality), ("near_duplicates", near_duplicates), ("secrets", secrets), ("mix", mix), ("pack", pack)]
+def _stage(name: str, f: Callable) -> tuple[str, Callable]:
+    """A stage begins when the result of the one before is written, so what that one wrote for itself can go."""
+
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        drop_cuts(SCOPE)
+        with scope(SCOPE):
+            return f(spark, docs, sf_dir)
+
+    return name, run_stage
+
+
+STAGES = [_stage(f.__name__, f) for f in (quality, near_duplicates, secrets, mix, pack)]
 ORACLE_SQL = None
 
 
