@@ -34,7 +34,7 @@ FIT_ROWS = 6000
 COST = 1.0
 EPOCHS = 12
 SMOOTH = 1.0
-MEMO = 500_000
+MEMO = 150_000
 FOLDS, HELD = 3, 1
 
 _RUN = re.compile(rb"(.)\1+", re.DOTALL)

@@ -34,7 +34,7 @@ QUANTUM = 256
 END_ID = 1
 MAX_QUEUES = 256
 VOCABULARY = "byte_bpe_50k"
-MEMO = 600_000
+MEMO = 300_000
 
 
 def tokenizer(name: str = VOCABULARY, folder: str | None = None) -> Callable[[str], bytes]:
@@ -58,8 +58,7 @@ def tokenizer(name: str = VOCABULARY, folder: str | None = None) -> Callable[[st
     with open(where(f"{name}.tiktoken"), "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
     fast = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    full = Tokenizer.from_file(where(f"{name}.json"))
-    specials = tuple(t.content for t in full.get_added_tokens_decoder().values())
+    specials = tuple(t.content for t in Tokenizer.from_file(where(f"{name}.json")).get_added_tokens_decoder().values())
     memo: dict[str, bytes | None] = {}
     pack = lambda ids: np.array(ids, "<u2").tobytes()
 
@@ -70,7 +69,9 @@ def tokenizer(name: str = VOCABULARY, folder: str | None = None) -> Callable[[st
 
     def encode(text: str) -> bytes:
         if any(s in text for s in specials):
-            return pack(full.encode(text, add_special_tokens=False).ids)
+            if "full" not in held:  # rarely needed, and large
+                held["full"] = Tokenizer.from_file(where(f"{name}.json"))
+            return pack(held["full"].encode(text, add_special_tokens=False).ids)
         first, *rest = text.split(" ")
         if not rest or not first or first[-1].isspace():
             return pack(fast.encode_ordinary(text))

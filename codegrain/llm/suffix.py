@@ -37,7 +37,7 @@ WINDOW = 25
 RUN = MIN_WORDS - WINDOW + 1
 CONTEXT = 25
 GROUP = 50_000
-MEMO = 500_000
+MEMO = 150_000
 _C = np.uint64(0x9E3779B97F4A7C15)
 
 

@@ -36,7 +36,7 @@ PRIOR = 4.0
 DRIFT = 0.2
 LEAST = 1.0
 E_MAX = 1.0
-MEMO = 500_000
+MEMO = 150_000
 FOLDS, HELD = 4, 2
 STRIP = ".,!?;:\"'()[]{}*#%&$"
 
