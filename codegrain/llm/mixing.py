@@ -107,7 +107,8 @@ def mix(sized: DataFrame, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
     seg = placed.withColumn("blk", F.explode_outer(F.expr(f"CASE WHEN size > 0 THEN sequence(start div {block}, (start + size - 1) div {block}) END")))
     seg = seg.withColumns({"lo": F.greatest(F.col("start"), F.col("blk") * block), "hi": F.least(F.col("start") + F.col("size"), (F.col("blk") + 1) * block)})
     seg = seg.select("rid", "doc_id", "size", "skey", "source_size", "target", "blk", (F.col("lo") - F.col("start")).alias("seg_from"), (F.col("hi") - F.col("lo")).alias("seg_len"), (F.col("lo") - F.col("blk") * block).alias("seg_at"))
-    joined = seg.join(slots(per_source, block, n_shards), ["skey", "blk"], "left")
+    # slots are generated from few rows and grow with the input: without the hint they would pass for small and be broadcast
+    joined = seg.join(slots(per_source, block, n_shards).hint("merge"), ["skey", "blk"], "left")
     taken = F.greatest(F.lit(0), F.least(F.col("seg_len"), F.coalesce("take", F.lit(0)) - F.col("seg_at")))
     return joined.withColumn("taken", taken.cast("long")), per_source
 
