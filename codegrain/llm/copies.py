@@ -35,7 +35,7 @@ from codegrain.llm.suffix import word_hashes
 
 SHINGLE = 5
 SIMILARITY = 0.8
-BANDS, ROWS = 12, 4
+BANDS, ROWS = 20, 4
 PIECE = 512
 PIECE_SHINGLES = 1 << 21
 COLUMNS = 4096

@@ -185,7 +185,9 @@ def redacted(docs: DataFrame) -> DataFrame:
 
     done = F.aggregate("spans", start, step, lambda a: F.concat(a["out"], F.substring(F.col("text"), (a["at"] + 1).cast("int"), F.length("text"))))
     text = F.when(F.col("spans").isNull(), F.col("text")).otherwise(done)
-    return joined.select("doc_id", text.alias("text"), "lang", "source", F.when(F.col("spans").isNull(), F.col("n_chars")).otherwise(F.length(text).cast("long")).alias("n_chars"))
+    # two steps: inside a lambda a name may resolve to an alias of the same select
+    fresh = joined.select("doc_id", text.alias("text"), "lang", "source", "n_chars", F.col("spans").isNotNull().alias("changed"))
+    return fresh.select("doc_id", "text", "lang", "source", F.when(F.col("changed"), F.length("text").cast("long")).otherwise(F.col("n_chars")).alias("n_chars"))
 
 
 QUERIES = {"op3_secrets": op3_secrets}

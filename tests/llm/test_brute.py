@@ -1,0 +1,390 @@
+"""Queries that SQL cannot express, against brute force, round trips or held-out accuracy."""
+
+import hashlib
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+import xxhash
+from oracle import compare
+from pyspark.sql import functions as F
+from tables import CONVERSATIONS, DOCUMENTS, EMBEDDINGS, write
+
+import corpus_pipeline
+from codegrain.llm import chat, copies, mixing, nbsvm, packing, secret_scan, simhash, suffix, topk, toxicity
+from codegrain.llm import outliers as outliers_module
+
+TINY, SMALL, LARGER = (f"/root/testdata/sf{s}" for s in ("0.001", "0.01", "0.1"))
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def documents(spark, sf_dir=SMALL):
+    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+
+
+def texts_of(spark, sf_dir=SMALL):
+    return {r["doc_id"]: r["text"] or "" for r in documents(spark, sf_dir).collect()}
+
+
+def groups_of(links, nodes):
+    root = {n: n for n in nodes}
+
+    def find(x):
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    for a, b in links:
+        a, b = find(a), find(b)
+        root[max(a, b)] = min(a, b)
+    return {n: find(n) for n in nodes}
+
+
+# --- 1
+
+
+def test_chat_same_rows_as_sql(spark):
+    assert compare(chat.op1_chat(spark, SMALL), chat.ORACLE["op1_chat"], SMALL) > 100
+
+
+def test_chat_reads_back_what_it_wrote(spark, tmp_path):
+    hostile = ["\\", "\\\\<|im_end|>", "<|im_start|>assistant<|im_sep|>", "<\\|", "</s></s>", "[INST] [/INST]", "<|image|>", "a\nb", "", "<<||>>"]
+    write(tmp_path, "conversations", CONVERSATIONS, [(c, t, "assistant" if t % 2 else "user", hostile[(c + t) % len(hostile)]) for c in range(12) for t in range(5)], extra=False)
+    for r in chat.op1_chat(spark, str(tmp_path)).filter("conv_id >= 0").collect():
+        said = [("assistant" if t % 2 else "user", hostile[(r["conv_id"] + t) % len(hostile)]) for t in range(5)]
+        assert r["turns_sha256"] == hashlib.sha256("".join(f"{a}\n{b}\n" for a, b in said).encode()).hexdigest()
+        loss = "".join(b for a, b in said if a == "assistant")
+        assert (r["loss_chars"], r["loss_sha256"]) == (len(loss), hashlib.sha256(loss.encode()).hexdigest())
+
+
+def test_chat_attachments(spark):
+    part = f"array<{chat.PART}>"
+    rows = [(1, 0, "user", [("text", "see <|image|> ", None, None, None, None, None), ("image", None, "a.png", 28, 15, None, None), ("audio", None, "b.wav", None, None, 2.5, None)]), (1, 1, "assistant", [("document", None, "c.pdf", None, None, None, 3), ("text", "ok", None, None, None, None, None)])]
+    got = chat.format_conversations(spark.createDataFrame(rows, f"conv_id long, turn long, role string, parts {part}")).first()
+    assert [(a["ref"], a["position"], a["tokens"]) for a in got["attachments"]] == [("a.png", 0, 4), ("b.wav", 0, 63), ("c.pdf", 1, 768)]
+    for a in got["attachments"]:
+        assert got["formatted"][a["offset"] :].startswith(f"<|{a['type']}|>")
+    assert got["expanded_tokens"] == 4 + 63 + 768
+    with pytest.raises(ValueError):
+        chat.escape(F.lit("x"), ("aa",))
+
+
+# --- 2
+
+
+def test_topk_same_rows_as_sql(spark):
+    assert compare(topk.op2_topk(spark, SMALL), topk.ORACLE["op2_topk"], SMALL) == 50
+
+
+def test_topk_small_blocks_and_ties(spark, tmp_path):
+    rng = np.random.default_rng(5)
+    v = rng.integers(-3, 4, (900, 6)).astype(float) / 4
+    write(tmp_path, "embeddings", EMBEDDINGS, [(i, x.tolist(), 0) for i, x in enumerate(v)])
+    got = {(r["query_id"], r["rank"]): (r["vec_id"], r["score"]) for r in topk.search(spark.read.parquet(f"{tmp_path}/embeddings.parquet"), k=7, every=50, n_pivots=5, block=32).collect()}
+    w = np.floor(1024 * v).astype(int)
+    for q in range(0, 900, 50):
+        s = w @ w[q]
+        best = [i for i in np.lexsort((np.arange(900), -s)) if i != q][:7]
+        assert [got[q, k + 1] for k in range(7)] == [(i, s[i]) for i in best]
+
+
+# --- 3
+
+
+def slow_spans(text):
+    out = []
+    for kind, pattern, keep in (
+        ("assign", r"(?i:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", lambda m: len(m[1]) >= 6),
+        ("access", r"AKIA[A-Z0-9]+", lambda m: len(m[0]) >= 20),
+        ("hex", r"[0-9a-f]+", lambda m: len(m[0]) >= 24),
+    ):
+        out += [(m.start(), ("assign", "access", "hex").index(kind), f"{kind}:{m.start()}:{m.end()}") for m in re.finditer(pattern, text, re.ASCII) if keep(m)]
+    return [s for *_, s in sorted(out)]
+
+
+def test_secret_base_spans(spark):
+    texts = texts_of(spark, LARGER)
+    for r in secret_scan.op3_secrets(spark, LARGER).collect():
+        want = slow_spans(texts[r["doc_id"]])
+        assert r["base_sha256"] == hashlib.sha256(",".join(want).encode()).hexdigest()
+        assert Counter(w.split(":")[0] for w in want) == Counter({k: r[f"n_{k}"] for k in ("assign", "access", "hex") if r[f"n_{k}"]})
+        assert set(want) <= set(r["spans"].split(",")) | {""}
+
+
+def test_secret_battery_tells_random_from_words():
+    rng = np.random.default_rng(2)
+    alphabet = secret_scan.ALPHABETS[6]
+    random = ["".join(rng.choice(list(alphabet), 40)) for _ in range(200)]
+    worded = ["internationalization" * 2, "aaaaaaaaaaaaaaaaaaaaaaaa", "abababababababababababab", "src/components/button/index", "THE_QUICK_BROWN_FOX_JUMPS_OVER", "0123456789012345678901234567"]
+    assert sum(secret_scan.uniform_p(w) > 1e-3 for w in random) >= 195
+    assert all(secret_scan.uniform_p(w) < 1e-3 for w in worded)
+
+
+def test_secret_redaction_leaves_no_base_span(spark):
+    for r in secret_scan.redacted(documents(spark)).collect():
+        assert not [s for s in slow_spans(r["text"] or "") if not s.startswith("assign")]
+        assert r["n_chars"] == len(r["text"])
+
+
+# --- 4 and 7
+
+
+def auc(rows, label):
+    s, y = np.array([r["score"] for r in rows]), np.array([r[label] for r in rows])
+    order = np.argsort(np.argsort(s, kind="stable"))
+    return (order[y == 1].mean() - (y.sum() - 1) / 2) / max(1, (y == 0).sum()), np.mean([r["predicted"] == r[label] for r in rows])
+
+
+@pytest.mark.parametrize(("query", "label", "least"), [(toxicity.op4_toxicity, "toxic", 0.9), (nbsvm.op7_quality, "quality", 0.97)])
+def test_held_out_accuracy(spark, query, label, least):
+    labels = spark.read.parquet(f"{LARGER}/labels.parquet").select("doc_id", label)
+    rows = query(spark, LARGER).filter("held_out").join(labels, "doc_id").filter(f"{label} is not null").collect()
+    area, accuracy = auc(rows, label)
+    assert len(rows) > 500 and area > least and accuracy > 0.95
+
+
+def test_segments_are_the_best_ones():
+    rng = np.random.default_rng(3)
+    for _ in range(200):
+        s = rng.normal(-0.3, 1, rng.integers(1, 40))
+        cum = np.concatenate([[0], np.cumsum(s)])
+        best = max((cum[j] - cum[i] for i in range(len(s)) for j in range(i + 1, len(s) + 1)), default=0)
+        found = toxicity.segments(s)
+        assert (max(x for _, _, x in found) if found else 0) == pytest.approx(max(best, 0))
+        assert all(a[1] <= b[0] for a, b in zip(found, found[1:], strict=False))
+
+
+def test_dual_coordinate_descent_separates():
+    rows = [np.array([0, 2]), np.array([0, 3]), np.array([1, 2]), np.array([1, 3])]
+    ratio = np.ones(nbsvm.DIMS)
+    w = nbsvm.descend(rows, np.array([1, 1, 0, 0]), ratio, epochs=50)
+    assert all((nbsvm.margin(r, w, ratio) > 0) == (i < 2) for i, r in enumerate(rows))
+
+
+# --- 5
+
+
+def test_mix(spark):
+    rows = mixing.op5_mixing(spark, SMALL).collect()
+    texts = {r["doc_id"]: (r["text"] or "", r["source"]) for r in documents(spark).collect()}
+    size = Counter()
+    for t, s in texts.values():
+        size[s] += len(WORD.findall(t))
+    names = sorted(size, key=lambda s: (s is None, s or ""))
+    weight = {s: (5, 2, 1)[i % 3] for i, s in enumerate(names)}
+    left, want, open_ = 1.5 * sum(size.values()), {}, set(names)
+    while True:
+        level = left / sum(weight[s] for s in open_)
+        over = {s for s in open_ if weight[s] * level > 2 * size[s]}
+        for s in over:
+            want[s] = 2.0 * size[s]
+            left -= want[s]
+        if not over:
+            break
+        open_ -= over
+    want |= {s: weight[s] * level for s in open_}
+    taken = Counter()
+    for r in rows:
+        t, s = texts[r["doc_id"]]
+        assert (r["size"], r["source_size"]) == (len(WORD.findall(t)), size[s]) and r["target"] == pytest.approx(want[s]) and r["taken"] <= 2 * r["size"]
+        taken[s] += r["taken"]
+    assert all(abs(taken[s] - want[s]) <= 1 for s in names)
+    assert sorted(rows) == sorted(mixing.op5_mixing(spark, SMALL).collect())
+
+
+def test_permutation_is_one_and_its_inverse(spark):
+    n = 1000
+    p = spark.range(n).select("id", mixing.permute(F.col("id"), F.lit(n), F.lit("s"), F.lit(1)).alias("p"))
+    rows = p.select("id", "p", mixing.permute(F.col("p"), F.lit(n), F.lit("s"), F.lit(1), inverse=True).alias("back")).collect()
+    assert {r["p"] for r in rows} == set(range(n)) and all(r["back"] == r["id"] for r in rows)
+
+
+# --- 6
+
+
+def slow_print(text):
+    words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text))
+    if not words:
+        return 0
+    h = [xxhash.xxh64_intdigest(" ".join(words[i : i + 3]).encode(), 42) for i in range(max(1, len(words) - 2))]
+    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+
+def test_simhash(spark):
+    texts = texts_of(spark)
+    rows = simhash.op6_simhash(spark, SMALL).collect()
+    prints = {r["doc_id"]: int(r["fingerprint"], 16) for r in rows}
+    assert prints == {i: slow_print(t) for i, t in texts.items()}
+    ids = sorted(prints)
+    links = [(a, b) for n, a in enumerate(ids) for b in ids[n + 1 :] if (prints[a] ^ prints[b]).bit_count() <= 2]
+    assert {r["doc_id"]: r["component_id"] for r in rows} == groups_of(links, ids)
+
+
+def test_simhash_crowded_buckets(spark):
+    rng = np.random.default_rng(4)
+    base = int(rng.integers(0, 1 << 62))
+    fps = sorted({base ^ (1 << int(a)) ^ (1 << int(b)) ^ ((1 << int(c)) if rng.random() < 0.5 else 0) for a, b, c in rng.integers(0, 62, (600, 3))})
+    want = groups_of([(a, b) for n, a in enumerate(fps) for b in fps[n + 1 :] if (a ^ b).bit_count() <= 2], fps)
+    df = spark.createDataFrame([(f,) for f in fps], "fp long")
+    for cap in (8, 100_000):
+        got = groups_of([(r["u"], r["v"]) for r in simhash.links(df, cap).collect()], fps)
+        assert got == want
+
+
+def test_near_copies(spark):
+    texts = texts_of(spark)
+    rng = np.random.default_rng(6)
+    base = texts[max(texts, key=lambda i: 200 < len(texts[i].split()) < 400)].split()[:300]
+    for i in range(700):  # a crowded block: one text with a few words changed
+        w = list(base)
+        for at in rng.integers(0, len(w), 6):
+            w[at] = f"new{int(rng.integers(1 << 30))}"
+        texts[10_000 + i] = " ".join(w)
+    sets = {i: frozenset(" ".join(w[j : j + 5]) for j in range(max(1, len(w) - 4))) for i, t in texts.items() for w in [t.lower().split()]}
+    by = defaultdict(set)
+    for i, s in sets.items():
+        for x in s:
+            by[x].add(i)
+    pairs = {(a, b) for ids in by.values() if len(ids) < 2000 for a in ids for b in ids if a < b}
+    links = [(a, b) for a, b in pairs if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    got = {r["rid"]: r["component_id"] for r in copies.near_copies(spark.createDataFrame(list(texts.items()), "rid long, text string")).collect()}
+    assert got == groups_of(links, texts)
+
+
+# --- 8
+
+
+def slow_regions(texts, least=50):
+    """Words of each document inside runs of at least so many words that another document holds."""
+    where = defaultdict(set)
+    words = {i: WORD.findall(t) for i, t in texts.items()}
+    for i, w in words.items():
+        for j in range(len(w) - least + 1):
+            where[" ".join(w[j : j + least])].add(i)
+    out = {}
+    for i, w in words.items():
+        marked = set()
+        for j in range(len(w) - least + 1):
+            if len(where[" ".join(w[j : j + least])]) > 1:
+                marked |= set(range(j, j + least))
+        if marked:
+            out[i] = marked
+    return out
+
+
+def test_repeated_passages(spark):
+    texts = texts_of(spark)
+    want, got = slow_regions(texts), defaultdict(set)
+    for r in suffix.repeated_passages(documents(spark)).collect():
+        assert r["n_words"] == r["end_word"] - r["start_word"] >= 50 and r["partner_id"] not in (None, r["doc_id"])
+        got[r["doc_id"]] |= set(range(r["start_word"], r["end_word"]))
+    assert set(got) == set(want)
+    assert sum(len(want[i] ^ got[i]) for i in want) <= 0.01 * sum(map(len, want.values()))
+
+
+# --- 9
+
+
+def test_packing(spark):
+    from public_tokenizers import path
+    from tokenizers import Tokenizer
+
+    full = Tokenizer.from_file(path("byte_bpe_50k.json"))
+    docs = {r["doc_id"]: (r["text"] or "", r["source"]) for r in documents(spark).collect()}
+    ids = {i: full.encode(t, add_special_tokens=False).ids + [1] for i, (t, _) in docs.items()}
+    pieces, placed, share = defaultdict(list), defaultdict(list), defaultdict(Counter)
+    for r in packing.op9_packing(spark, SMALL).collect():
+        part = ids[r["doc_id"]][r["start"] : r["start"] + r["length"]]
+        assert len(part) == r["length"] > 0 and r["doc_tokens"] == len(ids[r["doc_id"]])
+        assert r["ids_crc32"] == zlib.crc32(np.array(part, "<u4").tobytes())
+        pieces[r["doc_id"]].append((r["start"], r["length"]))
+        placed[r["sequence_id"]].append((r["offset"], r["length"]))
+        share[r["sequence_id"]][docs[r["doc_id"]][1]] += r["length"]
+    total = 0
+    for i, x in ids.items():
+        at = 0
+        for start, n in sorted(pieces[i]):
+            assert start == at
+            at += n
+        assert at == len(x)
+        total += at
+    for spans in placed.values():
+        at = 0
+        for offset, n in sorted(spans):
+            assert offset == at
+            at += n
+        assert at <= packing.WINDOW
+    assert len(placed) == -(-total // packing.WINDOW)
+    whole = Counter()
+    for c in share.values():
+        whole.update(c)
+    last = max(share)
+    for w, c in share.items():  # every full window holds each source's share to within a quantum and its neighbours' cuts
+        if w != last:
+            assert all(abs(c[s] - packing.WINDOW * whole[s] / total) <= 2 * packing.QUANTUM for s in whole)
+
+
+def test_tokenizer_is_the_reference_coder():
+    from public_tokenizers import path
+    from tokenizers import Tokenizer
+
+    full, encode = Tokenizer.from_file(path("byte_bpe_50k.json")), packing.tokenizer()
+    for t in ("", " ", "a  b", "a\n\nb c", " lead", "trail ", "it's we'll 12 345", "été   x", "<|endoftext|> a", "a <|endoftext|>", "x\u0000y", "\U0001f600 \U0001f600", "a \t b", "tab\tend "):
+        assert np.frombuffer(encode(t), "<u2").tolist() == full.encode(t, add_special_tokens=False).ids, t
+
+
+# --- 10
+
+
+def slow_rules(text):
+    words = WORD.findall(text)
+    lines = [x for x in text.split("\n") if WORD.search(x)]
+    grams = Counter(tuple(words[i : i + 8]) for i in range(len(words) - 7))
+    inside = {j for i in range(len(words) - 7) if grams[tuple(words[i : i + 8])] > 1 for j in range(i, i + 8)}
+    return len(words), sum(map(len, words)), sum(c in "#*$%&|<>" for c in text), len(lines) - len(set(lines)), len(inside)
+
+
+def test_base_rules(spark):
+    texts = texts_of(spark)
+    kept = []
+    for r in outliers_module.op10_outliers(spark, SMALL).collect():
+        want = slow_rules(texts[r["doc_id"]])
+        assert tuple(r[n] for n in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")) == want
+        assert r["base_failed"] == (want[0] < 20 or 100 * want[4] > 30 * want[0]) and not (r["base_failed"] and r["kept"])
+        kept.append(r["kept"])
+    assert 0.7 < np.mean(kept) < 0.95
+
+
+def test_determinant_estimate_ignores_outliers(spark):
+    rng = np.random.default_rng(9)
+    x = rng.normal(0, 1, (1000, 2)) @ np.array([[1.0, 0.6], [0.0, 0.8]])
+    x[:150] = rng.normal(12, 0.5, (150, 2))
+    df = spark.createDataFrame([(0, "a", "b", float(a), float(b)) for a, b in x], "level int, gl string, gs string, x0 double, x1 double")
+    m = outliers_module.fit(df, 2).first()
+    assert np.abs(m["mean"]).max() < 0.25
+    inv = np.array([[m["inv"][0], m["inv"][1]], [m["inv"][1], m["inv"][2]]])
+    d = ((x - m["mean"]) @ inv * (x - m["mean"])).sum(1)
+    assert d[:150].min() > 5 * np.quantile(d[150:], 0.99)
+
+
+# --- the pipeline
+
+
+def test_pipeline_stages(spark):
+    docs = documents(spark)
+    rows = {r["doc_id"]: r["text"] for r in docs.collect()}
+    done = {}
+    for name, stage in corpus_pipeline.STAGES:
+        docs = spark.createDataFrame(stage(spark, docs, SMALL).collect(), None) if name != "pack" else stage(spark, docs, SMALL)
+        done[name] = docs
+    labels = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{SMALL}/labels.parquet").collect()}
+    kept = {r["doc_id"] for r in done["quality"].collect()}
+    assert np.mean([(i in kept) == (q == 1) for i, q in labels.items()]) > 0.97
+    left = [r["text"] for r in done["near_duplicates"].collect()]
+    assert len(left) == len(set(left)) and {rows[i] for i in kept} >= set(left)
+    assert done["secrets"].count() == len(left)
+    assert done["mix"].count() > 0
+    assert done["pack"].agg(F.sum("length")).first()[0] > 0
