@@ -60,10 +60,18 @@ def distances(lifted: np.ndarray, pivots: np.ndarray) -> np.ndarray:
 def products(q: np.ndarray, v: np.ndarray) -> np.ndarray:
     """Exact integer inner products: through floats where these hold every sum exactly."""
     most = max(1, int(np.abs(q).max(initial=0))) * max(1, int(np.abs(v).max(initial=0))) * q.shape[1]
-    return np.rint(q.astype(float) @ v.astype(float).T).astype(np.int64) if most < 1 << 53 else q @ v.T
+    return np.rint(q.astype(float) @ v.astype(float).T).astype(np.int64) if most < 1 << 53 else q.astype(np.int64) @ v.astype(np.int64).T
+
+
+def packed(square: float) -> str:
+    """The least integer type that holds every component of vectors whose squared norm is at most square."""
+    most = square**0.5 + 1
+    return "<i2" if most < 1 << 15 else "<i4" if most < 1 << 31 else "<i8"
 
 
 def _assign(pivots: np.ndarray, square: float, dims: int):
+    kind = packed(square)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if not b.num_rows:
@@ -71,7 +79,7 @@ def _assign(pivots: np.ndarray, square: float, dims: int):
             v = _padded(b.column(1), dims)
             d = distances(lift(v.astype(float), square), pivots)
             near = d.argmin(1)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(near.astype(np.int32)), pa.array(d[np.arange(len(v)), near]), pa.array([x.tobytes() for x in v], pa.binary())], ["vec_id", "pivot", "dist", "v"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(near.astype(np.int32)), pa.array(d[np.arange(len(v)), near]), pa.array([x.tobytes() for x in v.astype(kind)], pa.binary())], ["vec_id", "pivot", "dist", "v"])
 
     return run
 
@@ -109,11 +117,12 @@ def _queries(pivots: np.ndarray, square: float, dims: int, k: int, every: int):
     """Chunks of a block's queries with, per pivot, the annuli that their own block's k-th score leaves open."""
     names = ["chunk", "pivot", "lo", "hi", "q_ids", "q_at", "q", "bounds"]
     kinds = [pa.int64(), pa.int32(), pa.float64(), pa.float64(), pa.binary(), pa.binary(), pa.binary(), pa.binary()]
+    kind = packed(square)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for block, ids, v in zip(*(b.column(n).to_pylist() for n in ("block", "ids", "v")), strict=True):
-                ids, v = np.frombuffer(ids, "<i8"), np.frombuffer(v, "<i8").reshape(-1, dims)
+                ids, v = np.frombuffer(ids, "<i8"), np.frombuffer(v, kind).reshape(-1, dims)
                 at = np.flatnonzero(ids % every == 0)
                 for n, own in enumerate(np.split(at, range(CHUNK, len(at), CHUNK)) if len(at) else []):
                     q = v[own]
@@ -125,20 +134,20 @@ def _queries(pivots: np.ndarray, square: float, dims: int, k: int, every: int):
                     d = distances(np.column_stack([qf, np.zeros(len(qf))]), pivots)
                     slack = 1e-6 * (1.0 + np.sqrt(square) + d)
                     lo, hi = (d - radius[:, None] - slack).min(0), (d + radius[:, None] + slack).max(0)
-                    rows = [(block * 64 + n, p, float(lo[p]), float(hi[p]), ids[own].astype("<i8").tobytes(), np.column_stack([np.full(len(own), block), own]).astype("<i8").tobytes(), q.astype("<i8").tobytes(), kth.tobytes()) for p in range(len(pivots))]
+                    rows = [(block * 64 + n, p, float(lo[p]), float(hi[p]), ids[own].astype("<i8").tobytes(), np.column_stack([np.full(len(own), block), own]).astype("<i8").tobytes(), q.tobytes(), kth.tobytes()) for p in range(len(pivots))]
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
     return run
 
 
-def _meet(dims: int, k: int):
+def _meet(dims: int, k: int, kind: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = [np.zeros((0, 5), np.int64)]
             for block, ids, v, q_ids, q_at, q, bounds in zip(b.column(0).to_pylist(), *(b.column(i) for i in range(1, 7)), strict=True):
-                ids, v = np.frombuffer(ids.as_py(), "<i8"), np.frombuffer(v.as_py(), "<i8").reshape(-1, dims)
+                ids, v = np.frombuffer(ids.as_py(), "<i8"), np.frombuffer(v.as_py(), kind).reshape(-1, dims)
                 q_ids, q_at = np.frombuffer(q_ids.as_py(), "<i8"), np.frombuffer(q_at.as_py(), "<i8").reshape(-1, 2)
-                scores = products(np.frombuffer(q.as_py(), "<i8").reshape(-1, dims), v)
+                scores = products(np.frombuffer(q.as_py(), kind).reshape(-1, dims), v)
                 kth = np.frombuffer(bounds.as_py(), float)
                 for i in range(len(q_ids)):
                     s = scores[i]
@@ -175,7 +184,7 @@ def search(vectors: DataFrame, k: int = K, every: int = QUERY_EVERY, n_pivots: i
     chunks = index.select("block", "ids", "v").mapInArrow(_queries(pivots, square, dims, k, every), "chunk long, pivot int, lo double, hi double, q_ids binary, q_at binary, q binary, bounds binary")
     open_to = chunks.join(index.select("block", "pivot", "near", "far"), "pivot").filter((F.col("near") <= F.col("hi")) & (F.col("far") >= F.col("lo"))).select("block", "q_ids", "q_at", "q", "bounds")
     joined = open_to.join(index.select("block", "ids", "v"), "block").select("block", "ids", "v", "q_ids", "q_at", "q", "bounds")
-    found = joined.mapInArrow(_meet(dims, k), "query_id long, q_block long, q_row long, vec_id long, score long")
+    found = joined.mapInArrow(_meet(dims, k, packed(square)), "query_id long, q_block long, q_row long, vec_id long, score long")
     best = Window.partitionBy("query_id", "q_block", "q_row").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
