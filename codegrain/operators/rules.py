@@ -8,6 +8,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from codegrain.operators.rule_tables import DOMAIN_RULES, GROUPING_RULES, SIGNIFICANCE_RULES
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -46,45 +48,7 @@ class Rule:
         return out & self.predicate() if self.predicate else out
 
 
-def _call(id: str, domain: str, action: str, provider: str | None, priority: int, head: str, verbs: str, anchored: bool = False, flags: str = "(?i)", external: bool | None = None) -> Rule:
-    tail = "(" + "|".join(verbs.split()) + ")" if verbs else ""
-    return Rule(id, domain, action, provider, priority, "FunctionCall", f"{flags}{head}{tail}{'$' if anchored else ''}", external=external)
-
-
-#: Order breaks ties of priority.
-BUILTIN = (
-    _call("db-write-dynamodb", "Database", "Write", "dynamodb", 10, r"dynamodb.*\.", "put update delete batchWrite"),
-    _call("db-read-dynamodb", "Database", "Read", "dynamodb", 10, r"dynamodb.*\.", "get query scan batchGet"),
-    _call("db-kysely-read", "Database", "Read", "kysely", 10, r"\.", "selectFrom selectAll executeTakeFirst executeTakeFirstOrThrow", True),
-    _call("db-kysely-write", "Database", "Write", "kysely", 10, r"\.", "insertInto updateTable deleteFrom", True),
-    _call("db-write-sql", "Database", "Write", "sql", 5, r"\.", "insert update delete execute run", True),
-    _call("db-read-sql", "Database", "Read", "sql", 5, r"\.", "select query find all first get", True),
-    _call("db-prisma-write", "Database", "Write", "prisma", 10, r"prisma\.\w+\.", "create update upsert delete deleteMany updateMany"),
-    _call("db-prisma-read", "Database", "Read", "prisma", 10, r"prisma\.\w+\.", "findUnique findFirst findMany count aggregate"),
-    _call("payment-stripe-charge", "Payment", "Charge", "stripe", 20, r"stripe\.(charges|paymentIntents)\.", "create confirm"),
-    _call("payment-stripe-refund", "Payment", "Refund", "stripe", 20, r"stripe\.refunds\.create", ""),
-    _call("payment-stripe-subscription", "Payment", "Subscription", "stripe", 20, r"stripe\.subscriptions\.", "create update cancel"),
-    _call("auth-jwt-sign", "Auth", "TokenCreate", None, 15, r"jwt\.", "sign encode"),
-    _call("auth-jwt-verify", "Auth", "TokenVerify", None, 15, r"jwt\.", "verify decode"),
-    _call("auth-bcrypt-hash", "Auth", "PasswordHash", None, 15, r"bcrypt\.", "hash hashSync"),
-    _call("auth-bcrypt-compare", "Auth", "PasswordVerify", None, 15, r"bcrypt\.", "compare compareSync"),
-    _call("auth-cognito", "Auth", "CognitoAuth", "aws-cognito", 20, r"cognito.*\.", "adminInitiateAuth initiateAuth signUp confirmSignUp"),
-    _call("http-fetch", "HTTP", "Request", None, 5, "^fetch", "", True, "", True),
-    _call("http-axios", "HTTP", "Request", None, 10, r"axios\.", "get post put patch delete request", external=True),
-    _call("api-trpc-mutation", "API", "Mutation", None, 15, r"procedure\.mutation", "", True),
-    _call("api-trpc-query", "API", "Query", None, 15, r"procedure\.query", "", True),
-    _call("api-trpc-procedure", "API", "Procedure", None, 15, r"\.procedure", "", True),
-    _call("messaging-sqs-send", "Messaging", "Send", "aws-sqs", 15, r"sqs.*\.", "sendMessage sendMessageBatch"),
-    _call("messaging-sqs-receive", "Messaging", "Receive", "aws-sqs", 15, r"sqs.*\.", "receiveMessage"),
-    _call("messaging-sns-publish", "Messaging", "Publish", "aws-sns", 15, r"sns.*\.", "publish"),
-    _call("messaging-eventbridge", "Messaging", "Publish", "aws-eventbridge", 15, r"eventbridge.*\.", "putEvents"),
-    _call("storage-s3-put", "Storage", "Write", "aws-s3", 15, r"s3.*\.", "putObject upload"),
-    _call("storage-s3-get", "Storage", "Read", "aws-s3", 15, r"s3.*\.", "getObject"),
-    _call("storage-fs-write", "Storage", "Write", "filesystem", 5, r"fs.*\.", "writeFile appendFile createWriteStream"),
-    _call("storage-fs-read", "Storage", "Read", "filesystem", 5, r"fs.*\.", "readFile createReadStream"),
-    _call("logging-console", "Observability", "Log", "console", 1, r"console\.", "log info warn error debug", flags=""),
-    _call("logging-datadog", "Observability", "Metric", "datadog", 10, "dd-trace|datadog", ""),
-)
+BUILTIN = tuple(Rule(i, domain, action, provider, priority, "FunctionCall", callee, external=external) for i, domain, action, provider, priority, callee, external in DOMAIN_RULES)
 
 
 def ordered(rules: tuple[Rule, ...]) -> list[Rule]:
@@ -124,24 +88,69 @@ def first_of(pairs: list[tuple[Column, str]], default: str) -> Column:
     return out
 
 
-def grouped(domain_effects: DataFrame) -> DataFrame:
-    """Adds the container and layer that path and domain suggest."""
-    path = F.col("source_file_path")
-    container = first_of([(path.rlike("(^|/)hooks?/"), "Hooks"), (path.rlike("(^|/)(api|routes)/"), "API"), (path.rlike("(^|/)(db|models?)/"), "Data")], "Other")
-    layer = first_of([(F.col("domain").isin("Database", "Storage"), "Data"), (F.col("domain").isin("API", "HTTP"), "Interface"), (F.col("domain").isin("Messaging", "Auth", "Payment"), "Service")], "Infrastructure")
-    return domain_effects.withColumns({"container": container, "layer": layer})
-
-
-def significance(domain_effects: DataFrame, dependents: DataFrame, many: int = 10) -> DataFrame:
-    """Adds significance: critical, important, minor or hidden, by domain and by how many depend on the source."""
-    d = domain_effects.join(dependents.select("source_entity_id", "dependents"), "source_entity_id", "left").withColumn("dependents", F.coalesce("dependents", F.lit(0)))
-    level = first_of([
-        (F.col("domain").isin("Payment", "Auth"), "critical"),
-        (F.col("domain") == "Observability", "hidden"),
-        ((F.col("domain") == "Database") & (F.col("action") == "Write"), "important"),
-        (F.col("dependents") >= many, "important"),
-    ], "minor")
-    return d.withColumn("significance", level)
+def _first_rule(rules: list[tuple[Column, str]]) -> Column:
+    """Id of the first rule whose condition holds, else null."""
+    chain = F.lit(None).cast("string")
+    for condition, i in reversed(rules):
+        chain = F.when(F.coalesce(condition, F.lit(False)), i).otherwise(chain)
+    return chain
+
+
+def _looked_up(key: str, values: dict[str, str]) -> Column:
+    return F.element_at(F.create_map(*[F.lit(x) for kv in values.items() for x in kv]), F.col(key))
+
+
+def grouped(domain_effects: DataFrame, rules: tuple = GROUPING_RULES, default: str = "Other", path: str = "source_file_path") -> DataFrame:
+    """Adds grouping_rule, container, layer and tags of the first rule whose pattern the path holds; others get the default container."""
+    order = sorted(rules, key=lambda r: -r[5])
+    hit = domain_effects.withColumn("grouping_rule", _first_rule([(F.col(path).rlike(f"(?i){r[1]}"), r[0]) for r in order]))
+    tags = F.split(_looked_up("grouping_rule", {r[0]: ",".join(r[4]) for r in rules}), ",")
+    return hit.withColumns({
+        "container": F.coalesce(_looked_up("grouping_rule", {r[0]: r[2] for r in rules}), F.lit(default)),
+        "layer": _looked_up("grouping_rule", {r[0]: r[3] for r in rules}),
+        "tags": F.coalesce(tags, F.array().cast("array<string>")),
+    })
+
+
+def _significant(wanted: dict) -> Column:
+    """Conditions of one significance rule; columns that a source lacks are null and match no name or kind."""
+    out = F.lit(True)
+    for key, value in wanted.items():
+        out = out & {
+            "domain": lambda v: F.col("domain") == v,
+            "action": lambda v: F.col("action") == v,
+            "console": lambda v: F.col("provider") == "console",
+            "file": lambda v: F.col("source_file_path").rlike(f"(?i){v}"),
+            "name": lambda v: F.col("source_name").rlike(f"(?i){v}"),
+            "kinds": lambda v: F.col("source_kind").isin(*v),
+            "exported": lambda v: F.coalesce(F.col("source_exported"), F.lit(False)) == v,
+            "min_dependents": lambda v: F.coalesce(F.col("dependents"), F.lit(0)) >= v,
+        }[key](value)
+    return out
+
+
+def significance(domain_effects: DataFrame, dependents: DataFrame, nodes: DataFrame | None = None, rules: tuple = SIGNIFICANCE_RULES, default: str = "minor") -> DataFrame:
+    """Adds significance_rule and significance: critical, important, minor or hidden.
+
+    dependents: (source_entity_id, dependents).  nodes give the source's name,
+    kind and export flag; without them rules on these match nothing, and no
+    source counts as exported.
+    """
+    d = domain_effects.join(dependents.select("source_entity_id", "dependents"), "source_entity_id", "left")
+    if nodes is None:
+        d = d.withColumns({n: F.lit(None).cast(t) for n, t in (("source_name", "string"), ("source_kind", "string"), ("source_exported", "boolean"))})
+    else:
+        d = d.join(nodes.select(F.col("entity_id").alias("source_entity_id"), F.col("name").alias("source_name"), F.col("kind").alias("source_kind"), F.col("is_exported").alias("source_exported")), "source_entity_id", "left")
+    order = sorted(rules, key=lambda r: -r[2])
+    hit = d.withColumn("significance_rule", _first_rule([(_significant(r[3]), r[0]) for r in order]))
+    return hit.withColumn("significance", F.coalesce(_looked_up("significance_rule", {r[0]: r[1] for r in rules}), F.lit(default)))
+
+
+def shown(significant: DataFrame, least: str = "minor", include_hidden: bool = False) -> DataFrame:
+    """Effects of at least a level; hidden ones only on request."""
+    rank = {"critical": 3, "important": 2, "minor": 1, "hidden": 0}
+    wanted = [k for k, v in rank.items() if v >= rank[least] and k != "hidden"] + ["hidden"] * include_hidden
+    return significant.filter(F.col("significance").isin(wanted))
 
 
 def mapped(effects: DataFrame, stores: str = r"(?i)(put|create|insert|write|save)", retrieves: str = r"(?i)(get|find|query|read|select)", sends: str = r"(?i)(send|publish|fetch|post)") -> DataFrame:

@@ -114,16 +114,35 @@ def _case(column: str) -> str:
     return "nullif(case " + " ".join(when(r) for r in rules.ordered(rules.BUILTIN)) + " end, '')"
 
 
-_RULED = f"with d as (select *, {_case('id')} as rule_id, {_case('domain')} as domain, {_case('action')} as action, {_case('provider')} as provider from effects), h as (select *, 'Hooks' as container from d where rule_id is not null) "
+_PATHS = ("src/parsers/ts.ts", "src/storage/duckdb-pool.ts", "src/hub/client.ts", "src/commands/run.ts", "src/rules/list.ts", "src/views/page.ts", "src/cache/lru.ts", "src/utils/debug/x.ts", "src/app.test.ts", "src/main.ts")
+_PATH = "case source_line % 10 " + " ".join(f"when {i} then '{p}'" for i, p in enumerate(_PATHS)) + " end"
+
+
+def _pathed(effects: DataFrame) -> DataFrame:
+    """Effects with paths that the grouping and significance rules know."""
+    return effects.withColumn("source_file_path", F.expr(_PATH))
+
+
+_GROUP = "case " + " ".join(f"when regexp_matches(path, '{r[1]}', 'i') then '{r[2]}'" for r in sorted(rules.GROUPING_RULES, key=lambda r: -r[5])) + " else 'Other' end"
+
+
+def _level(rule: tuple) -> str:
+    said = {"domain": "domain = '{}'", "action": "action = '{}'", "console": "provider = 'console'", "file": "regexp_matches(path, '{}', 'i')", "name": "regexp_matches(n.name, '{}', 'i')", "exported": "coalesce(n.is_exported, false) = {}", "min_dependents": "coalesce(k.dependents, 0) >= {}"}
+    parts = ["n.kind in (" + ", ".join(f"'{x}'" for x in v) + ")" if c == "kinds" else said[c].format(str(v).lower() if c == "exported" else v) for c, v in rule[3].items()]
+    return f"when {' and '.join(parts)} then '{rule[1]}'"
+
+
+_LEVEL = "case " + " ".join(_level(r) for r in sorted(rules.SIGNIFICANCE_RULES, key=lambda r: -r[2])) + " else 'minor' end"
+_RULED = f"with d as (select *, {_case('id')} as rule_id, {_case('domain')} as domain, {_case('action')} as action, {_case('provider')} as provider from effects), h as (select *, {_GROUP} as container from (select *, {_PATH} as path from d where rule_id is not null)) "
 query("run_rules", _RULED + "select effect_id, rule_id, domain, action, provider from h", "effects")(lambda g, *_: rules.run_rules(g.effects).select("effect_id", "rule_id", "domain", "action", "provider"))
 query("rule_stats", _RULED + "select i.rule_id, count(h.rule_id) as matches from (select unnest([" + ", ".join(f"'{r.id}'" for r in rules.BUILTIN) + "]) as rule_id) i left join h on h.rule_id = i.rule_id group by 1", "effects")(lambda g, *_: rules.rule_stats(g.effects))
 query("domain_summary", _RULED + "select domain, array_to_string(list_sort(list(distinct action)), ',') as actions, count(*) as count from h group by 1", "effects")(lambda g, *_: views.domain_summary(rules.run_rules(g.effects)))
-query("containers", _RULED + "select container, count(distinct source_entity_id) as components, count(*) as effects, array_to_string(list_sort(list(distinct domain)), ',') as domains from h group by 1", "effects")(lambda g, *_: views.containers(rules.grouped(rules.run_rules(g.effects))))
+query("containers", _RULED + "select container, count(distinct source_entity_id) as components, count(*) as effects, array_to_string(list_sort(list(distinct domain)), ',') as domains from h group by 1", "effects")(lambda g, *_: views.containers(rules.grouped(_pathed(rules.run_rules(g.effects)))))
 query("external_systems", _RULED + "select domain, provider, count(*) as count from h where is_external and provider is not null group by 1, 2", "effects")(lambda g, *_: views.external_systems(rules.run_rules(g.effects)))
-query("relationships", _RULED + "select container, domain, count(*) as count, array_to_string(list_sort(list(distinct action))[1:3], '/') as label from h group by 1, 2", "effects")(lambda g, *_: views.relationships(rules.grouped(rules.run_rules(g.effects))))
+query("relationships", _RULED + "select container, domain, count(*) as count, array_to_string(list_sort(list(distinct action))[1:3], '/') as label from h group by 1, 2", "effects")(lambda g, *_: views.relationships(rules.grouped(_pathed(rules.run_rules(g.effects)))))
 query("boundaries", _RULED + "select domain, count(distinct source_file_path) as files, count(distinct source_entity_id) as components, round(least(1.0, count(distinct source_entity_id)::double / greatest(1, 2 * count(distinct source_file_path))), 6) as cohesion from h group by 1", "effects")(lambda g, *_: views.boundaries(rules.run_rules(g.effects)))
 query("flow_steps", _RULED + "select * from (select domain, coalesce(provider, 'internal') as provider, effect_id, row_number() over (partition by domain, coalesce(provider, 'internal') order by length(effect_id), effect_id) as step from h) where step <= 8", "effects")(lambda g, *_: views.flow_steps(rules.run_rules(g.effects)).select("domain", "provider", "effect_id", "step"))
-query("significance", _RULED + ", n as (select target_entity_id, count(*) as dependents from clicks group by 1) select case when domain in ('Payment', 'Auth') then 'critical' when domain = 'Observability' then 'hidden' when domain = 'Database' and action = 'Write' then 'important' when coalesce(dependents, 0) >= 10 then 'important' else 'minor' end as significance, count(*) as count from h left join n on n.target_entity_id = h.source_entity_id group by 1", "effects", "clicks")(lambda g, *_: rules.significance(rules.run_rules(g.effects), g.clicks.groupBy(F.col("target_entity_id").alias("source_entity_id")).agg(F.count("*").alias("dependents"))).groupBy("significance").agg(F.count("*").alias("count")))
+query("significance", _RULED + f", k as (select target_entity_id, count(*) as dependents from clicks group by 1) select {_LEVEL} as significance, count(*) as count from h left join k on k.target_entity_id = h.source_entity_id left join nodes n on n.entity_id = h.source_entity_id group by 1", "effects", "clicks", "nodes")(lambda g, *_: rules.significance(_pathed(rules.run_rules(g.effects)), g.clicks.groupBy(F.col("target_entity_id").alias("source_entity_id")).agg(F.count("*").alias("dependents")), g.nodes).groupBy("significance").agg(F.count("*").alias("count")))
 query("mapped_effects", "select case when effect_type <> 'FunctionCall' then effect_type when regexp_matches(callee_name, '(put|create|insert|write|save)', 'i') then 'Store' when regexp_matches(callee_name, '(get|find|query|read|select)', 'i') then 'Retrieve' when regexp_matches(callee_name, '(send|publish|fetch|post)', 'i') then 'Send' else 'FunctionCall' end as mapped_type, count(*) as count from effects group by 1", "effects")(lambda g, *_: rules.mapped(g.effects).groupBy("mapped_type").agg(F.count("*").alias("count")))
 query("internal_relationships", "select s.c as source, t.c as target, count(*) as calls from edges e join (select entity_id, kind as c from nodes) s on s.entity_id = e.source_entity_id join (select entity_id, kind as c from nodes) t on t.entity_id = e.target_entity_id where e.edge_type = 'CALLS' and s.c <> t.c group by 1, 2", "edges", "nodes")(lambda g, *_: views.internal_relationships(g.edges, g.nodes.select("entity_id", F.col("kind").alias("container"))))
 query("f1_of_sets", "with a as (select distinct source_entity_id as k from edges where edge_type = 'CONTAINS'), p as (select distinct target_entity_id as k from edges where edge_type = 'CONTAINS'), n as (select count(*) filter (where a.k is not null and p.k is not null) as tp, count(*) filter (where a.k is null) as fp, count(*) filter (where p.k is null) as fn from a full join p on a.k = p.k), r as (select *, case when tp + fp > 0 then tp::double / (tp + fp) else 0 end as precision, case when tp + fn > 0 then tp::double / (tp + fn) else 0 end as recall from n) select tp, fp, fn, round(precision, 6) as precision, round(recall, 6) as recall, round(case when precision + recall > 0 then 2 * precision * recall / (precision + recall) else 0 end, 6) as f1 from r", "edges")(lambda g, *_: (lambda e: views.f1(e.select(F.col("source_entity_id").alias("k")), e.select(F.col("target_entity_id").alias("k")), "k"))(g.edges.filter("edge_type = 'CONTAINS'")))
