@@ -63,13 +63,20 @@ def of_provider(rules: tuple[Rule, ...], provider: str) -> list[Rule]:
     return [r for r in rules if r.provider == provider]
 
 
+def first_rule(rules: list[tuple[Column, str]]) -> Column:
+    """Id of the first rule whose condition holds, else null: one flat CASE."""
+    chain = None
+    for condition, i in rules:
+        chain = F.when(condition, i) if chain is None else chain.when(condition, i)
+    return F.lit(None).cast("string") if chain is None else chain
+
+
 def run_rules(effects: DataFrame, rules: tuple[Rule, ...] = BUILTIN) -> DataFrame:
     """Adds rule_id, domain, action and provider of the first matching rule; effects that match none are left out."""
-    chain = F.lit(None).cast("string")
-    for r in reversed(ordered(rules)):
-        chain = F.when(r.condition(), r.id).otherwise(chain)
+    chain = first_rule([(r.condition(), r.id) for r in ordered(rules)])
     by_id = lambda of: F.element_at(F.create_map(*[F.lit(x) for r in rules for x in (r.id, of(r))]), F.col("rule_id"))
-    hit = effects.withColumn("rule_id", chain).filter("rule_id is not null")
+    # the row id keeps the filter above the chain: pushed below, it would evaluate the chain and all its inputs once more
+    hit = effects.select("*", chain.alias("rule_id"), F.monotonically_increasing_id().alias("_row")).filter("rule_id is not null and _row >= 0").drop("_row")
     return hit.withColumns({"domain": by_id(lambda r: r.domain), "action": by_id(lambda r: r.action), "provider": by_id(lambda r: r.provider)})
 
 
@@ -88,14 +95,6 @@ def first_of(pairs: list[tuple[Column, str]], default: str) -> Column:
     return out
 
 
-def _first_rule(rules: list[tuple[Column, str]]) -> Column:
-    """Id of the first rule whose condition holds, else null."""
-    chain = F.lit(None).cast("string")
-    for condition, i in reversed(rules):
-        chain = F.when(F.coalesce(condition, F.lit(False)), i).otherwise(chain)
-    return chain
-
-
 def _looked_up(key: str, values: dict[str, str]) -> Column:
     return F.element_at(F.create_map(*[F.lit(x) for kv in values.items() for x in kv]), F.col(key))
 
@@ -103,7 +102,7 @@ def _looked_up(key: str, values: dict[str, str]) -> Column:
 def grouped(domain_effects: DataFrame, rules: tuple = GROUPING_RULES, default: str = "Other", path: str = "source_file_path") -> DataFrame:
     """Adds grouping_rule, container, layer and tags of the first rule whose pattern the path holds; others get the default container."""
     order = sorted(rules, key=lambda r: -r[5])
-    hit = domain_effects.withColumn("grouping_rule", _first_rule([(F.col(path).rlike(f"(?i){r[1]}"), r[0]) for r in order]))
+    hit = domain_effects.withColumn("grouping_rule", first_rule([(F.col(path).rlike(f"(?i){r[1]}"), r[0]) for r in order]))
     tags = F.split(_looked_up("grouping_rule", {r[0]: ",".join(r[4]) for r in rules}), ",")
     return hit.withColumns({
         "container": F.coalesce(_looked_up("grouping_rule", {r[0]: r[2] for r in rules}), F.lit(default)),
@@ -142,7 +141,7 @@ def significance(domain_effects: DataFrame, dependents: DataFrame, nodes: DataFr
     else:
         d = d.join(nodes.select(F.col("entity_id").alias("source_entity_id"), F.col("name").alias("source_name"), F.col("kind").alias("source_kind"), F.col("is_exported").alias("source_exported")), "source_entity_id", "left")
     order = sorted(rules, key=lambda r: -r[2])
-    hit = d.withColumn("significance_rule", _first_rule([(_significant(r[3]), r[0]) for r in order]))
+    hit = d.withColumn("significance_rule", first_rule([(_significant(r[3]), r[0]) for r in order]))
     return hit.withColumn("significance", F.coalesce(_looked_up("significance_rule", {r[0]: r[1] for r in rules}), F.lit(default)))
 
 

@@ -19,17 +19,20 @@ def _oriented(edges: DataFrame, edge_types: list[str] | None, reverse: bool) ->
     if edge_types:
         edges = edges.filter(F.col("edge_type").isin(edge_types))
     a, b = ("target_entity_id", "source_entity_id") if reverse else ("source_entity_id", "target_entity_id")
-    return edges.select(F.col(a).alias("here"), F.col(b).alias("there"), "edge_type").distinct()
+    return edges.select(F.col(a).alias("here"), F.col(b).alias("there"), "edge_type")
 
 
 def _paths(start: DataFrame, hop: DataFrame, depth: int, closed: bool) -> DataFrame:
-    """(here, there, edge_type, depth) of every hop on a path; closed: the start may not be entered again."""
+    """(here, there, edge_type, depth) of every hop on a path; closed: the start may not be entered again.
+
+    Repeated edges are dropped from each level, which is small, rather than from all edges, which would shuffle them.
+    """
     first = start.join(hop, "here").withColumn("path", F.array("here", "there") if closed else F.array("there"))
-    level = first.select("here", "there", "edge_type", "path", F.lit(1).alias("depth"))
+    level = first.select("here", "there", "edge_type", "path", F.lit(1).alias("depth")).distinct()
     out = level
     for d in range(2, depth + 1):
         level = level.select(F.col("there").alias("here"), "path").join(hop, "here").filter(~F.array_contains("path", F.col("there")))
-        level = level.select("here", "there", "edge_type", F.array_append("path", F.col("there")).alias("path"), F.lit(d).alias("depth"))
+        level = level.select("here", "there", "edge_type", F.array_append("path", F.col("there")).alias("path"), F.lit(d).alias("depth")).distinct()
         out = out.unionByName(level)
     return out.drop("path")
 
@@ -65,7 +68,7 @@ def graph_imports(edges: DataFrame, nodes: DataFrame, exports: bool = False) ->
 def reachable(edges: DataFrame, start: DataFrame, depth: int = MAX_DEPTH, edge_types: list[str] | None = None, reverse: bool = False) -> DataFrame:
     """(entity_id, depth) of every node reached from start, itself left out, each once at its least depth."""
     check_range("depth", depth, 1, MAX_DEPTH)
-    hop = _oriented(edges, edge_types, reverse).select("here", "there").distinct()
+    hop = _oriented(edges, edge_types, reverse).select("here", "there")
     seen = start.select("entity_id", F.lit(0).alias("depth"))
     frontier = seen
     for d in range(1, depth + 1):
