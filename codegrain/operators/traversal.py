@@ -22,12 +22,13 @@ def _oriented(edges: DataFrame, edge_types: list[str] | None, reverse: bool) ->
     return edges.select(F.col(a).alias("here"), F.col(b).alias("there"), "edge_type")
 
 
-def _paths(start: DataFrame, hop: DataFrame, depth: int, closed: bool) -> DataFrame:
+def _paths(start: DataFrame | list[str], hop: DataFrame, depth: int, closed: bool) -> DataFrame:
     """(here, there, edge_type, depth) of every hop on a path; closed: the start may not be entered again.
 
     Repeated edges are dropped from each level, which is small, rather than from all edges, which would shuffle them.
     """
-    first = start.join(hop, "here").withColumn("path", F.array("here", "there") if closed else F.array("there"))
+    first = hop.filter(F.col("here").isin(start)) if isinstance(start, list) else start.select(F.col("entity_id").alias("here")).join(hop, "here")
+    first = first.withColumn("path", F.array("here", "there") if closed else F.array("there"))
     level = first.select("here", "there", "edge_type", "path", F.lit(1).alias("depth")).distinct()
     out = level
     for d in range(2, depth + 1):
@@ -37,23 +38,25 @@ def _paths(start: DataFrame, hop: DataFrame, depth: int, closed: bool) -> DataFr
     return out.drop("path")
 
 
-def graph_deps(edges: DataFrame, start: DataFrame, depth: int = 1, edge_types: list[str] | None = None, reverse: bool = False) -> DataFrame:
-    """Edges met from start (entity_id), each with its least depth; reverse gives dependents.  The start may be re-entered once."""
+def graph_deps(edges: DataFrame, start: DataFrame | list[str], depth: int = 1, edge_types: list[str] | None = None, reverse: bool = False) -> DataFrame:
+    """Edges met from start, each with its least depth; reverse gives dependents.  The start may be re-entered once.
+
+    start: a list of ids, which filters the scan of the first level, or a table of entity_id.
+    """
     check_range("depth", depth, 1, MAX_DEPTH)
-    seeds = start.select(F.col("entity_id").alias("here"))
-    met = _paths(seeds, _oriented(edges, edge_types, reverse), depth, False).groupBy("here", "there", "edge_type").agg(F.min("depth").alias("depth"))
+    met = _paths(start, _oriented(edges, edge_types, reverse), depth, False).groupBy("here", "there", "edge_type").agg(F.min("depth").alias("depth"))
     a, b = ("there", "here") if reverse else ("here", "there")
     return met.select(F.col(a).alias("source_entity_id"), F.col(b).alias("target_entity_id"), "edge_type", "depth")
 
 
-def graph_dependents(edges: DataFrame, start: DataFrame, depth: int = 1, edge_types: list[str] | None = None) -> DataFrame:
+def graph_dependents(edges: DataFrame, start: DataFrame | list[str], depth: int = 1, edge_types: list[str] | None = None) -> DataFrame:
     return graph_deps(edges, start, depth, edge_types, reverse=True)
 
 
-def call_graph(edges: DataFrame, nodes: DataFrame, start: DataFrame, depth: int = 3, callers: bool = False, limit: int = 100) -> DataFrame:
+def call_graph(edges: DataFrame, nodes: DataFrame, start: DataFrame | list[str], depth: int = 3, callers: bool = False, limit: int = 100) -> DataFrame:
     """Known callees (or callers) per depth; a node may appear at several depths, the start never."""
     check_range("depth", depth, 1, MAX_DEPTH)
-    met = _paths(start.select(F.col("entity_id").alias("here")), _oriented(edges, ["CALLS"], callers), depth, True)
+    met = _paths(start, _oriented(edges, ["CALLS"], callers), depth, True)
     met = met.filter("here <> there").select(F.col("there").alias("entity_id"), "depth").distinct()
     return met.join(nodes.select("entity_id", "name", "kind", "file_path"), "entity_id").orderBy("depth", "name", "entity_id").limit(limit)
 

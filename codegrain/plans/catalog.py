@@ -81,10 +81,10 @@ w as (select e.{a} as here, e.{b} as there, e.edge_type, {path} as path, 1 as de
 
 
 _S, _T = "source_entity_id", "target_entity_id"
-query("graph_deps_1", f"select e.source_entity_id, e.target_entity_id, e.edge_type, 1 as depth from (select distinct source_entity_id, target_entity_id, edge_type from edges) e where e.source_entity_id = 'geo:atlas:module:3'", "edges")(lambda g, spark, _: traversal.graph_deps(g.edges, spark.createDataFrame([("geo:atlas:module:3",)], "entity_id string")))
+query("graph_deps_1", f"select e.source_entity_id, e.target_entity_id, e.edge_type, 1 as depth from (select distinct source_entity_id, target_entity_id, edge_type from edges) e where e.source_entity_id = 'geo:atlas:module:3'", "edges")(lambda g, spark, _: traversal.graph_deps(g.edges, ["geo:atlas:module:3"]))
 query("graph_deps_cyclic", _walk(_S, _T, 3, "clicks", False, _SEEDS) + "select here as source_entity_id, there as target_entity_id, edge_type, min(depth) as depth from w group by 1, 2, 3", "clicks")(lambda g, *_: traversal.graph_deps(g.clicks, _seed(g), 3))
 query("graph_dependents_cyclic", _walk(_T, _S, 2, "clicks", False, _SEEDS) + "select there as source_entity_id, here as target_entity_id, edge_type, min(depth) as depth from w group by 1, 2, 3", "clicks")(lambda g, *_: traversal.graph_dependents(g.clicks, _seed(g), 2))
-query("graph_deps_layers", _walk(_S, _T, 4, "edges", False, "select 'geo:atlas:namespace:1' as entity_id") + "select edge_type, depth, count(*) as edges from (select here, there, edge_type, min(depth) as depth from w group by 1, 2, 3) group by 1, 2", "edges")(lambda g, spark, _: traversal.graph_deps(g.edges, spark.createDataFrame([("geo:atlas:namespace:1",)], "entity_id string"), 4).groupBy("edge_type", "depth").agg(F.count("*").alias("edges")))
+query("graph_deps_layers", _walk(_S, _T, 4, "edges", False, "select 'geo:atlas:namespace:1' as entity_id") + "select edge_type, depth, count(*) as edges from (select here, there, edge_type, min(depth) as depth from w group by 1, 2, 3) group by 1, 2", "edges")(lambda g, spark, _: traversal.graph_deps(g.edges, ["geo:atlas:namespace:1"], 4).groupBy("edge_type", "depth").agg(F.count("*").alias("edges")))
 query("call_graph", _walk(_S, _T, 2, "clicks", True, _SEEDS) + ", m as (select distinct there, depth from w where here <> there) select n.entity_id, m.depth, n.name, n.kind, n.file_path from m join nodes n on n.entity_id = m.there order by m.depth, n.name, n.entity_id limit 100", "clicks", "nodes")(lambda g, *_: traversal.call_graph(g.clicks, g.nodes, _seed(g), 2))
 query("graph_imports", "select e.source_entity_id, e.target_entity_id, n.name as target_name, n.kind as target_kind from edges e left join nodes n on n.entity_id = e.target_entity_id where e.edge_type in ('IMPORTS', 'RE_EXPORTS')", "edges", "nodes")(lambda g, *_: traversal.graph_imports(g.edges, g.nodes).select("source_entity_id", "target_entity_id", "target_name", "target_kind"))
 query("affected", f"with seeds as ({_SEEDS}), a as (select distinct e.source_entity_id as id from clicks e join seeds s on e.target_entity_id = s.entity_id where e.source_entity_id <> s.entity_id), b as (select distinct e.source_entity_id as id from clicks e join a on e.target_entity_id = a.id where e.source_entity_id not in (select id from a) and e.source_entity_id not in (select entity_id from seeds)) select id as entity_id, 1 as depth, split_part(id, ':', 1) as repo, true as is_direct from a union all select id, 2, split_part(id, ':', 1), false from b", "clicks")(lambda g, *_: traversal.affected(g.clicks, _seed(g), 2))
