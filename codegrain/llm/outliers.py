@@ -42,6 +42,8 @@ BINS = 4096
 FLOOR = 0.02
 #: Squared Mahalanobis distance over which a document goes; far beyond any chi-squared quantile, as clean text has heavy tails.
 CUTOFF = 150.0
+#: Groups of under 1 KB each that are broadcast.
+BROADCAST_GROUPS = 10_000
 
 _LINE = re.compile(rb"[^\x20\x09-\x0D]")
 
@@ -137,15 +139,20 @@ def _away(rows: DataFrame, p: int) -> DataFrame:
 KEYS = ["level", "gl", "gs"]
 
 
+def _with_groups(rows: DataFrame, groups: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """rows with the written values of their group: broadcast up to BROADCAST_GROUPS groups, so that no group's rows meet in one task; else a join on the keys."""
+    return rows.join(F.broadcast(groups) if groups.count() <= BROADCAST_GROUPS else groups, on, how)
+
+
 def fit(rows: DataFrame, p: int) -> DataFrame:
     """(level, gl, gs, x0..) rows -> (level, gl, gs, n, mean, inv, half): estimates of every group, half its median squared distance."""
     centre = rows.groupBy(*KEYS).agg(F.count("*").alias("n"), *[F.percentile_approx(f"x{i}", F.lit(0.5), F.lit(1000)).alias(f"c{i}") for i in range(p)])
-    off = rows.join(centre, KEYS).groupBy(*KEYS).agg(F.first("n").alias("n"), F.array(*[F.first(f"c{i}") for i in range(p)]).alias("mean"), *[F.percentile_approx(F.abs(F.col(f"x{i}") - F.col(f"c{i}")), F.lit(0.5), F.lit(1000)).alias(f"d{i}") for i in range(p)])
+    off = _with_groups(rows, cut(centre, "mcd"), KEYS).groupBy(*KEYS).agg(F.first("n").alias("n"), F.array(*[F.first(f"c{i}") for i in range(p)]).alias("mean"), *[F.percentile_approx(F.abs(F.col(f"x{i}") - F.col(f"c{i}")), F.lit(0.5), F.lit(1000)).alias(f"d{i}") for i in range(p)])
     cov = F.array(*[F.pow(1.4826 * F.col(f"d{i}"), 2) if i == j else F.lit(0.0) for i, j in _upper(p)])
     schema = "level int, gl string, gs string, n long, mean array<double>, inv array<double>"
     model = cut(off.select(*KEYS, "n", "mean", cov.alias("cov")).mapInArrow(_invert, schema), "mcd")
     for step in range(STEPS + 1):
-        away = _away(rows.join(model, KEYS), p)
+        away = _away(_with_groups(rows, model, KEYS), p)
         bins = away.groupBy(*KEYS, F.least(F.lit(BINS), F.floor(F.log1p("dist") * 200)).cast("int").alias("bin")).agg(F.count("*").alias("in_bin"), F.max("dist").alias("top"))
         per = bins.groupBy(*KEYS).agg(F.array_sort(F.collect_list(F.struct("bin", "in_bin", "top"))).alias("bins"), F.sum("in_bin").alias("m"))
         start = F.struct(F.lit(0).cast("long").alias("seen"), F.lit(None).cast("double").alias("at"))
@@ -153,7 +160,7 @@ def fit(rows: DataFrame, p: int) -> DataFrame:
         halves = per.select(*KEYS, found["at"].alias("half"))
         if step == STEPS:
             return cut(model.join(halves, KEYS).withColumn("half", F.greatest("half", F.lit(1.0))), "mcd")
-        core = away.join(halves, KEYS).filter(F.col("dist") <= F.col("half"))
+        core = _with_groups(away, cut(halves, "mcd"), KEYS).filter(F.col("dist") <= F.col("half"))
         sums = core.groupBy(*KEYS).agg(F.first("n").alias("n"), F.array(*[F.avg(f"x{i}") for i in range(p)]).alias("mean"), F.array(*[F.covar_pop(f"x{i}", f"x{j}") for i, j in _upper(p)]).alias("cov"))
         # the inner half of a normal sample has a smaller spread; the factor makes up for it
         model = cut(sums.withColumn("cov", F.transform("cov", lambda c: c * 2.5)).mapInArrow(_invert, schema), "mcd")
@@ -175,7 +182,7 @@ def judge(docs: DataFrame) -> DataFrame:
     scored = keyed
     for level, on in ((0, ["gl", "gs"]), (1, ["gl"]), (2, [])):
         own = model.filter(F.col("level") == level).select(*on, "mean", "inv", "half")
-        joined = scored.join(own, on, "left") if on else scored.join(F.broadcast(own), F.lit(True), "left")  # at most one row
+        joined = _with_groups(scored, own, on, "left") if on else scored.join(F.broadcast(own), F.lit(True), "left")  # at most one row
         scored = _away(joined, p).withColumn(f"near{level}", F.col("dist") * chi_median / F.col("half")).drop("mean", "inv", "half", "dist")
     scored = scored.withColumn("distance", F.coalesce("near0", "near1", "near2"))
     kept = ~F.col("base_failed") & ~F.coalesce(F.col("distance") > CUTOFF, F.lit(False))
