@@ -184,7 +184,43 @@ query("datom_counts", _DATOMS + "select a, count(*) as datoms, count(distinct e)
 query("datom_entity", _DATOMS + "select a, v from datoms where e = 'supply:catalog:function:11'", "nodes")(lambda g, *_: datoms.entity(datoms.node_datoms(g.nodes), "supply:catalog:function:11"))
 query("datom_by_value", _DATOMS + "select distinct e from datoms where a = ':node/visibility' and v = 'private'", "nodes")(lambda g, *_: datoms.with_attribute(datoms.node_datoms(g.nodes), ":node/visibility", "private"))
 query("datom_reverse_refs", "select distinct source_entity_id as e from edges where target_entity_id = 'supply:catalog:function:5'", "edges")(lambda g, *_: datoms.reverse_refs(datoms.edge_datoms(g.edges), "supply:catalog:function:5"))
-query("wcag_issues", r"with t as (select page_id, generate_subscripts(m, 1) as pos, unnest(m) as tag from (select page_id, regexp_extract_all(html, '<[A-Za-z][^>]*>') as m from pages)), n as (select *, lower(regexp_extract(tag, '^<([A-Za-z][A-Za-z0-9]*)', 1)) as name from t), h as (select page_id, cast(name[2] as int) as level, lag(cast(name[2] as int)) over (partition by page_id order by pos) as before from n where regexp_matches(name, '^h[1-6]$')), i as (select page_id, 'image-alt' as rule_id from n where name = 'img' and not regexp_matches(tag, '\balt=', 'i') union all select page_id, 'tabindex' from n where regexp_matches(tag, 'tabindex=[""'']?[1-9]', 'i') union all select page_id, 'heading-order' from h where level > before + 1) select rule_id, count(*) as issues, count(distinct page_id) as pages from i group by 1".replace('""', '"'))(lambda g, spark, d: wcag.issues(_table(spark, d, "pages")))
+
+
+def _wcag_sql() -> str:
+    quoted = lambda p: p.replace("'", "''")
+    columns = ", ".join(f"case when regexp_matches(tag, '{quoted(wcag.attribute_pattern(a))}') then regexp_extract(tag, '{quoted(wcag.attribute_pattern(a))}', 1) end as {c}" for c, a in wcag.ATTRIBUTES.items())
+    names = lambda xs: "(" + ", ".join(f"'{x}'" for x in xs) + ")"
+    named = "(trim(coalesce(aria_label, '')) <> '' or coalesce(list_contains(page_ids, aria_labelledby), false))"
+    labelled = "(coalesce(aria_label, '') <> '' or coalesce(aria_labelledby, '') <> '')"
+    native = "name in ('a', 'button', 'label', 'input', 'select', 'textarea')"
+    rules = {
+        "wcag-keyboard-accessible": f"on_click is not null and on_key is null and not {native} and role is null",
+        "wcag-accessible-name": f"on_click is not null and not {native} and coalesce(role, '') <> '' and not {named}",
+        "wcag-valid-aria-reference": "coalesce(aria_labelledby, '') <> '' and not coalesce(list_contains(page_ids, aria_labelledby), false)",
+        "wcag-no-positive-tabindex": "try_cast(tab_index as int) > 0",
+        "wcag-button-has-text": f"(name = 'button' or role = 'button') and not {named} and not has_text and not {labelled} and icon <> ''",
+        "wcag-form-label": f"name in {names(wcag.LABELABLE)} and coalesce(type, '') <> 'hidden' and not {labelled} and not (coalesce(element_id, '') <> '' and coalesce(list_contains(labelled_ids, element_id), false))",
+        "wcag-heading-order": "level > heading_before + 1",
+        "wcag-semantic-elements": f"name in ('div', 'span') and role in {names(wcag.SEMANTIC_ROLES)}",
+        "wcag-aria-hidden-focus": f"(try_cast(tab_index as int) >= 0 or name in {names(wcag.FOCUSABLE)} or (name = 'a' and href is not null)) and aria_hidden = 'true'",
+        "wcag-list-structure": "name = 'li' and lists_before = 0",
+        "wcag-image-alt": f"name = 'img' and alt is null and not {labelled} and coalesce(role, '') not in ('presentation', 'none') and coalesce(aria_hidden, '') <> 'true'",
+        "wcag-link-name": f"name = 'a' and href <> '' and not {named} and not has_text and coalesce(title, '') = ''",
+        "wcag-table-headers": "name = 'th' and coalesce(scope, '') = '' and page_headers > 1",
+    }
+    info = ", ".join(f"('{r}', '{c}', '{v}')" for r, c, v in wcag.RULES)
+    found = " union all ".join(f"select page_id, '{r}' as rule_id from c where {w}" for r, w in rules.items())
+    return rf"""with t as (select page_id, generate_subscripts(m, 1) as pos, unnest(m) as piece from (select page_id, regexp_extract_all(html, '<[A-Za-z][^>]*>[^<]*') as m from pages)),
+g as (select page_id, pos, regexp_extract(piece, '^(<[^>]*>)', 1) as tag, lower(regexp_extract(piece, '^<([A-Za-z][A-Za-z0-9]*)', 1)) as name, regexp_matches(regexp_extract(piece, '^<[^>]*>([^<]*)', 1), '\S') as has_text from t),
+e as (select *, {columns} from g), l as (select *, case when regexp_matches(name, '^h[1-6]$') then cast(substr(name, 2, 1) as int) end as level from e),
+c as (select *, list(element_id) filter (where element_id is not null) over (partition by page_id) as page_ids, list(html_for) filter (where name = 'label' and html_for is not null) over (partition by page_id) as labelled_ids,
+ count(*) filter (where name = 'th') over (partition by page_id) as page_headers, count(*) filter (where name in ('ul', 'ol', 'menu')) over (partition by page_id order by pos rows unbounded preceding) as lists_before,
+ last_value(level ignore nulls) over (partition by page_id order by pos rows between unbounded preceding and 1 preceding) as heading_before from l),
+f as ({found}), k(rule_id, criterion, severity) as (values {info})
+select f.rule_id, k.criterion, k.severity, count(*) as issues, count(distinct f.page_id) as pages from f join k on k.rule_id = f.rule_id group by 1, 2, 3""".replace("\\\\S", "\\S")
+
+
+query("wcag_issues", _wcag_sql())(lambda g, spark, d: wcag.issues(_table(spark, d, "pages")))
 query("raw_sql", "select kind, count(*) as n from nodes where is_async group by kind", "nodes")(lambda g, spark, _: seeds.query(spark, "select kind, count(*) as n from nodes@* where is_async group by kind", nodes=g.nodes))
 
 
