@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codegrain.operators import datoms, effects, hub, overlay, rules, symbols, traversal, views, wcag
+from codegrain.operators import datoms, effects, hub, overlay, resolution, rules, symbols, traversal, views, wcag
 from codegrain.plans.projection import Graph, project, with_views
 from codegrain.sources import seeds
 from codegrain.streaming import changes
@@ -245,3 +245,27 @@ def _changed(g: Graph, spark: SparkSession, d: str) -> DataFrame:
 @query("debounced_bursts", "with f as (select 'src/f' || user_id || '.ts' as path, ts from events), k as (select *, case when ts < lag(ts) over (partition by path order by ts) + interval 6 hour then 0 else 1 end as fresh from f), b as (select path, sum(fresh) over (partition by path order by ts rows unbounded preceding) as burst from k), n as (select path, burst, count(*) as events from b group by 1, 2) select events, count(*) as bursts from n group by 1")
 def _bursts(g: Graph, spark: SparkSession, d: str) -> DataFrame:
     return changes.debounced(_file_events(spark, d), "6 hours").groupBy("events").agg(F.count("*").alias("bursts"))
+
+
+# --- resolution
+
+
+def _function_uses(g: Graph) -> DataFrame:
+    odd = F.element_at(F.split("entity_id", ":"), -1).cast("long") % 2 == 1
+    return g.nodes.filter("kind in ('function', 'interface')").select(F.col("entity_id").alias("use_id"), "name", F.when(odd, "elsewhere.ts").otherwise(F.col("file_path")).alias("file_path"))
+
+
+query("resolve_calls", """with u as (select entity_id as use_id, name, case when cast(split_part(entity_id, ':', 4) as bigint) % 2 = 1 then 'elsewhere.ts' else file_path end as file_path from nodes where kind in ('function', 'interface')),
+c as (select *, case kind when 'class' then 1 else 0 end as late, list_position(['function', 'method', 'class'], kind) as rank from nodes where kind in ('function', 'method', 'class')),
+r as (select u.use_id, c.entity_id, case when c.file_path = u.file_path then 1.0 else 0.9 end as confidence, row_number() over (partition by u.use_id order by case when c.file_path = u.file_path then 0 else 1 end, late, rank, entity_id) as rn from u join c on c.name = u.name and (c.file_path = u.file_path or c.is_exported))
+select u.use_id, r.entity_id as resolved_id, cast(r.confidence as double) as confidence from u left join r on r.use_id = u.use_id and r.rn = 1""", "nodes")(lambda g, *_: resolution.resolve_names(_function_uses(g), g.nodes).select("use_id", "resolved_id", "confidence"))
+query("resolve_imports", """with p as (select entity_id, name, file_path, cast(split_part(entity_id, ':', 4) as bigint) as key from nodes where kind = 'function'),
+r as (select entity_id as ref_id, case key % 3 when 0 then file_path when 1 then regexp_replace(file_path, '[.]ts$', '') else 'none' end as base, name as symbol from p)
+select r.ref_id, (select min(n.entity_id) from nodes n where n.is_exported and n.name = r.symbol and n.file_path = case when r.base like '%.ts' then r.base else r.base || '.ts' end) as resolved_id from r""", "nodes")(lambda g, *_: resolution.resolve_imports((lambda p, key: p.select(F.col("entity_id").alias("ref_id"), F.when(key % 3 == 0, F.col("file_path")).when(key % 3 == 1, F.regexp_replace("file_path", "[.]ts$", "")).otherwise("none").alias("base"), F.col("name").alias("symbol")))(g.nodes.filter("kind = 'function'"), F.element_at(F.split("entity_id", ":"), -1).cast("long")), g.nodes).select("ref_id", "resolved_id"))
+query("affected_files", "select source_file_path, count(distinct target_entity_id) as symbols from external_refs where is_resolved and target_entity_id in (select entity_id from nodes where is_exported) group by 1", "external_refs", "nodes")(lambda g, *_: resolution.affected_files(g.external_refs, g.nodes.filter("is_exported")))
+query("match_routes", """with s as (select event_id as send_id, case event_id % 2 when 0 then 'get' else 'POST' end as method, '/Api/svc' || event_id % 7 || '/:id' || event_id % 3 || '/' as target from events where event_type = 'signup'),
+q as (select event_id as request_id, case event_id % 3 when 0 then 'GET' else 'post' end as method, '/api/svc' || event_id % 9 || '/{key}' as route_pattern from events where event_type = 'error'),
+n as (select min(request_id) as request_id, upper(method) as method, lower(regexp_replace(route_pattern, '[{].*[}]', '*')) as path from q group by 2, 3)
+select send_id, request_id from s join n on n.method = upper(s.method) and n.path = '/api/svc' || send_id % 7 || '/*'""")(lambda g, spark, d: (lambda e: resolution.match_routes(
+    e.filter("event_type = 'signup'").selectExpr("event_id as send_id", "case event_id % 2 when 0 then 'get' else 'POST' end as method", "concat('/Api/svc', event_id % 7, '/:id', event_id % 3, '/') as target"),
+    e.filter("event_type = 'error'").selectExpr("event_id as request_id", "case event_id % 3 when 0 then 'GET' else 'post' end as method", "concat('/api/svc', event_id % 9, '/{key}') as route_pattern")))(_table(spark, d, "events")))
