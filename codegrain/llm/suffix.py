@@ -11,8 +11,9 @@ suffixes carry, once in this order and once in the order of the words before.
 Matches of MIN_WORDS words or more are merged per document.
 
 Suffixes of one batch with equal key and context travel as one row with many
-members, so groups of copies shrink before the shuffle; a partition streams
-over its sorted rows and holds one key's rows, GROUP at most, at a time.
+members, so groups of copies shrink before the shuffle.  A partition streams
+over its rows in both orders, which Spark sorts, and holds one document's rows
+of a key at a time, so a key may have any number of rows.
 
 Defined results: null and empty texts and those under MIN_WORDS words have no
 row; repeats inside one doc_id alone do not count, so repeated rows of one id
@@ -21,7 +22,8 @@ do not match each other; a null doc_id counts as a document of its own.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import itertools
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +38,7 @@ GRAM = 6
 WINDOW = 25
 RUN = MIN_WORDS - WINDOW + 1
 CONTEXT = 25
-GROUP = 50_000
+BATCH = 10_000
 MEMO = 150_000
 _C = np.uint64(0x9E3779B97F4A7C15)
 
@@ -109,68 +111,82 @@ def shared(a: bytes, b: bytes) -> int:
     return ((x & -x).bit_length() - 1) // 16
 
 
-def group_spans(rows: list[tuple[bytes, bytes, np.ndarray]]) -> Iterator[tuple[int, int, int, int]]:
-    """(doc, start, end, partner) of every member that matches another document in MIN_WORDS words or more; rows share a key."""
-    docs = [m[::2] for _, _, m in rows]
-    many = [bool((d != d[0]).any()) for d in docs]
-    reach: list[list[int]] = [[-1, -1, NO_ID] for _ in rows]
-
-    def meet(i: int, j: int) -> None:
-        left, right = shared(rows[i][0], rows[j][0]), shared(rows[i][1], rows[j][1])
-        if left + RUN + right >= MIN_WORDS:
-            for a, b in ((i, j), (j, i)):
-                r = reach[a]
-                if left + right > r[0] + r[1] or r[0] < 0:
-                    r[2] = int(docs[b][0])
-                r[0], r[1] = max(r[0], left), max(r[1], right)
-
-    for side in (1, 0):
-        order = sorted(range(len(rows)), key=lambda i: (rows[i][side], rows[i][1 - side]))
-        other = -1  # the last row before that holds another document
-        for at, i in enumerate(order):
-            if at:
-                j = order[at - 1]
-                if many[i] or many[j] or docs[i][0] != docs[j][0]:
-                    other = j
-                if other >= 0:
-                    meet(i, other)
-        other = -1
-        for at in range(len(order) - 2, -1, -1):
-            i, j = order[at], order[at + 1]
-            if many[i] or many[j] or docs[i][0] != docs[j][0]:
-                other = j
-            if other >= 0:
-                meet(i, other)
-    for i, (left, right, members) in enumerate(rows):
-        r = reach[i]
-        whole = many[i] and (len(left) + len(right)) // 2 + RUN >= MIN_WORDS
-        if whole:
-            r[0], r[1] = len(left) // 2, len(right) // 2
-        if r[0] < 0:
+class Row:
+    """One suffix context of a key: its members, and how far they match another document so far."""
+
+    __slots__ = ("after", "before", "docs", "k", "left", "many", "members", "partner", "right")
+
+    def __init__(self, k: int, before: bytes, after: bytes, members: bytes, left: int = -1, right: int = -1, partner: int = NO_ID) -> None:
+        self.k, self.before, self.after, self.members = k, before, after, members
+        self.docs = np.frombuffer(members, "<i8")[::2]
+        self.many = len(members) > 16 and bool((self.docs != self.docs[0]).any())
+        self.left, self.right, self.partner = left, right, partner
+
+    def apart(self, other: Row) -> bool:
+        return self.many or other.many or self.docs[0] != other.docs[0]
+
+
+def meet(a: Row, b: Row) -> None:
+    left, right = shared(a.before, b.before), shared(a.after, b.after)
+    if left + RUN + right >= MIN_WORDS:
+        for x, y in ((a, b), (b, a)):
+            if left + right > x.left + x.right or x.left < 0:
+                x.partner = int(y.docs[0])
+            x.left, x.right = max(x.left, left), max(x.right, right)
+
+
+def neighbours(rows: Iterable[Row]) -> Iterator[Row]:
+    """Each row, once it has met its nearest rows of another document on both sides; keys that one document holds alone are left out.
+
+    Rows of one key come together, sorted by the words of one side.  Held are
+    the rows of one document that follow each other and the row before them, so
+    a key may have any number of rows.
+    """
+    other: Row | None = None  # the last row before run that holds another document
+    run: list[Row] = []
+    for row in rows:
+        if run and row.k == run[-1].k:
+            if row.apart(run[-1]):
+                for x in run:
+                    meet(x, row)
+                if other:
+                    yield other
+                yield from run[:-1]
+                other, run = run[-1], [row]
+            else:
+                if other:
+                    meet(row, other)
+                run.append(row)
             continue
-        alone = docs[i][0] if not many[i] else None
-        least, most = int(docs[i].min()), int(docs[i].max())
-        for doc, p in members.reshape(-1, 2).tolist():
-            partner = (least if least != doc else most) if whole else r[2]
-            if partner == doc and alone is None:
-                partner = least if least != doc else most
-            yield doc, p - r[0], p + RUN + r[1], partner
-
-
-def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["doc_id", "start_word", "end_word", "partner_id"]
-
-    def flush(rows: list) -> list[tuple[int, int, int, int]]:
-        if len(rows) == 1 and len(rows[0][2]) == 2:
-            return []
-        return list(group_spans(rows))
-
-    def batch(found: list) -> pa.RecordBatch:
-        cols = np.array(found, np.int64).reshape(-1, 4).T
-        arrays = [pa.array(c, pa.int64(), mask=(c == NO_ID) if i in (0, 3) else None) for i, c in enumerate(cols)]
-        return pa.RecordBatch.from_arrays(arrays, names)
-
-    key, rows = None, []
+        if other:
+            yield other
+        if other or run and run[0].many:
+            yield from run
+        other, run = None, [row]
+    if other:
+        yield other
+    if other or run and run[0].many:
+        yield from run
+
+
+def row_spans(row: Row) -> Iterator[tuple[int, int, int, int]]:
+    """(doc, start, end, partner) of every member that matches another document in MIN_WORDS words or more."""
+    left, right = row.left, row.right
+    whole = row.many and (len(row.before) + len(row.after)) // 2 + RUN >= MIN_WORDS
+    if whole:
+        left, right = len(row.before) // 2, len(row.after) // 2
+    if left < 0:
+        return
+    least, most = int(row.docs.min()), int(row.docs.max())
+    for doc, p in np.frombuffer(row.members, "<i8").reshape(-1, 2).tolist():
+        partner = (least if least != doc else most) if whole else row.partner
+        if partner == doc and row.many:
+            partner = least if least != doc else most
+        yield doc, p - left, p + RUN + right, partner
+
+
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[Row]:
+    """Rows that share their key with the row before or after, or hold many members."""
     for b in batches:
         k = b.column(0).to_numpy()
         if not len(k):
@@ -179,24 +195,33 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         same = np.append(False, k[1:] == k[:-1])
         wanted = same | np.append(same[1:], False) | (sizes > 16)
         wanted[0] = wanted[-1] = True  # they may go on in the batches before and after
-        found: list[tuple[int, int, int, int]] = []
-        for i in np.flatnonzero(wanted).tolist():
-            if k[i] != key or len(rows) >= GROUP:
-                if rows:
-                    found += flush(rows)
-                rows = rows[-1:] if k[i] == key else []
-                key = k[i]
-            rows.append((b.column(1)[i].as_py(), b.column(2)[i].as_py(), np.frombuffer(b.column(3)[i].as_py(), "<i8")))
-        if found:
-            yield batch(found)
-    if rows and (found := flush(rows)):
-        yield batch(found)
+        columns = [c.to_pylist() for c in b.filter(pa.array(wanted)).columns]
+        yield from (Row(*x) for x in zip(*columns, strict=True))
+
+
+def _by_after(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by k and after -> those of keys that several documents hold, with what they match so far."""
+    names = ["k", "before", "after", "members", "left", "right", "partner"]
+    types = [pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
+    rows = neighbours(_rows(batches))
+    while some := list(itertools.islice(rows, BATCH)):
+        yield pa.RecordBatch.from_arrays([pa.array([getattr(r, n) for r in some], t) for n, t in zip(names, types, strict=True)], names)
+
+
+def _by_before(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by k and before, with what they match so far -> the spans of all their members."""
+    spans = (s for row in neighbours(_rows(batches)) for s in row_spans(row))
+    while some := list(itertools.islice(spans, BATCH)):
+        cols = np.array(some, np.int64).T
+        arrays = [pa.array(c, pa.int64(), mask=(c == NO_ID) if i in (0, 3) else None) for i, c in enumerate(cols)]
+        yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "start_word", "end_word", "partner_id"])
 
 
 def repeated_passages(docs: DataFrame) -> DataFrame:
     """(doc_id, start_word, end_word, n_words, partner_id): maximal regions of a document's words that other documents hold too; end exclusive."""
     rows = docs.select("doc_id", text_bytes()).mapInArrow(_suffix_rows, "k long, before binary, after binary, members binary")
-    spans = rows.repartition("k").sortWithinPartitions("k", "after").mapInArrow(_compare, "doc_id long, start_word long, end_word long, partner_id long")
+    first = rows.repartition("k").sortWithinPartitions("k", "after", "before").mapInArrow(_by_after, "k long, before binary, after binary, members binary, left long, right long, partner long")
+    spans = first.sortWithinPartitions("k", "before", "after").mapInArrow(_by_before, "doc_id long, start_word long, end_word long, partner_id long")
     w = Window.partitionBy("doc_id").orderBy("start_word", F.desc("end_word"))
     far = F.max("end_word").over(w.rowsBetween(Window.unboundedPreceding, -1))
     marked = spans.withColumn("fresh", F.when(far >= F.col("start_word"), 0).otherwise(1))
