@@ -165,6 +165,53 @@ query("incremental_merge", _BRANCHED + "select entity_id, name from base where f
 query("tombstones", _BRANCHED + "select count(*) as hidden from base where file_path in (select file_path from branch where is_deleted)", "nodes")(lambda g, *_: (lambda b, r: overlay.tombstones(b, r.filter("is_deleted"), "file_path").agg(F.count("*").alias("hidden")))(*_branched(g)))
 query("resolve_refs", "select module_specifier, count(*) as refs, count(*) filter (where is_resolved or try_cast(substr(imported_symbol, 4) as int) % 2 = 0) as resolved from external_refs group by 1", "external_refs")(lambda g, *_: overlay.resolve(g.external_refs, g.external_refs.select("imported_symbol").distinct().filter("cast(substr(imported_symbol, 4) as int) % 2 = 0").withColumn("resolved_id", F.concat(F.lit("to:"), "imported_symbol")), ["imported_symbol"]).groupBy("module_specifier").agg(F.count("*").alias("refs"), F.count_if("is_resolved").alias("resolved")))
 
+#: Branches over whole tables, without a row left out: per table the columns that a branch changes (a key under a condition, so that rows
+#: are added and removed, and a value), its tombstones, and the columns of file, value and age.
+_BRANCHES = {
+    "nodes": ({"entity_id": "case when is_exported then 'branch:' || entity_id else entity_id end", "name": "case when visibility = 'private' then 'new_' || name else name end"}, "is_abstract and is_default_export", "file_path", "name", "start_line"),
+    "edges": ({"target_entity_id": "case when source_line > 60 then 'branch:' || target_entity_id else target_entity_id end", "source_line": "case when source_line < 30 then source_line + 100 else source_line end"}, "source_line between 30 and 34 and edge_type <> 'CALLS'", "source_file_path", "source_line", "source_line"),
+    "external_refs": ({"imported_symbol": "case when is_reexport then 'branch:' || imported_symbol else imported_symbol end", "source_line": "case when is_type_only then source_line + 100 else source_line end"}, "is_reexport and module_specifier like './%'", "source_file_path", "source_line", "source_line"),
+    "effects": ({"effect_id": "case when coalesce(is_external, false) then 'branch:' || effect_id else effect_id end", "effect_type": "case when source_line < 30 then 'new_' || effect_type else effect_type end"}, "source_line < 10 and source_file_path < 'hooks/4'", "source_file_path", "effect_type", "source_line"),
+}
+
+
+def _branch_pairs(g: Graph):
+    """(table, base, branch, keys, file, value, age) of each table."""
+    for t, (changes_, gone, *columns) in _BRANCHES.items():
+        base = getattr(g, t).withColumn("is_deleted", F.lit(False))
+        yield t, base, base.withColumns({c: F.expr(e) for c, e in changes_.items()} | {"is_deleted": F.expr(gone)}), overlay.KEYS[t], *columns
+
+
+def _over_all(g: Graph, f: Callable[..., DataFrame], *more: str) -> DataFrame:
+    """f's rows of every table: table_name, key, and value or the columns in more."""
+    out = None
+    for t, base, branch, keys, file, value, age in _branch_pairs(g):
+        key = F.concat_ws("|", *keys).alias("key")
+        rows = f(base, branch, keys, file, value, age).select(F.lit(t).alias("table_name"), key, *(more or [F.col(value).cast("string").alias("value")]))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+def _sides() -> str:
+    sides = {"base": [], "branch": []}
+    for t, (changed, gone, file, value, age) in _BRANCHES.items():
+        for side, new, deleted in (("base", {}, "false"), ("branch", changed, gone)):
+            key = ", ".join(new.get(c, c) for c in overlay.KEYS[t])
+            sides[side].append(f"select '{t}' as table_name, concat_ws('|', {key}) as key, {file} as file, cast({new.get(value, value)} as varchar) as value, {new.get(age, age)} as age, {deleted} as is_deleted from {t}")
+    return "with " + ", ".join(f"{k} as ({' union all '.join(v)})" for k, v in sides.items()) + " "
+
+
+def _newest(rows: DataFrame, keys: list[str], age: str) -> DataFrame:
+    return overlay.by_precedence(rows, keys, F.desc(age))
+
+
+_SIDES, _GONE, _FOUR = _sides(), "select 1 from branch r where r.is_deleted and r.table_name = b.table_name and r.file = b.file", ("nodes", "edges", "external_refs", "effects")
+query("overlay_all", _SIDES + "select table_name, key, value from branch where not is_deleted union all select table_name, key, value from base b where not exists (select 1 from branch r where r.table_name = b.table_name and r.key = b.key)", *_FOUR)(lambda g, *_: _over_all(g, lambda base, branch, keys, *_: overlay.overlay(base, branch, keys)))
+query("upsert_all", _SIDES + "select table_name, key, value from (select *, row_number() over (partition by table_name, key order by age desc, src desc) as rn from (select *, 0 as src from base union all select *, 1 from branch)) where rn = 1", *_FOUR)(lambda g, *_: _over_all(g, lambda base, branch, keys, file, value, age: overlay.upsert(base, branch, keys, F.col(age))))
+query("diff_all", _SIDES + ", ".join(["", *(f"{n} as (select * from (select *, row_number() over (partition by table_name, key order by age desc) as rn from {t}) where rn = 1)" for n, t in (("a", "base"), ("b", "branch")))]) + " select coalesce(a.table_name, b.table_name) as table_name, coalesce(a.key, b.key) as key, case when a.key is null then 'added' when b.key is null then 'removed' else 'modified' end as change from a full join b on a.table_name = b.table_name and a.key = b.key where a.key is null or b.key is null or a.value is distinct from b.value", *_FOUR)(lambda g, *_: _over_all(g, lambda base, branch, keys, file, value, age: overlay.diff(_newest(base, keys, age), _newest(branch, keys, age), keys, [value]), "change"))
+query("incremental_merge_all", _SIDES + f"select table_name, key, value from base b where not exists ({_GONE}) union all select table_name, key, value from branch b where not is_deleted and exists ({_GONE})", *_FOUR)(lambda g, *_: _over_all(g, lambda base, branch, keys, file, *_: (lambda gone: overlay.merge_files(base, gone, branch.filter("not is_deleted").join(gone, file, "left_semi"), file))(branch.filter("is_deleted").select(file).distinct())))
+query("tombstones_all", _SIDES + f"select table_name, key, value from base b where exists ({_GONE})", *_FOUR)(lambda g, *_: _over_all(g, lambda base, branch, keys, file, *_: overlay.tombstones(base, branch.filter("is_deleted"), file)))
+
 # --- hub
 
 query("diagnostics_query", "select diagnostic_id, severity, source from diagnostics where not resolved and severity in ('critical', 'error') and source = 'eslint' order by case severity when 'critical' then 0 else 1 end, updated_at desc, diagnostic_id limit 100", "diagnostics")(lambda g, *_: hub.diagnostics_ordered(hub.diagnostics_where(g.diagnostics, False, severity=["critical", "error"], source=["eslint"])).select("diagnostic_id", "severity", "source"))
@@ -262,6 +309,42 @@ select u.use_id, r.entity_id as resolved_id, cast(r.confidence as double) as con
 query("resolve_imports", """with p as (select entity_id, name, file_path, cast(split_part(entity_id, ':', 4) as bigint) as key from nodes where kind = 'function'),
 r as (select entity_id as ref_id, case key % 3 when 0 then file_path when 1 then regexp_replace(file_path, '[.]ts$', '') else 'none' end as base, name as symbol from p)
 select r.ref_id, (select min(n.entity_id) from nodes n where n.is_exported and n.name = r.symbol and n.file_path = case when r.base like '%.ts' then r.base else r.base || '.ts' end) as resolved_id from r""", "nodes")(lambda g, *_: resolution.resolve_imports((lambda p, key: p.select(F.col("entity_id").alias("ref_id"), F.when(key % 3 == 0, F.col("file_path")).when(key % 3 == 1, F.regexp_replace("file_path", "[.]ts$", "")).otherwise("none").alias("base"), F.col("name").alias("symbol")))(g.nodes.filter("kind = 'function'"), F.element_at(F.split("entity_id", ":"), -1).cast("long")), g.nodes).select("ref_id", "resolved_id"))
+#: What a name may be used as, and the kinds that it then resolves to.
+_USED_AS = {"call": resolution.CALLABLE, "extends": ("class",), "implements": ("interface",)}
+_USES = "with u as (select entity_id as use_id, name, case when visibility = 'private' then 'elsewhere.ts' else file_path end as file_path from nodes)"
+
+
+def _resolved_sql(used: str, kinds: tuple[str, ...]) -> str:
+    """The same-file symbol of each name, else the exported one, by the order of kinds and the least id."""
+    best = lambda keys, more: f"select {keys}, arg_min(entity_id, (case kind when 'class' then 1 else 0 end, list_position({list(kinds)}, kind), entity_id)) as best from nodes where kind in ({', '.join(map(repr, kinds))}){more} group by {keys}"
+    return f"select '{used}' as used_as, u.use_id, coalesce(l.best, x.best) as resolved_id, cast(case when l.best is not null then 1.0 when x.best is not null then 0.9 end as double) as confidence from u left join ({best('file_path, name', '')}) l on l.file_path = u.file_path and l.name = u.name left join ({best('name', ' and is_exported')}) x on x.name = u.name"
+
+
+@query("resolve_names_all", _USES + " " + " union all ".join(_resolved_sql(u, k) for u, k in _USED_AS.items()), "nodes")
+def _resolve_names_all(g: Graph, *_) -> DataFrame:
+    uses = g.nodes.select(F.col("entity_id").alias("use_id"), "name", F.expr("case when visibility = 'private' then 'elsewhere.ts' else file_path end").alias("file_path"))
+    parts = [resolution.resolve_names(uses, g.nodes, kinds).select(F.lit(u).alias("used_as"), "use_id", "resolved_id", "confidence") for u, kinds in _USED_AS.items()]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+#: All external references; relative specifiers stand beside their file. All nodes, named and filed so that references can mean them.
+_REF_BASE = "case when module_specifier like './%' then regexp_replace(source_file_path, '[^/]*$', '') || substr(module_specifier, 3) else module_specifier end"
+_REF_ID = "concat_ws('|', source_entity_id, module_specifier, imported_symbol, source_file_path, cast(source_line as string))"
+_NODE_NAME = "'sym' || regexp_extract(entity_id, '([0-9]+)$', 1)"
+_NODE_FILE = "'docs/src' || regexp_extract(entity_id, '([0-9])$', 1) || '.ts'"
+
+
+@query("resolve_imports_all", f"""with r as (select {_REF_ID} as ref_id, {_REF_BASE} as base, imported_symbol as symbol from external_refs),
+x as (select {_NODE_FILE} as file_path, {_NODE_NAME} as name, min(entity_id) as entity_id from nodes where is_exported group by 1, 2),
+s as (select unnest({list(resolution.SUFFIXES)}) as suffix, unnest(range({len(resolution.SUFFIXES)})) as pos),
+f as (select a.base, a.symbol, arg_min(x.entity_id, s.pos) as resolved_id from (select distinct base, symbol from r) a cross join s join x on x.file_path = a.base || s.suffix and x.name = a.symbol group by 1, 2)
+select r.ref_id, f.resolved_id from r left join f on f.base = r.base and f.symbol = r.symbol""", "nodes", "external_refs")
+def _resolve_imports_all(g: Graph, *_) -> DataFrame:
+    refs = g.external_refs.selectExpr(f"{_REF_ID} as ref_id", f"{_REF_BASE} as base", "imported_symbol as symbol")
+    nodes = g.nodes.select("entity_id", "is_exported", F.expr(_NODE_NAME).alias("name"), F.expr(_NODE_FILE).alias("file_path"))
+    return resolution.resolve_imports(refs, nodes).select("ref_id", "resolved_id")
+
+
 query("affected_files", "select source_file_path, count(distinct target_entity_id) as symbols from external_refs where is_resolved and target_entity_id in (select entity_id from nodes where is_exported) group by 1", "external_refs", "nodes")(lambda g, *_: resolution.affected_files(g.external_refs, g.nodes.filter("is_exported")))
 query("match_routes", """with s as (select event_id as send_id, case event_id % 2 when 0 then 'get' else 'POST' end as method, '/Api/svc' || event_id % 7 || '/:id' || event_id % 3 || '/' as target from events where event_type = 'signup'),
 q as (select event_id as request_id, case event_id % 3 when 0 then 'GET' else 'post' end as method, '/api/svc' || event_id % 9 || '/{key}' as route_pattern from events where event_type = 'error'),
