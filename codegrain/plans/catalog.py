@@ -98,6 +98,8 @@ query("effects_summary_file", "select source_file_path, count(*) as count from e
 query("callee_patterns", "select callee_name, is_method_call, is_async, is_external, external_module, count(*) as count from effects where effect_type = 'FunctionCall' group by all having count(*) >= 3", "effects")(lambda g, *_: effects.callee_patterns(g.effects, 3))
 query("workspace_effects", "select split_part(source_entity_id, ':', 1) as repo, count(*) filter (where lower(effect_type) = 'store') as store, count(*) filter (where lower(effect_type) = 'retrieve') as retrieve, count(*) filter (where lower(effect_type) in ('send', 'external')) as external, count(*) filter (where lower(effect_type) not in ('store', 'retrieve', 'send', 'external')) as other from effects group by 1", "effects")(lambda g, *_: effects.workspace_counts(g.effects))
 query("cross_patterns", "with n as (select source_file_path, callee_name, count(*) as n from effects where callee_name is not null group by 1, 2), r as (select *, row_number() over (partition by source_file_path order by n desc, callee_name) as rn from n) select callee_name, count(*) as groups, cast(sum(n) as bigint) as total from r where rn <= 10 group by 1 having count(*) >= 2", "effects")(lambda g, *_: effects.cross_patterns(g.effects, "source_file_path", 10))
+for _name, _by, _column in (("cross_patterns_files", "source_file_path", "source_file_path"), ("cross_patterns_repos", "split_part(source_entity_id, ':', 1)", "repo")):
+    query(_name, f"with n as (select {_by} as grp, callee_name, count(*) as n from effects where callee_name is not null group by 1, 2), r as (select *, row_number() over (partition by grp order by n desc, callee_name) as rn from n) select callee_name, count(*) as groups, cast(sum(n) as bigint) as total from r where rn <= 100 group by 1 having count(*) >= 2", "effects")(lambda g, *_, column=_column: effects.cross_patterns(g.effects.withColumn("repo", symbols.repo_of(F.col("source_entity_id"))), column))
 query("async_by_file", "select source_file_path, count(*) filter (where is_async) as async_calls, count(*) filter (where not is_async) as sync_calls from effects where effect_type = 'FunctionCall' group by 1", "effects")(lambda g, *_: effects.async_by_file(g.effects))
 query("effects_enriched", "select e.effect_type, coalesce(n.kind, 'unknown') as source_kind, count(*) as count from effects e left join nodes n on n.entity_id = e.source_entity_id group by 1, 2", "effects", "nodes")(lambda g, *_: effects.enriched(g.effects, g.nodes).groupBy("effect_type", "source_kind").agg(F.count("*").alias("count")))
 
