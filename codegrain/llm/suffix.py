@@ -1,46 +1,59 @@
 """Repeated passages by a sparse suffix array.
 
 Of each text's suffixes only those at minimiser positions are kept: the
-position of the least hash among every WINDOW consecutive GRAM-word grams.  A
-passage of MIN_WORDS words or more that two texts share has a common minimiser
-in its first WINDOW words, and from there at least RUN words match, so suffixes
-are keyed by the hash of their first RUN words.  Equal keys come together in
-one partition, sorted by the words that follow; neighbours of other documents
-are compared and their match is extended right and left through the words that
-suffixes carry, once in this order and once in the order of the words before.
-Matches of MIN_WORDS words or more are merged per document.
+position of the least hash among every WINDOW consecutive GRAM-word grams.
+Every window of MIN_WORDS words has one minimiser, which depends on the
+window's words alone, so a passage that two texts share has the same one in
+both, and at least RUN words match from there.  Suffixes are keyed by the hash
+of these words and carry the words on either side that their own windows
+reach.  Suffixes of a key come sorted by the words after it; the agreement of
+neighbours bounds intervals that match to the right, the same in the order of
+the words before gives those to the left, and suffixes of two documents in one
+interval of both, MIN_WORDS words together, hold the same window.  No window is
+left out, so the regions are exact (words are compared by 32-bit hashes).
 
 Suffixes of one batch with equal key and context travel as one row with many
-members, so groups of copies shrink before the shuffle.  A partition streams
-over its rows in both orders, which Spark sorts, and holds one document's rows
-of a key at a time, so a key may have any number of rows.
+members, so groups of copies shrink before the shuffle.  Keys that hold a large
+share of all suffixes are found in a sample of documents, and keys with more
+than CROWD rows when they are met; both are compared window by window instead:
+each window's hash is a key of its own, counted before any shuffle, so no key
+meets in one task.  The sample changes the way, never the result.
 
 Defined results: null and empty texts and those under MIN_WORDS words have no
 row; repeats inside one doc_id alone do not count, so repeated rows of one id
-do not match each other; a null doc_id counts as a document of its own.
+do not match each other; rows with a null doc_id count as one document; a very
+long text is cut into no pieces; extra columns are ignored; an empty table gives
+an empty result.
 """
 
 from __future__ import annotations
 
-import itertools
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from codegrain.llm.common import table, text_bytes, worker_cache
+from codegrain.llm.common import cut, table, text_bytes, worker_cache
 
 MIN_WORDS = 50
 GRAM = 6
 WINDOW = 25
 RUN = MIN_WORDS - WINDOW + 1
-CONTEXT = 25
-BATCH = 10_000
+SIDE = WINDOW - 1
+#: Words of texts that one batch of rows is made of.
+FLUSH = 300_000
+#: Rows of one key that are compared in memory.
+CROWD = 20_000
 MEMO = 150_000
+#: Documents sampled for keys with many suffixes: one in SAMPLE; keys with at least a HOT-th of the sample's suffixes, and HOT_LEAST of them.
+SAMPLE, HOT, HOT_LEAST = 32, 2000, 24
+NO_ID = -(1 << 63)
 _C = np.uint64(0x9E3779B97F4A7C15)
+_LEFT, _RIGHT = np.random.default_rng(17).integers(1, 1 << 63, (2, SIDE), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -60,168 +73,305 @@ def word_hashes(words: list[bytes]) -> np.ndarray:
     return np.array(out, np.uint64)
 
 
-def suffixes(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(positions, keys) of the suffixes kept of a text's word hashes."""
+def suffixes(h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(positions, keys, lo, hi) of the suffixes kept of a text's word hashes; its windows begin lo to hi words before a suffix."""
     n = len(h)
     if n < MIN_WORDS:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        return (np.zeros(0, np.int64), np.zeros(0, np.uint64), *np.zeros((2, 0), np.int64))
     grams = np.zeros(n - GRAM + 1, np.uint64)
     for j in range(GRAM):
         grams = grams * _C + h[j : n - GRAM + 1 + j]
     windows = np.lib.stride_tricks.sliding_window_view(_mix(grams), WINDOW)[: n - MIN_WORDS + 1]
-    at = np.unique(windows.argmin(axis=1) + np.arange(len(windows)))
+    at, first, many = np.unique(windows.argmin(axis=1) + np.arange(len(windows)), return_index=True, return_counts=True)
     keys = np.zeros(len(at), np.uint64)
     for j in range(RUN):
         keys = keys * _C + h[at + j]
-    return at, _mix(keys)
-
-
-def _suffix_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        held: dict[tuple[int, bytes, bytes], list[int]] = {}
-        for doc, t in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-            words = t.as_py().split()
-            if len(words) < MIN_WORDS:
+    return at, _mix(keys), at - (first + many - 1), at - first
+
+
+def leaves(keys: np.ndarray, left: np.ndarray, right: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, a, hash) of all windows of suffixes with these words on either side: a words before the suffix."""
+    before = np.zeros((len(keys), SIDE + 1), np.uint64)
+    np.cumsum(left.astype(np.uint64) * _LEFT, axis=1, out=before[:, 1:])
+    after = np.zeros((len(keys), SIDE + 1), np.uint64)
+    np.cumsum(right.astype(np.uint64) * _RIGHT, axis=1, out=after[:, 1:])
+    a = np.arange(SIDE + 1)
+    row, at = np.nonzero((a >= lo[:, None]) & (a <= hi[:, None]))
+    return row, at, _mix(_mix(keys[row] + before[row, at]) * _C + after[row, SIDE - at])
+
+
+def ragged(starts: np.ndarray, lengths: np.ndarray, step: int) -> np.ndarray:
+    """starts[i], starts[i] + step, ... lengths[i] times, one after the other."""
+    ends = np.cumsum(lengths)
+    return np.repeat(starts, lengths) + step * (np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - lengths, lengths))
+
+
+def binary(data: np.ndarray, lengths: np.ndarray) -> pa.Array:
+    """An array of binaries of these byte lengths over data."""
+    offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
+    return pa.BinaryArray.from_buffers(pa.binary(), len(lengths), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(np.ascontiguousarray(data).tobytes())])
+
+
+def bytes_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes, lengths) of a binary array."""
+    offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+    data = column.buffers()[2]
+    return (np.frombuffer(data, np.uint8) if data else np.zeros(0, np.uint8))[offsets[0] : offsets[-1]], np.diff(offsets)
+
+
+ROWS = "k long, salt int, before binary, after binary, members binary"
+NAMES = ["k", "salt", "before", "after", "members"]
+
+
+def _gathered(kept: np.ndarray, members: np.ndarray) -> tuple[np.ndarray, pa.Array]:
+    """(first of every equal value, the members of each as one binary)."""
+    order = np.argsort(kept, kind="stable")
+    fresh = np.flatnonzero(np.append(True, kept[order][1:] != kept[order][:-1])) if len(kept) else np.zeros(0, np.int64)
+    return order[fresh], binary(members[order].astype("<i8"), np.diff(np.append(fresh, len(kept))) * 16)
+
+
+def _leaf_rows(hashes: np.ndarray, members: np.ndarray) -> pa.RecordBatch:
+    """One row for each window, dealt out at random: windows are counted before they meet."""
+    first, held = _gathered(hashes, members)
+    nothing = binary(np.zeros(0, np.uint8), np.zeros(len(first), np.int64))
+    salt = (members[first, 1] * 7919 + members[first, 0]) % 65_521 + 1
+    return pa.RecordBatch.from_arrays([pa.array(hashes[first].view(np.int64)), pa.array(salt.astype(np.int32)), nothing, nothing, held], NAMES)
+
+
+def _suffix_rows(hot: list[int]):
+    """One row for each context of a suffix (salt 0), and for suffixes of hot keys one for each window (salt over 0)."""
+    crowded = np.sort(np.array(hot, np.int64))
+
+    def made(parts: list[tuple]) -> Iterator[pa.RecordBatch]:
+        docs, texts, at, keys, lo, hi = zip(*parts, strict=True)
+        shift = np.cumsum([0, *map(len, texts)])
+        many = [len(x) for x in at]
+        words = np.concatenate(texts)
+        doc, base = np.repeat(np.array(docs, np.int64), many), np.repeat(shift[:-1], many)
+        at, keys, lo, hi = np.concatenate(at), np.concatenate(keys), np.concatenate(lo), np.concatenate(hi)
+        members = np.column_stack([doc, at])
+        place = at + base
+        slow = np.isin(keys.view(np.int64), crowded)
+        if slow.any():
+            side = np.arange(SIDE)
+            left = words[np.maximum(place[slow, None] - 1 - side, 0)]  # beyond a text's ends lie no windows
+            right = words[np.minimum(place[slow, None] + RUN + side, len(words) - 1)]
+            row, a, hashes = leaves(keys[slow], left, right, lo[slow], hi[slow])
+            windows = members[slow][row]
+            windows[:, 1] -= a
+            yield _leaf_rows(hashes, windows)
+            at, keys, lo, hi, members, place = (x[~slow] for x in (at, keys, lo, hi, members, place))
+        left = words[ragged(place - 1, hi, -1)]
+        right = words[ragged(place + RUN, SIDE - lo, 1)]
+        sums = np.zeros(len(at), np.uint64)
+        for data, lengths, factors in ((left, hi, _LEFT), (right, SIDE - lo, _RIGHT)):
+            total = np.append(np.uint64(0), np.cumsum(data.astype(np.uint64) * factors[ragged(np.zeros(len(at), np.int64), lengths, 1)]))
+            ends = np.cumsum(lengths)
+            sums = _mix(sums + total[ends] - total[ends - lengths] + lengths.astype(np.uint64))
+        first, held = _gathered(_mix(sums + keys), members)
+        before, after = words[ragged(place[first] - 1, hi[first], -1)], words[ragged(place[first] + RUN, SIDE - lo[first], 1)]
+        sides = [binary(before.astype(">u4"), hi[first] * 4), binary(after.astype(">u4"), (SIDE - lo[first]) * 4)]
+        yield pa.RecordBatch.from_arrays([pa.array(keys[first].view(np.int64)), pa.array(np.zeros(len(first), np.int32)), *sides, held], NAMES)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, size = [], 0
+        for b in batches:
+            for doc, t in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                words = t.as_py().split()
+                if len(words) < MIN_WORDS:
+                    continue
+                h = word_hashes(words)
+                parts.append((NO_ID if doc is None else doc, (h >> np.uint64(32)).astype(np.uint32), *suffixes(h)))
+                size += len(words)
+                if size >= FLUSH:
+                    yield from made(parts)
+                    parts, size = [], 0
+        if parts:
+            yield from made(parts)
+
+    return run
+
+
+class Rows:
+    """Suffix rows as arrays: keys, words on either side and members of each."""
+
+    def __init__(self, b: pa.RecordBatch) -> None:
+        self.k = b.column(0).to_numpy()
+        self.salt = b.column(1).to_numpy()
+        data, lengths = bytes_of(b.column(2))
+        self.left, self.hi = self._matrix(data, lengths), lengths // 4
+        data, lengths = bytes_of(b.column(3))
+        self.right, self.lo = self._matrix(data, lengths), SIDE - lengths // 4
+        data, lengths = bytes_of(b.column(4))
+        self.members, self.many = data.view("<i8").reshape(-1, 2), lengths // 16
+
+    @staticmethod
+    def _matrix(data: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        out = np.zeros((len(lengths), SIDE), np.uint32)
+        out[np.arange(SIDE) < lengths[:, None] // 4] = data.view(">u4")
+        return out
+
+    def ends(self) -> tuple[np.ndarray, np.ndarray]:
+        """Least and largest document of each row."""
+        starts = np.cumsum(self.many) - self.many
+        return np.minimum.reduceat(self.members[:, 0], starts), np.maximum.reduceat(self.members[:, 0], starts)
+
+
+def agreement(words: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Words that each row shares with the row before, from the first on."""
+    same = (words[1:] == words[:-1]) & (np.arange(words.shape[1]) < np.minimum(lengths[1:], lengths[:-1])[:, None])
+    return np.logical_and.accumulate(same, axis=1).sum(1)
+
+
+def shared_windows(group: np.ndarray, left: np.ndarray, hi: np.ndarray, right: np.ndarray, lo: np.ndarray, least: np.ndarray, most: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Of rows in the order of (group, right): (first, last, least, most), the windows that rows of other documents hold too and those documents' ends; first > last where none."""
+    n = len(group)
+    new = np.append(True, group[1:] != group[:-1])
+    after = np.append(-1, agreement(right, SIDE - lo))
+    after[new] = -1
+    packed = np.column_stack([group.astype(">u4").view(np.uint8).reshape(-1, 4), left.astype(">u4").view(np.uint8).reshape(n, -1)])
+    order = np.argsort(np.ascontiguousarray(packed).view(f"S{packed.shape[1]}").ravel(), kind="stable")
+    before = np.append(-1, agreement(left[order], hi[order]))
+    before[np.append(True, group[order][1:] != group[order][:-1])] = -1
+    first, last = np.full(n, SIDE + 1), np.full(n, -1)
+    low, high = np.full(n, np.iinfo(np.int64).max), np.full(n, np.iinfo(np.int64).min)
+    interval = np.zeros(n, np.int64)
+    for a in range(SIDE + 1):
+        rows = np.flatnonzero((lo <= a) & (hi >= a))
+        if len(rows) < 1:
+            continue
+        interval[order] = np.cumsum(before < a)
+        pair = np.cumsum(after < SIDE - a)[rows] * (n + 1) + interval[rows]
+        by = np.argsort(pair, kind="stable")
+        fresh = np.append(True, pair[by][1:] != pair[by][:-1])
+        starts, where = np.flatnonzero(fresh), np.cumsum(fresh) - 1
+        small, large = np.minimum.reduceat(least[rows][by], starts), np.maximum.reduceat(most[rows][by], starts)
+        hit = (small < large)[where]
+        rows, where = rows[by][hit], where[hit]
+        first[rows], last[rows] = np.minimum(first[rows], a), a
+        low[rows], high[rows] = np.minimum(low[rows], small[where]), np.maximum(high[rows], large[where])
+    return first, last, low, high
+
+
+FOUND = "doc_id long, start_word long, end_word long, partner_id long, k long, members binary"
+FOUND_NAMES = ["doc_id", "start_word", "end_word", "partner_id", "k", "members"]
+
+
+def _spans(doc: np.ndarray, start: np.ndarray, end: np.ndarray, partner: np.ndarray) -> pa.RecordBatch:
+    ids = [pa.array(x, pa.int64(), mask=x == NO_ID) for x in (doc, partner)]
+    n = len(doc)
+    return pa.RecordBatch.from_arrays([ids[0], pa.array(start), pa.array(end), ids[1], pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary())], FOUND_NAMES)
+
+
+def _passed(hashes: pa.Array, members: pa.Array) -> pa.RecordBatch:
+    n = len(hashes)
+    return pa.RecordBatch.from_arrays([*[pa.nulls(n, pa.int64())] * 4, hashes, members], FOUND_NAMES)
+
+
+def _matched(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Spans of whole keys' rows, sorted by key and the words after."""
+    k = b.column(0).to_numpy()
+    new = np.append(True, k[1:] != k[:-1])
+    starts = np.flatnonzero(new)
+    data, lengths = bytes_of(b.column(4))
+    docs, at = data.view("<i8")[::2], np.cumsum(lengths) // 16 - lengths // 16
+    small, large = np.minimum.reduceat(docs, at), np.maximum.reduceat(docs, at)
+    shared = (np.minimum.reduceat(small, starts) < np.maximum.reduceat(large, starts))[np.cumsum(new) - 1]
+    if not shared.any():
+        return
+    rows = Rows(b.filter(pa.array(shared)))
+    group = np.cumsum(np.append(True, rows.k[1:] != rows.k[:-1]))
+    first, last, low, high = shared_windows(group, rows.left, rows.hi, rows.right, rows.lo, small[shared], large[shared])
+    each = np.repeat(np.arange(len(group)), rows.many)
+    held = first[each] <= last[each]
+    each, members = each[held], rows.members[held]
+    partner = np.where(low[each] != members[:, 0], low[each], high[each])
+    yield _spans(members[:, 0], members[:, 1] - last[each], members[:, 1] - first[each] + MIN_WORDS, partner)
+
+
+def _crowded(b: pa.RecordBatch) -> pa.RecordBatch:
+    """All windows of rows whose key has too many of them."""
+    rows = Rows(b)
+    row, a, hashes = leaves(rows.k.view(np.uint64), rows.left, rows.right, rows.lo, rows.hi)
+    at = ragged((np.cumsum(rows.many) - rows.many)[row], rows.many[row], 1)
+    members = rows.members[at].copy()
+    members[:, 1] -= np.repeat(a, rows.many[row])
+    made = _leaf_rows(np.repeat(hashes, rows.many[row]), members)
+    return _passed(made.column(0), made.column(4))
+
+
+def _match(crowd: int):
+    """Rows sorted by (key, words after) -> spans; windows of crowded keys pass for another way."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []  # rows of the last key met
+        size, over = 0, None
+        for b in batches:
+            single = b.filter(pc.equal(b.column(1), 0))
+            if single.num_rows < b.num_rows:
+                some = b.filter(pc.greater(b.column(1), 0))
+                yield _passed(some.column(0), some.column(4))
+            if not single.num_rows:
                 continue
-            h = word_hashes(words)
-            at, keys = suffixes(h)
-            after = (h & np.uint64(0xFFFF)).astype("<u2")
-            before = after[::-1].tobytes()
-            after, n, doc = after.tobytes(), len(h), NO_ID if doc is None else doc
-            for p, k in zip(at.tolist(), keys.view(np.int64).tolist(), strict=True):
-                key = (k, before[2 * (n - p) : 2 * (n - p + CONTEXT)], after[2 * (p + RUN) : 2 * (p + RUN + CONTEXT)])
-                if key in held:
-                    held[key] += (doc, p)
-                else:
-                    held[key] = [doc, p]
+            b = single
+            k = b.column(0).to_numpy()
+            if over is not None:
+                go_on = int(np.searchsorted(k != over, True))
+                if go_on:
+                    yield _crowded(b.slice(0, go_on))
+                b, k = b.slice(go_on), k[go_on:]
+                if not len(k):
+                    continue
+                over = None
+            tail = int(np.flatnonzero(k != k[-1])[-1]) + 1 if k[0] != k[-1] else 0
+            if held and (tail or held[-1].column(0)[-1].as_py() != k[0]):
+                whole = pa.concat_batches([*held, b.slice(0, tail)]) if tail else pa.concat_batches(held)
+                yield from _matched(whole)
+                held, size = [b.slice(tail)], len(k) - tail
+            else:
+                if tail:
+                    yield from _matched(b.slice(0, tail))
+                held.append(b.slice(tail))
+                size += len(k) - tail
+            if size > crowd:
+                for x in held:
+                    yield _crowded(x)
+                held, size, over = [], 0, k[-1]
         if held:
-            k, left, right = zip(*held, strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(k, pa.int64()), pa.array(left, pa.binary()), pa.array(right, pa.binary()), pa.array([np.array(m, "<i8").tobytes() for m in held.values()], pa.binary())], ["k", "before", "after", "members"])
-
-
-NO_ID = -(1 << 63)
-
+            yield from _matched(pa.concat_batches(held))
 
-def shared(a: bytes, b: bytes) -> int:
-    """Equal two-byte words at the start of both."""
-    n = min(len(a), len(b))
-    if a[:n] == b[:n]:
-        return n // 2
-    x = int.from_bytes(a[:n], "little") ^ int.from_bytes(b[:n], "little")
-    return ((x & -x).bit_length() - 1) // 16
-
-
-class Row:
-    """One suffix context of a key: its members, and how far they match another document so far."""
-
-    __slots__ = ("after", "before", "docs", "k", "left", "many", "members", "partner", "right")
-
-    def __init__(self, k: int, before: bytes, after: bytes, members: bytes, left: int = -1, right: int = -1, partner: int = NO_ID) -> None:
-        self.k, self.before, self.after, self.members = k, before, after, members
-        self.docs = np.frombuffer(members, "<i8")[::2]
-        self.many = len(members) > 16 and bool((self.docs != self.docs[0]).any())
-        self.left, self.right, self.partner = left, right, partner
-
-    def apart(self, other: Row) -> bool:
-        return self.many or other.many or self.docs[0] != other.docs[0]
-
-
-def meet(a: Row, b: Row) -> None:
-    left, right = shared(a.before, b.before), shared(a.after, b.after)
-    if left + RUN + right >= MIN_WORDS:
-        for x, y in ((a, b), (b, a)):
-            if left + right > x.left + x.right or x.left < 0:
-                x.partner = int(y.docs[0])
-            x.left, x.right = max(x.left, left), max(x.right, right)
-
-
-def neighbours(rows: Iterable[Row]) -> Iterator[Row]:
-    """Each row, once it has met its nearest rows of another document on both sides; keys that one document holds alone are left out.
-
-    Rows of one key come together, sorted by the words of one side.  Held are
-    the rows of one document that follow each other and the row before them, so
-    a key may have any number of rows.
-    """
-    other: Row | None = None  # the last row before run that holds another document
-    run: list[Row] = []
-    for row in rows:
-        if run and row.k == run[-1].k:
-            if row.apart(run[-1]):
-                for x in run:
-                    meet(x, row)
-                if other:
-                    yield other
-                yield from run[:-1]
-                other, run = run[-1], [row]
-            else:
-                if other:
-                    meet(row, other)
-                run.append(row)
-            continue
-        if other:
-            yield other
-        if other or run and run[0].many:
-            yield from run
-        other, run = None, [row]
-    if other:
-        yield other
-    if other or run and run[0].many:
-        yield from run
-
-
-def row_spans(row: Row) -> Iterator[tuple[int, int, int, int]]:
-    """(doc, start, end, partner) of every member that matches another document in MIN_WORDS words or more."""
-    left, right = row.left, row.right
-    whole = row.many and (len(row.before) + len(row.after)) // 2 + RUN >= MIN_WORDS
-    if whole:
-        left, right = len(row.before) // 2, len(row.after) // 2
-    if left < 0:
-        return
-    least, most = int(row.docs.min()), int(row.docs.max())
-    for doc, p in np.frombuffer(row.members, "<i8").reshape(-1, 2).tolist():
-        partner = (least if least != doc else most) if whole else row.partner
-        if partner == doc and row.many:
-            partner = least if least != doc else most
-        yield doc, p - left, p + RUN + right, partner
+    return run
 
 
-def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[Row]:
-    """Rows that share their key with the row before or after, or hold many members."""
+def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        k = b.column(0).to_numpy()
-        if not len(k):
-            continue
-        sizes = np.diff(np.frombuffer(b.column(3).buffers()[1], np.int32)[b.column(3).offset : b.column(3).offset + len(k) + 1])
-        same = np.append(False, k[1:] == k[:-1])
-        wanted = same | np.append(same[1:], False) | (sizes > 16)
-        wanted[0] = wanted[-1] = True  # they may go on in the batches before and after
-        columns = [c.to_pylist() for c in b.filter(pa.array(wanted)).columns]
-        yield from (Row(*x) for x in zip(*columns, strict=True))
-
-
-def _by_after(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by k and after -> those of keys that several documents hold, with what they match so far."""
-    names = ["k", "before", "after", "members", "left", "right", "partner"]
-    types = [pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
-    rows = neighbours(_rows(batches))
-    while some := list(itertools.islice(rows, BATCH)):
-        yield pa.RecordBatch.from_arrays([pa.array([getattr(r, n) for r in some], t) for n, t in zip(names, types, strict=True)], names)
-
-
-def _by_before(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by k and before, with what they match so far -> the spans of all their members."""
-    spans = (s for row in neighbours(_rows(batches)) for s in row_spans(row))
-    while some := list(itertools.islice(spans, BATCH)):
-        cols = np.array(some, np.int64).T
-        arrays = [pa.array(c, pa.int64(), mask=(c == NO_ID) if i in (0, 3) else None) for i, c in enumerate(cols)]
-        yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "start_word", "end_word", "partner_id"])
-
-
-def repeated_passages(docs: DataFrame) -> DataFrame:
-    """(doc_id, start_word, end_word, n_words, partner_id): maximal regions of a document's words that other documents hold too; end exclusive."""
-    rows = docs.select("doc_id", text_bytes()).mapInArrow(_suffix_rows, "k long, before binary, after binary, members binary")
-    first = rows.repartition("k").sortWithinPartitions("k", "after", "before").mapInArrow(_by_after, "k long, before binary, after binary, members binary, left long, right long, partner long")
-    spans = first.sortWithinPartitions("k", "before", "after").mapInArrow(_by_before, "doc_id long, start_word long, end_word long, partner_id long")
+        found = [suffixes(word_hashes(t.as_py().split()))[1] for t in b.column(0)]
+        keys, counts = np.unique(np.concatenate([np.zeros(0, np.uint64), *found]), return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(counts)], ["k", "n"])
+
+
+def hot_keys(docs: DataFrame, sample: int = SAMPLE) -> list[int]:
+    """At most HOT keys that hold a HOT-th or more of the suffixes of a sample of the documents."""
+    some = docs.filter(F.pmod(F.xxhash64("doc_id", "text"), F.lit(sample)) == 0)
+    counts = some.select(text_bytes()).mapInArrow(_keys, "k long, n long").groupBy("k").agg(F.sum("n").alias("n"))
+    total = counts.agg(F.sum("n").alias("total"))
+    often = counts.filter(F.col("n") >= HOT_LEAST).crossJoin(total)  # one row
+    return [r["k"] for r in often.filter(F.col("n") * HOT >= F.col("total")).select("k").collect()]
+
+
+def repeated_passages(docs: DataFrame, sample: int = SAMPLE, crowd: int = CROWD) -> DataFrame:
+    """(doc_id, start_word, end_word, n_words, partner_id): regions of a document's words, all in runs of MIN_WORDS or more that another document holds too; end exclusive."""
+    rows = docs.select(F.col("doc_id").cast("long"), text_bytes()).mapInArrow(_suffix_rows(hot_keys(docs.select("doc_id", "text"), sample)), ROWS)
+    sorted_rows = rows.repartition("k", "salt").sortWithinPartitions("k", "after")
+    found = cut(sorted_rows.mapInArrow(_match(crowd), FOUND), "passages")
+    windows = found.filter("k is not null").select("k", "members")
+    member = windows.mapInArrow(_members, "k long, doc_id long, start_word long")
+    ends = member.groupBy("k").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).filter("low < high")
+    more = member.join(ends, "k").select(
+        F.nullif("doc_id", F.lit(NO_ID)).alias("doc_id"), "start_word", (F.col("start_word") + MIN_WORDS).alias("end_word"),
+        F.nullif(F.when(F.col("low") == F.col("doc_id"), F.col("high")).otherwise(F.col("low")), F.lit(NO_ID)).alias("partner_id"),
+    )
+    spans = found.filter("k is null").select("doc_id", "start_word", "end_word", "partner_id").unionByName(more)
     w = Window.partitionBy("doc_id").orderBy("start_word", F.desc("end_word"))
     far = F.max("end_word").over(w.rowsBetween(Window.unboundedPreceding, -1))
     marked = spans.withColumn("fresh", F.when(far >= F.col("start_word"), 0).otherwise(1))
@@ -230,6 +380,14 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", "start_word", "end_word", (F.col("end_word") - F.col("start_word")).alias("n_words"), "partner_id")
 
 
+def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        data, lengths = bytes_of(b.column(1))
+        members = data.view("<i8").reshape(-1, 2)
+        k = np.repeat(b.column(0).to_numpy(), lengths // 16)
+        yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(members[:, 0]), pa.array(members[:, 1])], ["k", "doc_id", "start_word"])
+
+
 def op8_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_passages(table(spark, sf_dir, "documents"))
 
