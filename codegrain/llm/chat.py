@@ -8,12 +8,14 @@ conversation can be read back turn by turn.
 
 Defined results: null roles and texts count as empty; a null part type counts
 as text; turns sort by (turn, role, text) with nulls first, so ties and
-repeated rows have one order; an empty table gives an empty result.
+repeated rows have one order; a null conv_id is a conversation of its own; long
+texts and long conversations are formatted whole; extra columns are ignored; an
+empty table gives an empty result (op1 its own conversation).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from codegrain.llm.common import table
@@ -58,20 +60,28 @@ def part_tokens(p: Column) -> Column:
 
 
 def flatten_parts(parts: Column) -> Column:
-    """struct(content, attachments, expanded_tokens) of an array of parts; offsets are code points in content."""
-    piece = lambda p: F.when(p["type"].isin(*ATTACHMENTS), F.concat(F.lit("<|"), p["type"], F.lit("|>"))).otherwise(escape(F.coalesce(p["text"], F.lit(""))))
-    item = "struct<ord:int,type:string,ref:string,offset:int,tokens:bigint>"
-
-    def visit(acc: Column, p: Column) -> Column:
-        here = F.struct(F.size(acc["attachments"]).alias("ord"), p["type"].alias("type"), p["ref"].alias("ref"), F.length(acc["content"]).alias("offset"), part_tokens(p).alias("tokens")).cast(item)
-        return F.struct(
-            F.concat(acc["content"], piece(p)).alias("content"),
-            F.when(p["type"].isin(*ATTACHMENTS), F.array_append(acc["attachments"], here)).otherwise(acc["attachments"]).alias("attachments"),
-            (acc["expanded_tokens"] + part_tokens(p)).alias("expanded_tokens"),
-        )
+    """struct(content, attachments, expanded_tokens) of an array of parts; offsets are code points in content.
 
-    zero = F.struct(F.lit("").alias("content"), F.array().cast(f"array<{item}>").alias("attachments"), F.lit(0).cast("long").alias("expanded_tokens"))
-    return F.aggregate(F.coalesce(parts, F.array().cast(f"array<{PART}>")), zero, visit)
+    A text part that begins with what may end a control string gets a backslash
+    before it, so parts do not join into one; an escaped text that begins with a
+    backslash cannot.
+    """
+    tails = sorted({c for g in GUARDED for c in g[1:]})
+    known = F.coalesce(parts, F.array().cast(f"array<{PART}>"))
+    attached = lambda p: F.coalesce(p["type"].isin(*ATTACHMENTS), F.lit(False))
+
+    def piece(p: Column, i: Column) -> Column:
+        text = escape(F.coalesce(p["text"], F.lit("")))
+        broken = F.when((i > 0) & F.substring(text, 1, 1).isin(*tails), F.concat(F.lit("\\"), text)).otherwise(text)
+        return F.when(attached(p), F.concat(F.lit("<|"), p["type"], F.lit("|>"))).otherwise(broken)
+
+    pieces = F.transform(known, piece)
+    before = lambda i: F.aggregate(F.slice(pieces, F.lit(1), i), F.lit(0), lambda a, x: a + F.length(x))
+    where = F.filter(F.transform(known, lambda p, i: F.when(attached(p), i)), lambda i: i.isNotNull())
+    item = "struct<ord:int,type:string,ref:string,offset:int,tokens:bigint>"
+    found = F.transform(where, lambda i, n: F.struct(n.alias("ord"), F.get(known, i)["type"].alias("type"), F.get(known, i)["ref"].alias("ref"), before(i).alias("offset"), part_tokens(F.get(known, i)).alias("tokens")).cast(item))
+    tokens = F.aggregate(known, F.lit(0).cast("long"), lambda a, p: a + part_tokens(p))
+    return F.struct(F.array_join(pieces, "").alias("content"), found.alias("attachments"), tokens.alias("expanded_tokens"))
 
 
 def format_conversations(turns: DataFrame) -> DataFrame:
@@ -79,42 +89,26 @@ def format_conversations(turns: DataFrame) -> DataFrame:
 
     formatted: the template's text.  loss: spans (start, length) of assistant
     contents in it, code points.  attachments carry their turn's position and
-    their offset in formatted.
+    their offset in formatted.  Where a turn begins is a running sum over the
+    conversation's rows, so a long conversation costs no more per turn.
     """
-    flat = turns.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), flatten_parts(F.col("parts")).alias("flat"))
-    flat = flat.select(
+    flat = turns.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), flatten_parts(F.col("parts")).alias("flat")).select("conv_id", "turn", "role", "flat.*")
+    flat = flat.withColumn("head", F.concat(F.lit(START), escape(F.col("role")), F.lit(SEP)))
+    order = Window.partitionBy("conv_id").orderBy("turn", "role", "content", "attachments")
+    whole = F.length("head") + F.length("content") + len(END)
+    placed = flat.withColumns({"position": F.row_number().over(order) - 1, "begin": (F.sum(whole).over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.length("content") - len(END)).cast("int")})
+    att = "struct<position:int,ord:int,type:string,ref:string,offset:int,tokens:bigint>"
+    moved = F.transform("attachments", lambda a: F.struct(F.col("position"), a["ord"].alias("ord"), a["type"].alias("type"), a["ref"].alias("ref"), (F.col("begin") + a["offset"]).alias("offset"), a["tokens"].alias("tokens")).cast(att))
+    turn = placed.select("conv_id", F.struct("position", "role", F.concat("head", "content", F.lit(END)).alias("said"), "begin", F.length("content").alias("length"), moved.alias("attachments"), "expanded_tokens").alias("t"))
+    grouped = turn.groupBy("conv_id").agg(F.array_sort(F.collect_list("t")).alias("turns"))
+    said = F.filter("turns", lambda t: t["role"] == "assistant")
+    return grouped.select(
         "conv_id",
-        F.struct(
-            "turn",
-            "role",
-            F.col("flat.content").alias("content"),
-            F.concat(F.lit(START), escape(F.col("role")), F.lit(SEP)).alias("head"),
-            F.col("flat.attachments").alias("attachments"),
-            F.col("flat.expanded_tokens").alias("expanded_tokens"),
-        ).alias("t"),
-    )
-    grouped = flat.groupBy("conv_id").agg(F.array_sort(F.collect_list("t")).alias("turns"))
-    span, att = "struct<start:int,length:int>", "struct<position:int,ord:int,type:string,ref:string,offset:int,tokens:bigint>"
-
-    def walk(acc: Column, t: Column) -> Column:
-        begin = acc["at"] + F.length(t["head"])
-        return F.struct(
-            (begin + F.length(t["content"]) + len(END)).alias("at"),
-            (acc["position"] + 1).alias("position"),
-            F.when(t["role"] == "assistant", F.array_append(acc["loss"], F.struct(begin.alias("start"), F.length(t["content"]).alias("length")).cast(span))).otherwise(acc["loss"]).alias("loss"),
-            F.concat(acc["attachments"], F.transform(t["attachments"], lambda a: F.struct(acc["position"].alias("position"), a["ord"].alias("ord"), a["type"].alias("type"), a["ref"].alias("ref"), (begin + a["offset"]).alias("offset"), a["tokens"].alias("tokens")).cast(att))).alias("attachments"),
-            (acc["expanded_tokens"] + t["expanded_tokens"]).alias("expanded_tokens"),
-        )
-
-    zero = F.struct(
-        F.lit(0).alias("at"),
-        F.lit(0).alias("position"),
-        F.array().cast(f"array<{span}>").alias("loss"),
-        F.array().cast(f"array<{att}>").alias("attachments"),
-        F.lit(0).cast("long").alias("expanded_tokens"),
+        F.array_join(F.transform("turns", lambda t: t["said"]), "").alias("formatted"),
+        F.transform(said, lambda t: F.struct(t["begin"].alias("start"), t["length"].alias("length"))).alias("loss"),
+        F.flatten(F.transform("turns", lambda t: t["attachments"])).alias("attachments"),
+        F.aggregate("turns", F.lit(0).cast("long"), lambda a, t: a + t["expanded_tokens"]).alias("expanded_tokens"),
     )
-    text = F.array_join(F.transform("turns", lambda t: F.concat(t["head"], t["content"], F.lit(END))), "")
-    return grouped.select("conv_id", text.alias("formatted"), F.aggregate("turns", zero, walk).alias("w")).select("conv_id", "formatted", "w.loss", "w.attachments", "w.expanded_tokens")
 
 
 def read_back(formatted: DataFrame) -> DataFrame:

@@ -11,9 +11,11 @@ The fit uses at most FIT_ROWS labelled documents outside the held-out fold, a
 bounded sample by least id hash; scoring covers every document.  Weights have
 a fixed size of DIMS floats.
 
-Defined results: null and empty texts score by the intercept; repeated rows
-each get a row; with no labels or one class every score is the class share
-(0.5 with none).
+Defined results: null and empty texts score by the intercept; very long texts
+and words count whole; repeated rows each get a row; labels that differ for one
+id count as their largest; with no labels or one class every score is the class
+share (0.5 with none); extra columns are ignored; an empty table gives an empty
+result.
 """
 
 from __future__ import annotations
@@ -52,7 +54,7 @@ def _ids(words: list[bytes]) -> np.ndarray:
         for i, x in enumerate(out):
             if x is None:
                 w = words[i]
-                shape = zlib.crc32(_RUN.sub(rb"\1", w.translate(_TABLE))[:24])
+                shape = zlib.crc32(_RUN.sub(rb"\1", w.translate(_TABLE)))
                 out[i] = memo[w] = (zlib.crc32(w) << 32) | (shape | 1)
     return np.array(out, np.uint64)
 

@@ -2,10 +2,10 @@
 
 A token's log-odds between toxic and other documents come from balanced
 document counts under nested Dirichlet priors: a word leans on its first five
-letters, these on its first four, these on even odds.  A linear-time scan over
-the token scores finds every maximal segment that no extension improves; all
-negative tokens lie between the few positive ones, so the scan visits only
-these.  A segment's score S in a text of n tokens has E-value
+letters, these on its first four, these on even odds, and words never counted
+score by the widest of these that was.  A linear-time scan over the token
+scores finds every maximal segment that no extension improves; all negative
+tokens lie between the few positive ones, so the scan visits only these.  A segment's score S in a text of n tokens has E-value
 K n exp(-lambda S); the significant ones' normalised scores add up to the
 document's evidence, which a sigmoid fitted on unseen rows maps to (0, 1).
 
@@ -14,8 +14,10 @@ bounded sample by least id hash; the vocabulary sent to executors is bounded
 by it.  Scoring covers every document and its whole text.
 
 Defined results: null and empty texts have no segment and score by the
-intercept; repeated rows each get a row; with no labels or one class every
-score is the class share (0 with none).
+intercept; a very long text is scanned whole; repeated rows each get a row;
+labels that differ for one id count as their largest; with no labels or one
+class every score is the class share (0 with none); extra columns are ignored;
+an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -29,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codegrain.llm.common import fold, labelled_sample, sigmoid_fit, table, text_bytes, worker_cache
+from codegrain.llm.common import cut, fold, labelled_sample, sigmoid_fit, table, text_bytes, worker_cache
 
 FIT_ROWS = 16_000
 PRIOR = 4.0
@@ -37,6 +39,7 @@ DRIFT = 0.2
 LEAST = 1.0
 E_MAX = 1.0
 MEMO = 150_000
+EULER = 0.5772
 FOLDS, HELD = 4, 2
 STRIP = ".,!?;:\"'()[]{}*#%&$"
 
@@ -50,6 +53,14 @@ def levels(w: str) -> list[str]:
     return [f"4{w[:4]}", f"5{w[:5]}", f"w{w}"] if len(w) > 5 else [f"4{w[:4]}", f"w{w}"] if len(w) > 4 else [f"w{w}"]
 
 
+def wider(key: str) -> str | None:
+    """The key that a key leans on."""
+    kind, text = key[0], key[1:]
+    if kind == "5" or (kind == "w" and len(text) == 5):
+        return f"4{text[:4]}"
+    return f"5{text[:5]}" if kind == "w" and len(text) > 5 else None
+
+
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     totals: tuple[Counter, Counter] = (Counter(), Counter())
     for b in batches:
@@ -59,31 +70,30 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array([totals[1][k] for k in keys], pa.int64()), pa.array([totals[0][k] for k in keys], pa.int64())], ["k", "c1", "c0"])
 
 
+def weight(log_odds: float) -> float:
+    """What log-odds count: weak evidence for toxicity counts as none."""
+    return log_odds if log_odds >= LEAST else min(log_odds, 0.0)
+
+
 def log_odds(counts: dict[str, tuple[int, int]], n1: int, n0: int) -> dict[str, float]:
-    """Key -> log-odds where it differs from its wider key's; counts are of documents."""
+    """Key -> log-odds, where they weigh other than its wider key's; counts are of documents.
+
+    Prefixes stay in the table for tokens that were never counted, so an unseen
+    inflection scores by its first letters.
+    """
     balance, share = n1 / n0, {}
 
-    def of(w: str) -> float:
-        s = 0.5
-        for k in levels(w):
-            if k not in share:
-                c1, c0 = counts.get(k, (0, 0))
-                share[k] = (c1 + PRIOR * s) / (c1 + c0 * balance + PRIOR)
-            s = share[k]
-        return s
-
-    for k in counts:
-        of(k[1:])
-    out = {}
-    for k in counts:
-        path = levels(k[1:])
-        if k not in path:
-            continue
-        at = path.index(k)
-        lo, wider = math.log(share[k] / (1 - share[k])), math.log(share[path[at - 1]] / (1 - share[path[at - 1]])) if at else 0.0
-        if (lo >= LEAST or wider >= LEAST or lo < -0.1) and abs(lo - wider) > 1e-9:
-            out[k] = lo
-    return out
+    def of(k: str | None) -> float:
+        if k is None:
+            return 0.5
+        if k not in share:
+            c1, c0 = counts.get(k, (0, 0))
+            share[k] = (c1 + PRIOR * of(wider(k))) / (c1 + c0 * balance + PRIOR)
+        return share[k]
+
+    logit = lambda x: math.log(x / (1 - x))
+    odds = {k: logit(of(k)) for k in counts}
+    return {k: lo for k, lo in odds.items() if abs(weight(lo) - weight(logit(of(wider(k))))) > 1e-9}
 
 
 def token_scores(words: list[bytes], odds: dict[str, float], memo: dict[bytes, float]) -> np.ndarray:
@@ -100,26 +110,32 @@ def token_scores(words: list[bytes], odds: dict[str, float], memo: dict[bytes, f
                     if k in odds:
                         lo = odds[k]
                         break
-                out[i] = memo[words[i]] = (lo if lo >= LEAST else min(lo, 0.0)) - DRIFT
+                out[i] = memo[words[i]] = weight(lo) - DRIFT
     return np.array(out, float)
 
 
 def segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
-    """(start, end, score) of all maximal scoring segments, in linear time over the positive scores."""
+    """(start, end, score) of all maximal scoring segments, in time linear in the positive scores.
+
+    Each segment found so far links to the nearest one before it whose left sum
+    is smaller.  A new one follows these links: what it passes over has a left
+    sum no smaller than its own and is never looked at again.
+    """
     cum = np.concatenate([[0.0], np.cumsum(scores)])
-    found: list[tuple[int, int, float, float]] = []  # start, end, cumulative before it and at its end
+    found: list[tuple[int, int, float, float, int]] = []  # start, end, sum before it, sum at its end, link
     for i in np.flatnonzero(scores > 0).tolist():
         left, right, start = float(cum[i]), float(cum[i + 1]), i
+        j = len(found) - 1
         while True:
-            j = len(found) - 1
             while j >= 0 and found[j][2] >= left:
-                j -= 1
+                j = found[j][4]
             if j < 0 or found[j][3] >= right:
                 break
-            start, left = found[j][0], found[j][2]
+            start, _, left, _, link = found[j]
             del found[j:]
-        found.append((start, i + 1, left, right))
-    return [(s, e, r - x) for s, e, x, r in found]
+            j = link
+        found.append((start, i + 1, left, right, j))
+    return [(s, e, r - x) for s, e, x, r, _ in found]
 
 
 def evidence(scores: np.ndarray, lam: float, log_k: float) -> tuple[float, int, float]:
@@ -132,12 +148,12 @@ def evidence(scores: np.ndarray, lam: float, log_k: float) -> tuple[float, int,
     return sum(normal), len(normal), max(s for _, _, s in found)
 
 
-def solve_lambda(scores: np.ndarray) -> float:
-    """The positive root of mean(exp(lambda s)) = 1; 1 where no score is positive."""
-    if not (scores > 0).any() or scores.mean() >= 0:
+def solve_lambda(values: np.ndarray, counts: np.ndarray) -> float:
+    """The positive root of mean(exp(lambda s)) = 1 over scores that occur so often; 1 where no score is positive."""
+    if not len(values) or not (values > 0).any() or (values * counts).sum() >= 0:
         return 1.0
     lo, hi = 1e-6, 1.0
-    mean = lambda x: float(np.exp(np.minimum(x * scores, 60)).mean())
+    mean = lambda x: float((np.exp(np.minimum(x * values, 60)) * counts).sum() / counts.sum())
     while mean(hi) < 1 and hi < 64:
         lo, hi = hi, hi * 2
     for _ in range(60):
@@ -147,7 +163,13 @@ def solve_lambda(scores: np.ndarray) -> float:
 
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> dict:
-    sample = labelled_sample(docs, labels, "toxic", FOLDS, HELD, rows)
+    """The model: log-odds per key, extreme-value parameters and the sigmoid.
+
+    To the driver come the keys of the sample's words that occur often enough,
+    one histogram of scores in steps of a hundredth, and two numbers for each
+    row that calibrates.
+    """
+    sample = cut(labelled_sample(docs, labels, "toxic", FOLDS, HELD, rows), "toxic")
     check = F.pmod(F.xxhash64("text", F.lit(5)), F.lit(4)) == 0
     n = {r["label"]: r["count"] for r in sample.filter(~check).groupBy("label").count().collect()}
     if len(n) < 2:
@@ -156,33 +178,41 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> dict:
     counted = sample.filter(~check).mapInArrow(_count, "k string, c1 long, c0 long").groupBy("k").agg(F.sum("c1").alias("c1"), F.sum("c0").alias("c0"))
     strong = counted.filter((F.col("c1") >= 3) | (F.col("c0") >= 20))
     odds = log_odds({r["k"]: (r["c1"], r["c0"]) for r in strong.toLocalIterator()}, n[1], n[0])
-    probe = sample.filter(check).mapInArrow(_probe(odds), "label int, n int, s array<double>, pos array<int>").collect()
-    clean = [r for r in probe if not r["label"]]
-    flat = np.concatenate([[0.0], *[_expand(r) for r in clean]])
-    lam = solve_lambda(flat)
-    best = [(max([s for _, _, s in segments(_expand(r))], default=0.0), r["n"]) for r in clean if r["n"]]
-    log_k = float(np.mean([lam * s - 0.5772 - math.log(k) for s, k in best])) if best else 0.0
-    x = [evidence(_expand(r), lam, log_k)[0] for r in probe]
-    y = [r["label"] for r in probe]
-    if len(set(y)) < 2:
-        return {"odds": odds, "prior": None, "lam": lam, "log_k": log_k, "a": 1.0, "b": -3.0}
-    a, b = sigmoid_fit(x, y)
-    return {"odds": odds, "prior": None, "lam": lam, "log_k": log_k, "a": a, "b": b}
-
-
-def _expand(r) -> np.ndarray:
-    out = np.full(r["n"], -DRIFT)
-    out[r["pos"]] = r["s"]
-    return out
-
-
-def _probe(odds: dict[str, float]):
+    clean = sample.filter(check & (F.col("label") == 0))
+    hist = clean.mapInArrow(_histogram(odds), "bin int, n long").groupBy("bin").agg(F.sum("n").alias("n")).collect()
+    lam = solve_lambda(np.array([r["bin"] / 100 for r in hist]), np.array([r["n"] for r in hist], float))
+    best = [r for r in clean.mapInArrow(_evidence(odds, lam, 0.0), PROBE).collect() if r["n"]]
+    log_k = float(np.mean([lam * r["best"] - EULER - math.log(r["n"]) for r in best])) if best else 0.0
+    probe = sample.filter(check).mapInArrow(_evidence(odds, lam, log_k), PROBE).collect()
+    model = {"odds": odds, "prior": None, "lam": lam, "log_k": log_k, "a": 1.0, "b": -3.0}
+    if len({r["label"] for r in probe}) == 2:
+        model["a"], model["b"] = sigmoid_fit([r["evidence"] for r in probe], [r["label"] for r in probe])
+    return model
+
+
+def _histogram(odds: dict[str, float]):
+    """Scores of all words, rounded to a hundredth, with their numbers."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo: dict[bytes, float] = {}
+        for b in batches:
+            scores = np.concatenate([np.zeros(0), *[token_scores(t.as_py().split(), odds, memo) for t in b.column(0)]])
+            bins, counts = np.unique(np.rint(scores * 100).astype(np.int32), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(bins), pa.array(counts)], ["bin", "n"])
+
+    return run
+
+
+PROBE = "label int, n int, best double, evidence double"
+
+
+def _evidence(odds: dict[str, float], lam: float, log_k: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo: dict[bytes, float] = {}
         for b in batches:
-            got = [token_scores(t.as_py().split(), odds, memo) for t in b.column(0)]
-            at = [np.flatnonzero(g != -DRIFT) for g in got]
-            yield pa.RecordBatch.from_arrays([b.column(1), pa.array([len(g) for g in got], pa.int32()), pa.array([g[i].tolist() for g, i in zip(got, at, strict=True)], pa.list_(pa.float64())), pa.array([i.tolist() for i in at], pa.list_(pa.int32()))], ["label", "n", "s", "pos"])
+            scores = [token_scores(t.as_py().split(), odds, memo) for t in b.column(0)]
+            got = [evidence(s, lam, log_k) if len(s) else (0.0, 0, 0.0) for s in scores]
+            yield pa.RecordBatch.from_arrays([b.column(1), pa.array([len(s) for s in scores], pa.int32()), pa.array([g[2] for g in got], pa.float64()), pa.array([float(g[0]) for g in got], pa.float64())], ["label", "n", "best", "evidence"])
 
     return run
 
