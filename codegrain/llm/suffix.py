@@ -264,8 +264,12 @@ def _spans(doc: np.ndarray, start: np.ndarray, end: np.ndarray, partner: np.ndar
 
 
 def _passed(hashes: pa.Array, members: pa.Array) -> pa.RecordBatch:
+    """Windows as they go to be counted: in start_word and end_word stand the ends of each row's documents."""
     n = len(hashes)
-    return pa.RecordBatch.from_arrays([*[pa.nulls(n, pa.int64())] * 4, hashes, members], FOUND_NAMES)
+    data, lengths = bytes_of(members)
+    docs, starts = data.view("<i8")[::2], np.cumsum(lengths) // 16 - lengths // 16
+    ends = [pa.array(f.reduceat(docs, starts) if n else np.zeros(0, np.int64)) for f in (np.minimum, np.maximum)]
+    return pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), *ends, pa.nulls(n, pa.int64()), hashes, members], FOUND_NAMES)
 
 
 def _matched(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -364,13 +368,9 @@ def repeated_passages(docs: DataFrame, sample: int = SAMPLE, crowd: int = CROWD)
     rows = docs.select(F.col("doc_id").cast("long"), text_bytes()).mapInArrow(_suffix_rows(hot_keys(docs.select("doc_id", "text"), sample)), ROWS)
     sorted_rows = rows.repartition("k", "salt").sortWithinPartitions("k", "after")
     found = cut(sorted_rows.mapInArrow(_match(crowd), FOUND), "passages")
-    windows = found.filter("k is not null").select("k", "members")
-    member = windows.mapInArrow(_members, "k long, doc_id long, start_word long")
-    ends = member.groupBy("k").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).filter("low < high")
-    more = member.join(ends, "k").select(
-        F.nullif("doc_id", F.lit(NO_ID)).alias("doc_id"), "start_word", (F.col("start_word") + MIN_WORDS).alias("end_word"),
-        F.nullif(F.when(F.col("low") == F.col("doc_id"), F.col("high")).otherwise(F.col("low")), F.lit(NO_ID)).alias("partner_id"),
-    )
+    windows = found.filter("k is not null").select("k", F.col("start_word").alias("low"), F.col("end_word").alias("high"), "members")
+    ends = windows.groupBy("k").agg(F.min("low").alias("low"), F.max("high").alias("high")).filter("low < high")
+    more = windows.select("k", "members").join(ends, "k").select("low", "high", "members").mapInArrow(_members, "doc_id long, start_word long, end_word long, partner_id long")
     spans = found.filter("k is null").select("doc_id", "start_word", "end_word", "partner_id").unionByName(more)
     w = Window.partitionBy("doc_id").orderBy("start_word", F.desc("end_word"))
     far = F.max("end_word").over(w.rowsBetween(Window.unboundedPreceding, -1))
@@ -381,11 +381,13 @@ def repeated_passages(docs: DataFrame, sample: int = SAMPLE, crowd: int = CROWD)
 
 
 def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(least document, largest, members) of windows that two documents hold -> a span for each member."""
     for b in batches:
-        data, lengths = bytes_of(b.column(1))
+        data, lengths = bytes_of(b.column(2))
         members = data.view("<i8").reshape(-1, 2)
-        k = np.repeat(b.column(0).to_numpy(), lengths // 16)
-        yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(members[:, 0]), pa.array(members[:, 1])], ["k", "doc_id", "start_word"])
+        low, high = (np.repeat(b.column(i).to_numpy(), lengths // 16) for i in range(2))
+        found = _spans(members[:, 0], members[:, 1], members[:, 1] + MIN_WORDS, np.where(low == members[:, 0], high, low))
+        yield pa.RecordBatch.from_arrays(found.columns[:4], FOUND_NAMES[:4])
 
 
 def op8_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
