@@ -1,9 +1,9 @@
 """Toxicity by maximum-scoring segments.
 
 A token's log-odds between toxic and other documents come from balanced
-document counts under nested Dirichlet priors: a word leans on its first five
-letters, these on its first four, these on even odds, and words never counted
-score by the widest of these that was.  A linear-time scan over the token
+document counts under nested Dirichlet priors: a word leans on its first eight
+letters, these on its first seven and so on to four, these on even odds; words
+never counted score by the longest prefix that was.  A linear-time scan over the token
 scores finds every maximal segment that no extension improves; all negative
 tokens lie between the few positive ones, so the scan visits only these.  A segment's score S in a text of n tokens has E-value
 K n exp(-lambda S); the significant ones' normalised scores add up to the
@@ -35,6 +35,8 @@ from codegrain.llm.common import cut, fold, labelled_sample, sigmoid_fit, table,
 
 FIT_ROWS = 16_000
 PRIOR = 4.0
+#: Lengths of the prefixes that a word leans on, one after the other; of one digit.
+PREFIXES = (4, 5, 6, 7, 8)
 DRIFT = 0.2
 LEAST = 1.0
 E_MAX = 1.0
@@ -49,16 +51,15 @@ def token(word: bytes) -> str:
 
 
 def levels(w: str) -> list[str]:
-    """Keys of a token from the widest to itself."""
-    return [f"4{w[:4]}", f"5{w[:5]}", f"w{w}"] if len(w) > 5 else [f"4{w[:4]}", f"w{w}"] if len(w) > 4 else [f"w{w}"]
+    """Keys of a token from the widest to itself: its prefixes of PREFIXES letters, each marked by its length, then the word."""
+    return [*(f"{n}{w[:n]}" for n in PREFIXES if n < len(w)), f"w{w}"]
 
 
 def wider(key: str) -> str | None:
     """The key that a key leans on."""
-    kind, text = key[0], key[1:]
-    if kind == "5" or (kind == "w" and len(text) == 5):
-        return f"4{text[:4]}"
-    return f"5{text[:5]}" if kind == "w" and len(text) > 5 else None
+    text = key[1:]
+    shorter = [n for n in PREFIXES if n < len(text)]
+    return f"{shorter[-1]}{text[: shorter[-1]]}" if shorter else None
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -202,7 +202,7 @@ def slow_toxicity(texts, model):
         words = [x.strip(toxicity.STRIP).lower() for x in WORD.findall(t)]
         s = []
         for w in words:
-            k = next((k for k in ([f"w{w}", f"5{w[:5]}", f"4{w[:4]}"] if len(w) > 5 else [f"w{w}", f"4{w[:4]}"] if len(w) > 4 else [f"w{w}"]) if k in model["odds"]), None)
+            k = next((k for k in [f"w{w}", *(f"{n}{w[:n]}" for n in (8, 7, 6, 5, 4) if n < len(w))] if k in model["odds"]), None)
             lo = model["odds"][k] if k else 0
             s.append((lo if lo >= 1 else min(lo, 0)) - 0.2)
         normal = [model["lam"] * sum(s[a:b]) - model["log_k"] - np.log(len(s)) for a, b in slow_segments(np.array(s))]
