@@ -1,26 +1,36 @@
 """Secret scans: fixed patterns plus a randomness test battery.
 
-Candidates are long runs of encoding characters.  For each, the narrowest
-encoding that holds it is inferred (hex, base32, letters and digits, base64)
-and three tests ask whether it could be drawn uniformly from that alphabet:
-chi-squared over character classes and over the alphabet, Wald-Wolfowitz runs
-about the alphabet's middle, and lag-one serial correlation.  The least
-p-value, corrected for their number, is the candidate's.  Ordinary text fails
-uniformity; Benjamini-Hochberg control within each length stratum, over all
-documents, decides which candidates are rejected as not random.  The rest are
-secrets of kind "random".  Base pattern matches always stay.
-
-Defined results: null and empty texts have no spans; repeated rows each get a
-row; an empty table gives an empty result.
+Candidates are long runs of encoding characters, without what the fixed
+patterns hold.  For each, the narrowest encoding that holds it is inferred
+(hex, base32, letters and digits, base64) and three tests ask whether it could
+be drawn uniformly from that alphabet: chi-squared over character classes and
+over the alphabet, Wald-Wolfowitz runs about the alphabet's middle, and lag-one
+serial correlation.  The least p-value, corrected for their number, is the
+candidate's grade: near one for keys, tiny for words.
+
+Every document also gives identifiers of its own words, joined as in names and
+paths, to as many lengths; their grades are the null of ordinary text, by
+length band.  A candidate's p-value is the share of these that look as random
+as it does, and Benjamini-Hochberg control of these p-values within each band,
+over all documents, decides which candidates are secrets of kind "random": of
+the spans reported as random, at most a share of FDR is expected to be text.
+Where short strings cannot be told from words, none is reported.  Base pattern
+matches always stay.
+
+Defined results: null and empty texts have no spans; very long texts are
+scanned whole; repeated rows each get a row; extra columns are ignored; an
+empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import math
 import re
+import zlib
+from collections import Counter
 from collections.abc import Iterator
+from operator import mul, ne
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,13 +43,22 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
 LONG = re.compile(r"[!-~]{16}")
+WORDS = re.compile(r"[A-Za-z]{2,}")
 MIN_RANDOM = 16
 FDR = 0.05
-BINS_PER_DECADE, MAX_BIN, MAX_LEN = 8, 400, 64
+BINS_PER_DECADE, MAX_BIN = 8, 400
+#: Least length of each band; within one, grades of words are compared.
+BANDS = (16, 20, 24, 32, 48)
+#: Identifiers that each document gives to the null, and what joins their words.
+NULLS, JOINTS = 2, ("", "_", "-", "/")
 
 _LOWER, _UPPER, _DIGIT = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
 ALPHABETS = ("0123456789abcdef", "0123456789ABCDEF", _UPPER + "234567", _DIGIT + _LOWER, _UPPER + _DIGIT, _DIGIT + _UPPER + _LOWER, _UPPER + _LOWER + _DIGIT + "+/", _UPPER + _LOWER + _DIGIT + "-_")
 
+_SETS = {a: set(a) for a in ALPHABETS}
+_PLACES = {a: [a.find(chr(c)) for c in range(128)] for a in ALPHABETS}
+_CLASSES = (set(_DIGIT), set(_LOWER), set(_UPPER))
+
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(start, kind, end) of the fixed patterns, leftmost and non-overlapping within each kind."""
@@ -63,101 +82,157 @@ def _chi(x: float, df: int) -> float:
 def uniform_p(word: str) -> float:
     """Least of the battery's p-values times their number, under uniform draws from the inferred alphabet."""
     body = word.rstrip("=")
-    n = len(body)
+    n, used = len(body), set(body)
     # letters or digits alone are no encoding: such a string is judged as one of letters and digits
-    alphabet = next((a for a in (ALPHABETS[5:] if body.isalpha() or body.isdigit() else ALPHABETS) if set(body) <= set(a)), None)
+    alphabet = next((a for a in (ALPHABETS[5:] if body.isalpha() or body.isdigit() else ALPHABETS) if used <= _SETS[a]), None)
     if n < MIN_RANDOM or alphabet is None:
         return 0.0
     k = len(alphabet)
-    at = np.array([alphabet.index(c) for c in body])
+    place = _PLACES[alphabet]
+    at = [place[c] for c in body.encode()]
     wide = alphabet if k > 36 else ALPHABETS[5]  # letters of one case alone are as unlikely as the full alphabet makes them
-    if not set(body) <= set(wide):
-        wide = ALPHABETS[6] if set(body) <= set(ALPHABETS[6]) else ALPHABETS[7]
+    if not used <= _SETS[wide]:
+        wide = ALPHABETS[6] if used <= _SETS[ALPHABETS[6]] else ALPHABETS[7]
     tests = []
     if k > 32:
-        classes = [[c for c in wide if c in s] for s in (_LOWER, _UPPER, _DIGIT)]
-        rest = len(wide) - sum(map(len, classes))
-        sizes = [len(c) for c in classes] + ([rest] if rest else [])
-        seen = [sum(c in s for c in body) for s in (_LOWER, _UPPER, _DIGIT)]
-        seen += [n - sum(seen)] if rest else []
+        digits, lower, upper = (sum(map(body.count, used & c)) for c in _CLASSES)
         if k == 36:  # one case and digits: two classes
-            letters = 26
-            sizes, seen = [letters, 10], [sum(c.isalpha() for c in body), sum(c.isdigit() for c in body)]
-        expect = [n * s / sum(sizes) for s in sizes]
-        tests.append(_chi(sum((o - e) ** 2 / e for o, e in zip(seen, expect, strict=True)), len(sizes) - 1))
-    counts = np.bincount(at, minlength=k)
-    x = float(((counts - n / k) ** 2).sum() * k / n)
+            sizes, seen = (26, 10), (lower + upper, digits)
+        else:
+            sizes, seen = ((26, 26, 10, 2), (lower, upper, digits, n - lower - upper - digits)) if len(wide) > 62 else ((26, 26, 10), (lower, upper, digits))
+        total = sum(sizes)
+        tests.append(_chi(sum((o - n * s / total) ** 2 / (n * s / total) for o, s in zip(seen, sizes, strict=True)), len(sizes) - 1))
+    x = sum(c * c for c in Counter(at).values()) * k / n - n
     z = (x - (k - 1)) / math.sqrt(2 * (k - 1) * (n - 1) / n)
     tests.append(0.5 * math.erfc(z / math.sqrt(2)))
-    above = at >= k / 2
-    up = int(above.sum())
+    above = [a >= k / 2 for a in at]
+    up = sum(above)
     if 0 < up < n:
-        mean, runs = 1 + 2 * up * (n - up) / n, 1 + int((above[1:] != above[:-1]).sum())
+        mean, runs = 1 + 2 * up * (n - up) / n, 1 + sum(map(ne, above[1:], above))
         var = (mean - 1) * (mean - 2) / (n - 1)
         tests.append(math.erfc(abs(runs - mean) / math.sqrt(2 * var)) if var > 0 else 1.0)
     else:
         tests.append(2.0 ** (1 - n))
-    d = at - at.mean()
-    if (s := float((d * d).sum())) > 0:
-        tests.append(math.erfc(abs(float((d[1:] * d[:-1]).sum()) / s + 1 / n) * math.sqrt(n / 2)))
+    centre = sum(at) / n
+    d = [a - centre for a in at]
+    if (s := sum(v * v for v in d)) > 1e-9:
+        tests.append(math.erfc(abs(sum(map(mul, d[1:], d)) / s + 1 / n) * math.sqrt(n / 2)))
     else:
         tests.append(0.0)
     return min(1.0, min(tests) * len(tests))
 
 
-def random_candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int, int]]:
-    """(start, end, stratum, bin) of candidates clear of base spans; bin is -log10 p in BINS_PER_DECADE steps."""
+def grade(word: str) -> int:
+    """-log10 of the battery's p-value in BINS_PER_DECADE steps."""
+    return min(MAX_BIN, int(-math.log10(max(uniform_p(word), 1e-60)) * BINS_PER_DECADE))
+
+
+def band(n: int) -> int:
+    return max(b for b in BANDS if b <= n)
+
+
+def blocks(base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """Base spans with overlapping ones joined, of the first's kind."""
+    out: list[tuple[int, int, int]] = []
+    for s, k, e in base:
+        if out and s < out[-1][2]:
+            out[-1] = (*out[-1][:2], max(out[-1][2], e))
+        else:
+            out.append((s, k, e))
+    return out
+
+
+def random_candidates(text: str, held: list[tuple[int, int, int]]) -> list[tuple[int, int, int, int]]:
+    """(start, end, band, grade) of what candidates leave beside held spans, disjoint and in order, in one pass over both lists."""
     if not LONG.search(text):
         return []
-    out = []
+    out, at = [], 0
     for m in CANDIDATE.finditer(text):
-        if all(m.end() <= s or e <= m.start() for s, _, e in base):
-            p = uniform_p(m[0])
-            out.append((m.start(), m.end(), min(MAX_LEN, len(m[0])), min(MAX_BIN, int(-math.log10(max(p, 1e-60)) * BINS_PER_DECADE))))
+        begin, end = m.span()
+        while at < len(held) and held[at][2] <= begin:
+            at += 1
+        rest, i = [], at
+        while i < len(held) and held[i][0] < end:
+            rest.append((begin, held[i][0]))
+            begin, i = max(begin, held[i][2]), i + 1
+        out += [(b, e, band(e - b), grade(text[b:e])) for b, e in (*rest, (begin, end)) if e - b >= MIN_RANDOM]
     return out
 
 
-_SPAN = pa.list_(pa.struct([("start", pa.int64()), ("kind", pa.int32()), ("end", pa.int64())]))
-_CAND = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("stratum", pa.int32()), ("bin", pa.int32())]))
-_SCHEMA = "doc_id long, base array<struct<start:long,kind:int,end:long>>, cand array<struct<start:long,end:long,stratum:int,bin:int>>"
+def identifiers(text: str, n: int = NULLS) -> Iterator[str]:
+    """Names made of the text's own words: letters, lower or mixed case, now and then a number, over all bands."""
+    words = [w for w in WORDS.findall(text) if w.isalpha()]
+    if not words:
+        return
+    seed = zlib.crc32(text.encode("utf-8", "replace"))
+    for i in range(n):
+        seed = (seed * 1103515245 + 12345) & 0x7FFFFFFF
+        low = BANDS[(seed >> 16) % len(BANDS)]
+        length, joint, at = low + seed % max(4, low // 2), JOINTS[(seed >> 8) % 4], (seed >> 10) % len(words)
+        name = ""
+        while len(name) < length:
+            w = words[at % len(words)]
+            name += (joint if name else "") + (w.capitalize() if seed >> 5 & 1 else w) + (str(seed >> 12 & 0xFF) if seed >> 6 & 7 == 0 and len(name) + len(w) >= length else "")
+            at += 1
+        yield name[:length]
 
 
-def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        base, cand = [], []
-        for t in b.column(1):
-            text = t.as_py() or ""
-            got = base_spans(text)
-            base.append([{"start": s, "kind": k, "end": e} for s, k, e in got])
-            cand.append([{"start": s, "end": e, "stratum": n, "bin": p} for s, e, n, p in random_candidates(text, got)])
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(base, _SPAN), pa.array(cand, _CAND)], ["doc_id", "base", "cand"])
-
-
-def rejection_bins(found: DataFrame, fdr: float = FDR) -> dict[int, int]:
-    """Per length stratum the least bin that Benjamini-Hochberg rejects; at most MAX_LEN strata of MAX_BIN bins reach the driver."""
-    hist = found.select(F.explode("cand").alias("c")).groupBy("c.stratum", "c.bin").count().collect()
+_SPAN = pa.list_(pa.struct([("start", pa.int64()), ("kind", pa.int32()), ("end", pa.int64())]))
+_CAND = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("band", pa.int32()), ("grade", pa.int32())]))
+_FOUND = "base array<struct<start:long,kind:int,end:long>>, blocks array<struct<start:long,kind:int,end:long>>, cand array<struct<start:long,end:long,band:int,grade:int>>, nulls array<struct<start:long,end:long,band:int,grade:int>>"
+
+
+def _scan(keep: bool):
+    """Columns, the text last -> the same columns (without the text unless keep) and what was found."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        spans = lambda rows: [{"start": s, "kind": k, "end": e} for s, k, e in rows]
+        for b in batches:
+            base, held, cand, nulls = [], [], [], []
+            for t in b.column(b.num_columns - 1):
+                text = t.as_py() or ""
+                got = base_spans(text)
+                joined = blocks(got)
+                base.append(spans(got))
+                held.append(spans(joined))
+                cand.append([{"start": s, "end": e, "band": n, "grade": p} for s, e, n, p in random_candidates(text, joined)])
+                nulls.append([{"start": 0, "end": 0, "band": band(len(w)), "grade": grade(w)} for w in identifiers(text)])
+            columns = b.num_columns - (not keep)
+            yield pa.RecordBatch.from_arrays([*b.columns[:columns], pa.array(base, _SPAN), pa.array(held, _SPAN), pa.array(cand, _CAND), pa.array(nulls, _CAND)], [*b.schema.names[:columns], "base", "blocks", "cand", "nulls"])
+
+    return run
+
+
+def accepted_grades(found: DataFrame, fdr: float = FDR) -> dict[int, int]:
+    """Per band the largest grade that Benjamini-Hochberg control accepts as a secret; one histogram of at most MAX_BIN grades a band reaches the driver."""
+    told = lambda name, null: F.transform(name, lambda x: F.struct(F.lit(null).alias("null"), x["band"].alias("band"), x["grade"].alias("grade")))
+    both = found.select(F.explode(F.concat(told("cand", False), told("nulls", True))).alias("c"))
+    hist = both.groupBy("c.null", "c.band", "c.grade").count().collect()
     out = {}
-    for stratum in {r["stratum"] for r in hist}:
-        bins = sorted(((r["bin"], r["count"]) for r in hist if r["stratum"] == stratum), reverse=True)
-        total, seen = sum(n for _, n in bins), 0
-        for b, n in bins:
-            seen += n
-            if 10 ** (-b / BINS_PER_DECADE) <= fdr * seen / total:
-                out[stratum] = b
+    for n in BANDS:
+        words, cands = ({r["grade"]: r["count"] for r in hist if r["band"] == n and r["null"] == of} for of in (True, False))
+        total, seen = sum(cands.values()), 0
+        for g in sorted(cands):
+            seen += cands[g]
+            p = (1 + sum(c for x, c in words.items() if x <= g)) / (1 + sum(words.values()))
+            if p <= fdr * seen / total:
+                out[n] = g
     return out
 
 
+def _accepted(limits: dict[int, int]) -> Column:
+    """Accepted candidates of a row as spans of kind random."""
+    if not limits:
+        return F.array().cast("array<struct<start:bigint,kind:int,end:bigint>>")
+    most = F.create_map(*[F.lit(x) for kv in limits.items() for x in kv])
+    kept = F.filter("cand", lambda c: c["grade"] <= F.coalesce(most[c["band"]], F.lit(-1)))
+    return F.transform(kept, lambda c: F.struct(c["start"].alias("start"), F.lit(3).alias("kind"), c["end"].alias("end")))
+
+
 def scan(docs: DataFrame) -> DataFrame:
     """(doc_id, base, spans): spans array<struct<start, kind, end>> sorted by start, then kind, with random ones added."""
-    found = cut(docs.select("doc_id", "text").mapInArrow(_scan, _SCHEMA), "secrets")
-    limits = rejection_bins(found)
-    if limits:
-        least = F.create_map(*[F.lit(x) for kv in limits.items() for x in kv])
-        kept = F.filter("cand", lambda c: c["bin"] < F.coalesce(least[c["stratum"]], F.lit(MAX_BIN + 1)))
-    else:
-        kept = F.col("cand")
-    added = F.transform(kept, lambda c: F.struct(c["start"].alias("start"), F.lit(3).alias("kind"), c["end"].alias("end")))
-    return found.select("doc_id", "base", F.array_sort(F.concat("base", added)).alias("spans"))
+    found = cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_scan(False), f"doc_id long, {_FOUND}"), "secrets")
+    return found.select("doc_id", "base", F.array_sort(F.concat("base", _accepted(accepted_grades(found)))).alias("spans"))
 
 
 def spelled(spans: Column) -> Column:
@@ -172,22 +247,25 @@ def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def redacted(docs: DataFrame) -> DataFrame:
-    """documents with every secret replaced by its kind in angle brackets; overlapping spans count as one of the first's kind."""
-    rows = cut(docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "text", "lang", "source", "n_chars"), "redact")
-    spans = scan(rows.select(F.col("rid").alias("doc_id"), "text")).filter(F.size("spans") > 0).select(F.col("doc_id").alias("rid"), "spans")
-    joined = rows.join(spans, "rid", "left")
-    names = F.array(*map(F.lit, KINDS))
-    start = F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("at"))
-
-    def step(a: Column, s: Column) -> Column:
-        fresh = F.concat(a["out"], F.substring(F.col("text"), (a["at"] + 1).cast("int"), (s["start"] - a["at"]).cast("int")), F.lit("<"), F.element_at(names, s["kind"] + 1), F.lit(">"))
-        return F.struct(F.when(s["start"] >= a["at"], fresh).otherwise(a["out"]).alias("out"), F.greatest(a["at"], s["end"]).alias("at"))
-
-    done = F.aggregate("spans", start, step, lambda a: F.concat(a["out"], F.substring(F.col("text"), (a["at"] + 1).cast("int"), F.length("text"))))
-    text = F.when(F.col("spans").isNull(), F.col("text")).otherwise(done)
-    # two steps: inside a lambda a name may resolve to an alias of the same select
-    fresh = joined.select("doc_id", text.alias("text"), "lang", "source", "n_chars", F.col("spans").isNotNull().alias("changed"))
-    return fresh.select("doc_id", "text", "lang", "source", F.when(F.col("changed"), F.length("text").cast("long")).otherwise(F.col("n_chars")).alias("n_chars"))
+    """documents with every secret replaced by its kind in angle brackets; overlapping spans count as one of the first's kind.
+
+    Texts are written once beside what was found in them, so no row looks for its spans elsewhere.
+    """
+    names = ["doc_id", "lang", "source", "n_chars", "text"]
+    found = cut(docs.select(*names).mapInArrow(_scan(True), f"doc_id long, lang string, source string, n_chars long, text string, {_FOUND}"), "redact")
+    spans = F.array_sort(F.concat("blocks", _accepted(accepted_grades(found))))
+    told = found.select(*names, spans.alias("spans"))
+    kinds = F.array(*map(F.lit, KINDS))
+    piece = lambda s, i: F.concat(F.substring(F.col("text"), _end(i - 1) + 1, (s["start"] - _end(i - 1)).cast("int")), F.lit("<"), F.element_at(kinds, s["kind"] + 1), F.lit(">"))
+    rest = F.substring(F.col("text"), _end(F.size("spans") - 1) + 1, F.length("text"))
+    fresh = told.withColumn("fresh", F.concat(F.array_join(F.transform("spans", piece), ""), rest))
+    changed = F.size("spans") > 0
+    return fresh.select("doc_id", F.when(changed, F.col("fresh")).otherwise(F.col("text")).alias("text"), "lang", "source", F.when(changed, F.length("fresh").cast("long")).otherwise(F.col("n_chars")).alias("n_chars"))
+
+
+def _end(i: Column) -> Column:
+    """Where span i of a row ends; 0 before the first."""
+    return F.when(i < 0, F.lit(0)).otherwise(F.get(F.col("spans"), i)["end"].cast("int"))
 
 
 QUERIES = {"op3_secrets": op3_secrets}
