@@ -331,6 +331,49 @@ def test_mix(spark):
     assert sorted(rows) == sorted(mixing.op5_mixing(spark, SMALL).collect())
 
 
+def test_taken_words_of_every_document(spark):
+    """What each document gives, from the slots' blocks laid over the streams by hand."""
+    sized = mixing.sized_documents(documents(spark))
+    segments, per_source = mixing.mix(sized)
+    got = {r["doc_id"]: r["taken"] for r in segments.groupBy("doc_id").agg(F.sum("taken").alias("taken")).collect()}
+    n_words = sized.agg(F.sum("size")).first()[0]
+    takes = defaultdict(int)
+    for r in mixing.slots(per_source, n_shards=mixing.shards_of(n_words)).collect():
+        takes[r["skey"], r["blk"], r["epoch"]] = r["take"]
+    epochs = max(e for *_, e in takes) + 1
+    buckets = max(1, -(-sized.count() // mixing.BUCKET_ROWS))
+    order = sized.withColumns({"bucket": F.pmod(F.xxhash64("doc_id", "rid"), F.lit(buckets)), "skey": mixing.source_key(F.col("source"))}).orderBy("skey", "bucket", "doc_id", "size", "rid")
+    at = Counter()
+    for r in order.collect():
+        want = 0
+        for w in range(at[r["skey"]], at[r["skey"]] + r["size"]):
+            want += sum(w % mixing.BLOCK < takes[r["skey"], w // mixing.BLOCK, e] for e in range(epochs))
+        at[r["skey"]] += r["size"]
+        assert got[r["doc_id"]] == want
+
+
+def test_shard_counts(spark):
+    """Every slot is drawn once; a source's counts look like throws into shards; numbers run on from shard to shard."""
+    plan = spark.createDataFrame([("sa", 40_000), ("sb", 3), ("n", 200_000)], "skey string, k long")
+    rows = mixing.shard_counts(plan, 50).collect()
+    for skey, k in (("sa", 40_000), ("sb", 3), ("n", 200_000)):
+        mine = sorted((r["shard"], r["count"], r["first"]) for r in rows if r["skey"] == skey)
+        assert sum(c for _, c, _ in mine) == k and [f for *_, f in mine] == np.cumsum([0, *(c for _, c, _ in mine)])[:-1].tolist()
+        if k > 100:
+            assert 20 < sum((c - k / 50) ** 2 / (k / 50) for _, c, _ in mine) < 95  # chi-squared of 49 degrees
+
+
+def test_mixed_documents_are_parts_of_the_texts(spark):
+    texts = texts_of(spark)
+    taken = {r["doc_id"]: r["taken"] for r in mixing.op5_mixing(spark, SMALL).collect()}
+    words, odd = Counter(), 0
+    for r in mixing.mixed_documents(documents(spark)).collect():
+        assert r["text"] in texts[r["doc_id"]] and r["n_chars"] == len(r["text"])
+        words[r["doc_id"]] += len(WORD.findall(r["text"]))
+        odd += "\n" in r["text"] and r["text"] != texts[r["doc_id"]]
+    assert words == Counter({i: n for i, n in taken.items() if n}) and odd > 0
+
+
 def test_permutation_is_one_and_its_inverse(spark):
     n = 1000
     p = spark.range(n).select("id", mixing.permute(F.col("id"), F.lit(n), F.lit("s"), F.lit(1)).alias("p"))
