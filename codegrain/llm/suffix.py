@@ -48,6 +48,8 @@ SIDE = WINDOW - 1
 FLUSH = 300_000
 #: Rows of one key that are compared in memory.
 CROWD = 20_000
+#: Members of one row.
+PIECE = 128
 MEMO = 150_000
 #: Documents sampled for keys with many suffixes: one in SAMPLE; keys with at least a HOT-th of the sample's suffixes, and HOT_LEAST of them.
 SAMPLE, HOT, HOT_LEAST = 32, 2000, 24
@@ -124,10 +126,13 @@ NAMES = ["k", "salt", "before", "after", "members"]
 
 
 def _gathered(kept: np.ndarray, members: np.ndarray) -> tuple[np.ndarray, pa.Array]:
-    """(first of every equal value, the members of each as one binary)."""
+    """(first of every equal value, the members of each as one binary); of more than PIECE members there are several rows, so none grows large."""
     order = np.argsort(kept, kind="stable")
-    fresh = np.flatnonzero(np.append(True, kept[order][1:] != kept[order][:-1])) if len(kept) else np.zeros(0, np.int64)
-    return order[fresh], binary(members[order].astype("<i8"), np.diff(np.append(fresh, len(kept))) * 16)
+    n = len(order)
+    begins = np.flatnonzero(np.append(True, kept[order][1:] != kept[order][:-1])) if n else np.zeros(0, np.int64)
+    within = np.arange(n) - np.repeat(begins, np.diff(np.append(begins, n)))
+    fresh = np.flatnonzero(within % PIECE == 0)
+    return order[fresh], binary(members[order].astype("<i8"), np.diff(np.append(fresh, n)) * 16)
 
 
 def _leaf_rows(hashes: np.ndarray, members: np.ndarray) -> pa.RecordBatch:
