@@ -5,6 +5,7 @@ import re
 import time
 import zlib
 from collections import Counter, defaultdict
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -538,6 +539,61 @@ def test_packing(spark):
             assert all(abs(c[s] - packing.WINDOW * whole[s] / total) <= 2 * packing.QUANTUM for s in whole)
 
 
+def slow_stream(totals, rates, quantum):
+    """The merged stream by rounds: always the chunk of least virtual time, ties to the first queue."""
+    sent, out = [0] * len(totals), []
+    while any(s < t for s, t in zip(sent, totals, strict=True)):
+        q = min((p for p in range(len(totals)) if sent[p] < totals[p]), key=lambda p: (Fraction(sent[p], rates[p]), p))
+        n = min(quantum, totals[q] - sent[q])
+        out += [(q, i) for i in range(sent[q], sent[q] + n)]
+        sent[q] += n
+    return out
+
+
+@pytest.mark.parametrize("fan", [256, 3])
+def test_packed_stream_is_deficit_round_robin(monkeypatch, fan):
+    """Places of all tokens against a simulation, with one level of queues and with groups of three."""
+    monkeypatch.setattr(packing, "FAN", fan)
+    rng = np.random.default_rng(13)
+    for _ in range(10):
+        n = int(rng.integers(1, 12))
+        totals, rates = rng.integers(1, 400, n).tolist(), rng.integers(1, 9, n).tolist()
+        levels = packing.merges(totals, rates)
+        streams = [(t, r) for t, r in zip(totals, rates, strict=True)]
+        want = [[(q, i) for i in range(t)] for q, t in enumerate(totals)]
+        while len(want) > 1 or not streams:
+            groups = [range(i, min(i + fan, len(want))) for i in range(0, len(want), fan)]
+            want = [[want[g[q]][i] for q, i in slow_stream([len(want[p]) for p in g], [streams[p][1] for p in g], 16)] for g in groups]
+            streams = [(0, sum(streams[p][1] for p in g)) for g in groups]
+        got = {}
+        for q, t in enumerate(totals):
+            for start in range(0, t, 37):
+                m = min(37, t - start)
+                first, place = packing.cuts(start, m, [q // fan**i for i in range(len(levels))], levels, 64, 16)
+                for f, e, p in zip(first, [*first[1:], m], place, strict=True):
+                    assert p // 64 == (p + e - f - 1) // 64
+                    got |= {int(p + i): (q, start + int(f) + i) for i in range(e - f)}
+        assert [got[i] for i in range(sum(totals))] == want[0]
+
+
+def test_packing_to_given_targets(spark):
+    docs = documents(spark).filter("source in ('src0', 'src1', 'src2')")
+    source = {r["doc_id"]: r["source"] for r in docs.collect()}
+    targets = {"src0": 1.0, "src1": 1.0, "src2": 2.0}
+    share = defaultdict(Counter)
+    for r in packing.pack(docs, targets).collect():
+        share[r["sequence_id"]][source[r["doc_id"]]] += r["length"]
+    whole = Counter()
+    for c in share.values():
+        whole.update(c)
+    full = int(min(whole[s] / (targets[s] / 4) for s in targets) / packing.WINDOW) - 1
+    assert full >= 2
+    for w in range(full):
+        assert all(abs(share[w][s] - packing.WINDOW * targets[s] / 4) <= 2 * packing.QUANTUM for s in targets)
+    with pytest.raises(ValueError):
+        packing.pack(docs, {"src0": 1.0})
+
+
 def test_tokenizer_is_the_reference_coder():
     from public_tokenizers import path
     from tokenizers import Tokenizer
