@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import atexit
-import builtins
 import contextlib
 import gc
+import sys
 import tempfile
+import types
 import uuid
 from collections.abc import Iterator
 
@@ -25,10 +26,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is configured."""
+    """The folder that driver and executors share.  Where none is configured, a temporary one serves a local session; a cluster has to name its own."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     found = found or spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="codegrain-")
         spark.sparkContext.setCheckpointDir(found)
     return found
@@ -53,9 +56,10 @@ def scope(name: str) -> Iterator[None]:
         _SCOPE.pop()
 
 
-def drop_cuts(name: str | None = None) -> None:
-    """Delete the tables that cut() wrote, of one scope or all.  Runs at exit; call it earlier once results are written."""
-    gone = [x for x in _WRITTEN if name is None or x[2] == name]
+def drop_cuts(name: str | None = None, unless: DataFrame | None = None) -> None:
+    """Delete the tables that cut() wrote, of one scope or all, but not those that unless still reads.  Runs at exit; call it earlier once results are written."""
+    read = {part for f in (unless.inputFiles() if unless is not None else []) for part in f.split("/")}
+    gone = [x for x in _WRITTEN if (name is None or x[2] == name) and x[1].rsplit("/", 1)[-1] not in read]
     for x in gone:
         spark, path, _ = x
         _WRITTEN.remove(x)
@@ -82,8 +86,11 @@ def fold(doc_id: Column, folds: int) -> Column:
 
 
 def worker_cache(name: str) -> dict:
-    """A dict that outlives tasks within one Python worker; a worker holds that of one name at a time, so memory stays bounded over stages."""
-    held = builtins.__dict__.setdefault("_codegrain_cache", {})
+    """A dict that outlives tasks within one Python worker; a worker holds that of one name at a time, so memory stays bounded over stages.
+
+    Functions come to workers by value, with globals of their own, so the dict hangs on a module that the worker keeps.
+    """
+    held = vars(sys.modules.setdefault("codegrain_worker_cache", types.ModuleType("codegrain_worker_cache"))).setdefault("held", {})
     if name not in held:
         held.clear()
     return held.setdefault(name, {})

@@ -2,6 +2,11 @@
 
 Every round is a pre-aggregated minimum and a join on the same key; lineage is
 cut by a written table, and only a count and a checksum reach the driver.
+
+Defined results: links with a null end are ignored, as are links of a node with
+itself; repeated links count once; extra columns are ignored; no links give no
+rows; a chain of any length settles in a number of rounds that grows with its
+length's logarithm.
 """
 
 from __future__ import annotations
@@ -26,7 +31,7 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(u, v) of an orderable type -> (node, root): root is the least node reachable; only nodes with an edge appear."""
-    now = cut(edges.select("u", "v").filter("u <> v").distinct(), "edges")
+    now = cut(edges.select("u", "v").filter("u <> v").distinct(), "edges")  # a null end is no link
     seen = None
     for _ in range(rounds):
         now = cut(_star(_star(now, True), False), "stars")

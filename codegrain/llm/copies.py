@@ -2,10 +2,10 @@
 
 Fingerprints of five-word shingle sets link through pigeonhole blocks at two
 bits (simhash.links).  Texts whose sets have a Jaccard similarity of 0.8 differ
-in 9 to 14 of 64 bits, where pigeonhole blocks would be four bits wide and join
+in 5 to 14 of 64 bits, where pigeonhole blocks would be four bits wide and join
 everything with everything.  Pairs further apart than two bits therefore share
-a block of ROWS min-hashes in one of BANDS instead (0.998 of pairs at 0.8, more
-above), and every link is verified on the whole shingle sets.
+a block of ROWS min-hashes in one of BANDS instead (0.99997 of pairs at 0.8,
+more above), and every link is verified on the whole shingle sets.
 
 Equal sets collapse to one text before any join.  A block's members are dealt
 into pieces of bounded size; a task compares two pieces by matrix products and
