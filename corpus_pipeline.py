@@ -14,17 +14,17 @@ from pyspark.sql import functions as F
 from codegrain.llm import copies, mixing, nbsvm, packing, secret_scan
 from codegrain.llm.common import cut, drop_cuts, scope, table
 
-SCOPE = "pipeline"
+SCOPE, RESULTS = "pipeline", "pipeline results"
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier accepts."""
+    """Documents that the quality classifier accepts; null and empty texts score by its intercept, repeated rows each for itself, and with no labels all stay."""
     return nbsvm.accepted(docs.select(COLUMNS), table(spark, sf_dir, "labels"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the row with the least doc_id (null last)."""
+    """Of each group of near duplicates the row with the least doc_id (null last, ties to the first read); null and empty texts are one group."""
     rows = cut(docs.select(F.monotonically_increasing_id().alias("rid"), *COLUMNS), "dedup")
     ranked = copies.near_copies(rows).join(rows.select("rid", "doc_id"), "rid")
     stay = ranked.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "rid")).alias("m")).select("m.rid")
@@ -32,25 +32,25 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document, its secrets replaced by their kind."""
+    """Every document, its secrets replaced by their kind; null and empty texts stay as they are, repeated rows stay."""
     return secret_scan.redacted(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Document rows that the mix takes, repeats included."""
+    """Document rows that the mix takes, repeats included; texts without words are never taken, a null source is a source of its own."""
     return mixing.mixed_documents(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the packed sequences."""
+    """Pieces of the packed sequences; a null text is packed as an empty one, repeated rows each for itself."""
     return packing.pack(docs)
 
 
 def _stage(name: str, f: Callable) -> tuple[str, Callable]:
-    """A stage begins when the result of the one before is written, so what that one wrote for itself can go."""
+    """What earlier stages wrote for themselves goes, unless docs still reads it; extra columns of docs are ignored, and an empty table gives an empty result."""
 
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        drop_cuts(SCOPE)
+        drop_cuts(SCOPE, docs)
         with scope(SCOPE):
             return f(spark, docs, sf_dir)
 
@@ -62,10 +62,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The packed corpus.  Each stage's result is written, and goes once the next one is."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = cut(stage(spark, docs, sf_dir), name)
-    return STAGES[-1][1](spark, docs, sf_dir)
+        done = stage(spark, docs, sf_dir)
+        with scope(RESULTS):
+            docs = cut(done, name)
+        drop_cuts(RESULTS, docs)
+    pieces = STAGES[-1][1](spark, docs, sf_dir)
+    drop_cuts(RESULTS, pieces)
+    return pieces
 
 
 def queries() -> dict:
