@@ -51,8 +51,8 @@ CROWD = 20_000
 #: Members of one row.
 PIECE = 128
 MEMO = 150_000
-#: Documents sampled for keys with many suffixes: one in SAMPLE; keys with at least a HOT-th of the sample's suffixes, and HOT_LEAST of them.
-SAMPLE, HOT, HOT_LEAST = 32, 2000, 24
+#: One document in SAMPLE is looked at for keys of more than CROWD suffixes; the HOT largest of them are compared by windows from the start.
+SAMPLE, HOT = 32, 2000
 NO_ID = -(1 << 63)
 _C = np.uint64(0x9E3779B97F4A7C15)
 _LEFT, _RIGHT = np.random.default_rng(17).integers(1, 1 << 63, (2, SIDE), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -359,18 +359,16 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(counts)], ["k", "n"])
 
 
-def hot_keys(docs: DataFrame, sample: int = SAMPLE) -> list[int]:
-    """At most HOT keys that hold a HOT-th or more of the suffixes of a sample of the documents."""
+def hot_keys(docs: DataFrame, sample: int = SAMPLE, crowd: int = CROWD) -> list[int]:
+    """The keys, at most HOT, that by a sample of the documents have more than crowd suffixes."""
     some = docs.filter(F.pmod(F.xxhash64("doc_id", "text"), F.lit(sample)) == 0)
     counts = some.select(text_bytes()).mapInArrow(_keys, "k long, n long").groupBy("k").agg(F.sum("n").alias("n"))
-    total = counts.agg(F.sum("n").alias("total"))
-    often = counts.filter(F.col("n") >= HOT_LEAST).crossJoin(total)  # one row
-    return [r["k"] for r in often.filter(F.col("n") * HOT >= F.col("total")).select("k").collect()]
+    return [r["k"] for r in counts.filter(F.col("n") * sample > crowd).orderBy(F.desc("n"), "k").limit(HOT).select("k").collect()]
 
 
 def repeated_passages(docs: DataFrame, sample: int = SAMPLE, crowd: int = CROWD) -> DataFrame:
     """(doc_id, start_word, end_word, n_words, partner_id): regions of a document's words, all in runs of MIN_WORDS or more that another document holds too; end exclusive."""
-    rows = docs.select(F.col("doc_id").cast("long"), text_bytes()).mapInArrow(_suffix_rows(hot_keys(docs.select("doc_id", "text"), sample)), ROWS)
+    rows = docs.select(F.col("doc_id").cast("long"), text_bytes()).mapInArrow(_suffix_rows(hot_keys(docs.select("doc_id", "text"), sample, crowd)), ROWS)
     sorted_rows = rows.repartition("k", "salt").sortWithinPartitions("k", "after")
     found = cut(sorted_rows.mapInArrow(_match(crowd), FOUND), "passages")
     windows = found.filter("k is not null").select("k", F.col("start_word").alias("low"), F.col("end_word").alias("high"), "members")

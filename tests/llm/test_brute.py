@@ -493,8 +493,8 @@ def test_no_passage_is_hidden_by_longer_neighbours(spark, monkeypatch, hot, crow
 
 def test_hot_keys_are_found_in_a_sample(spark):
     line = " ".join(f"common{i}" for i in range(60))
-    docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.concat(F.lit(line + " "), F.col("id").cast("string")).alias("text"))
-    assert len(suffix.hot_keys(docs)) > 0
+    docs = spark.range(30_000).select(F.col("id").alias("doc_id"), F.concat(F.lit(line + " "), F.col("id").cast("string")).alias("text"))
+    assert len(suffix.hot_keys(docs)) > 0 and not suffix.hot_keys(docs.limit(10_000))
 
 
 # --- 9
