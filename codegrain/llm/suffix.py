@@ -13,11 +13,11 @@ interval of both, MIN_WORDS words together, hold the same window.  No window is
 left out, so the regions are exact (words are compared by 32-bit hashes).
 
 Suffixes of one batch with equal key and context travel as one row with many
-members, so groups of copies shrink before the shuffle.  Keys that hold a large
-share of all suffixes are found in a sample of documents, and keys with more
-than CROWD rows when they are met; both are compared window by window instead:
-each window's hash is a key of its own, counted before any shuffle, so no key
-meets in one task.  The sample changes the way, never the result.
+members, so groups of copies shrink before the shuffle.  Keys with more than
+CROWD rows, found in a sample of documents or else when they are met, are
+compared window by window instead: each window's hash is a key of its own,
+counted before any shuffle, so no large key meets in one task.  The sample
+changes the way, never the result.
 
 Defined results: null and empty texts and those under MIN_WORDS words have no
 row; repeats inside one doc_id alone do not count, so repeated rows of one id
