@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -30,8 +32,8 @@ def route(path: Column) -> Column:
 
 
 def wildcard(name: Column, pattern: str) -> Column:
-    """foo.* style patterns: a dot is literal, a star is one character or more."""
-    return name.rlike("^" + pattern.replace(".", r"\.").replace("*", ".+") + "$")
+    """foo.* style patterns: a star is one character or more, all else is literal."""
+    return name.rlike("(?s)^" + ".+".join(re.sub(r"([^\w\s])", r"\\\1", part) for part in pattern.split("*")) + r"\z")
 
 
 def relationship_key(source: Column, target: Column) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from codegrain.operators.traversal import reachable
+
 ATTRIBUTES = ("name", "kind", "file_path", "visibility", "documentation", "type_signature")
 
 
@@ -39,3 +41,61 @@ def entity_views(datoms: DataFrame) -> DataFrame:
     """Entity -> attribute -> sorted values."""
     per = datoms.groupBy("e", "a").agg(F.sort_array(F.collect_list("v")).alias("vs"))
     return per.groupBy("e").agg(F.map_from_entries(F.collect_list(F.struct("a", "vs"))).alias("view"))
+
+
+def ref_datoms(refs: DataFrame) -> DataFrame:
+    """(e, a, v): one row per external reference, v its module and symbol."""
+    return refs.select(F.col("source_entity_id").alias("e"), F.lit(":external-ref/import").alias("a"), F.concat_ws("#", "module_specifier", "imported_symbol").alias("v"))
+
+
+def load_counts(**families: DataFrame) -> DataFrame:
+    """(family, datoms, entities) of every family given."""
+    parts = [df.agg(F.count("*").alias("datoms"), F.countDistinct("e").alias("entities")).select(F.lit(n).alias("family"), "datoms", "entities") for n, df in families.items()]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def stats(datoms: DataFrame) -> DataFrame:
+    """One row: all datoms, repeated ones too, entities and attributes."""
+    return datoms.agg(F.count("*").alias("datoms"), F.countDistinct("e").alias("entities"), F.countDistinct("a").alias("attributes"))
+
+
+def asserted(datoms: DataFrame, more: DataFrame) -> DataFrame:
+    """Attributes have many values: new rows are added, nothing is replaced."""
+    return datoms.unionByName(more.select(datoms.columns))
+
+
+def callees(datoms: DataFrame, e: str, nodes: DataFrame) -> DataFrame:
+    """Known targets of an entity's calls, one row for each call."""
+    hit = datoms.filter((F.col("a") == ":edge/CALLS") & (F.col("e") == e)).select(F.col("v").alias("entity_id"))
+    return hit.join(nodes.select("entity_id", "name", "kind"), "entity_id")
+
+
+def callers(datoms: DataFrame, e: str, nodes: DataFrame) -> DataFrame:
+    """Known sources of calls to an entity, each once."""
+    hit = datoms.filter((F.col("a") == ":edge/CALLS") & (F.col("v") == e)).select(F.col("e").alias("entity_id")).distinct()
+    return hit.join(nodes.select("entity_id", "name", "kind"), "entity_id")
+
+
+def find_entities(nodes: DataFrame, kind: str | None = None, name: str | None = None) -> DataFrame:
+    """Template: entities by kind and by a part of their name."""
+    hit = nodes if kind is None else nodes.filter(F.col("kind") == kind)
+    hit = hit if name is None else hit.filter(F.col("name").contains(name))
+    return hit.select("entity_id", "name", "kind")
+
+
+def trace(edges: DataFrame, start: DataFrame, depth: int = 3, callers: bool = False) -> DataFrame:
+    """Templates: what start calls, or what calls it, each entity once at its least depth."""
+    return reachable(edges, start, depth, ["CALLS"], reverse=callers)
+
+
+def blast_radius(edges: DataFrame, start: DataFrame, depth: int = 5) -> DataFrame:
+    """Template: all that depends on start over any edge, and how much of it lies at each depth."""
+    return reachable(edges, start, depth, reverse=True).groupBy("depth").agg(F.count("*").alias("entities"))
+
+
+def external_deps(refs: DataFrame) -> DataFrame:
+    """Template: modules outside the graph, with the entities and symbols that need them."""
+    return refs.filter(~F.col("is_resolved")).groupBy("module_specifier").agg(F.countDistinct("source_entity_id").alias("entities"), F.countDistinct("imported_symbol").alias("symbols"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from codegrain.operators.symbols import repo_of
 
 
-def effects_where(effects: DataFrame, types: list[str] | None = None, source: str | None = None, file: str | None = None, external: bool | None = None, callee: str | None = None, asynchronous: bool | None = None) -> DataFrame:
+def effects_where(effects: DataFrame, types: list[str] | None = None, source: str | None = None, file: str | None = None, external: bool | None = None, callee: str | None = None, asynchronous: bool | None = None, target: str | None = None) -> DataFrame:
     for wanted, condition in (
         (types, lambda: F.col("effect_type").isin(types)),
         (source, lambda: F.col("source_entity_id") == source),
@@ -16,6 +16,7 @@ def effects_where(effects: DataFrame, types: list[str] | None = None, source: st
         (external, lambda: F.col("is_external") == external),
         (callee, lambda: F.col("callee_name").contains(callee)),
         (asynchronous, lambda: F.col("is_async") == asynchronous),
+        (target, lambda: F.coalesce("target_resource", "target") == target),
     ):
         if wanted is not None:
             effects = effects.filter(condition())
@@ -37,6 +38,24 @@ def summary(effects: DataFrame, by: str = "effect_type") -> DataFrame:
     return effects.groupBy(by).agg(F.count("*").alias("count"))
 
 
+def summary_with_total(effects: DataFrame, by: str = "effect_type") -> DataFrame:
+    """summary(), each row with the grand total, which is taken over the few groups."""
+    whole = Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    return summary(effects, by).withColumn("total", F.sum("count").over(whole))
+
+
+def package_patterns(effects: DataFrame) -> DataFrame:
+    """Per callee: uses, the packages that use it, and whether these are several."""
+    n = effects.filter("callee_name is not null").groupBy("callee_name", F.split_part("source_entity_id", F.lit(":"), F.lit(2)).alias("package")).agg(F.count("*").alias("n"))
+    return n.groupBy("callee_name").agg(F.sum("n").alias("count"), F.array_join(F.sort_array(F.collect_list("package")), ",").alias("packages"), (F.count("*") > 1).alias("is_cross_package"))
+
+
+def static_and_runtime(static: DataFrame, runtime: DataFrame, keys: list[str]) -> DataFrame:
+    """Every static effect key with the number of runtime effects that have it, zero too."""
+    n = runtime.groupBy(*keys).agg(F.count("*").alias("runtime"))
+    return static.groupBy(*keys).agg(F.count("*").alias("static")).join(n, keys, "left").select(*keys, "static", F.coalesce("runtime", F.lit(0)).alias("runtime"))
+
+
 def callee_patterns(effects: DataFrame, least: int = 1) -> DataFrame:
     keys = ["callee_name", "is_method_call", "is_async", "is_external", "external_module"]
     return effects.filter(F.col("effect_type") == "FunctionCall").groupBy(*keys).agg(F.count("*").alias("count")).filter(F.col("count") >= least)

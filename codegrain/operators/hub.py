@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SEVERITIES = ("critical", "error", "warning", "suggestion", "note")
@@ -25,6 +25,86 @@ def diagnostics_where(rows: DataFrame, resolved: bool | None = None, file: str |
     return rows.filter(F.col("file_path").contains(file)) if file else rows
 
 
+def among_sources(rows: DataFrame, sources: tuple[str, ...]) -> DataFrame:
+    """Rows of the given sources, for summaries and counts over some of them."""
+    return rows.filter(F.col("source").isin(*sources))
+
+
+def validation_where(rows: DataFrame, repo: str | None = None, severity: str | None = None, source: str | None = None, file: str | None = None, limit: int = 1000) -> DataFrame:
+    """Rows in order of repo, file, line and column, at most limit of them; file: a part of the path."""
+    for column, wanted in (("repo_id", repo), ("severity", severity), ("source", source)):
+        if wanted is not None:
+            rows = rows.filter(F.col(column) == wanted)
+    if file is not None:
+        rows = rows.filter(F.col("file_path").contains(file))
+    return rows.orderBy("repo_id", "file_path", "line_number", "column_number", "diagnostic_id").limit(limit)
+
+
+def validation_counts(rows: DataFrame) -> DataFrame:
+    """One row: errors, warnings and all; zeros for an empty table."""
+    return rows.agg(F.count_if(F.col("severity").isin("critical", "error")).alias("errors"), F.count_if(F.col("severity") == "warning").alias("warnings"), F.count("*").alias("total"))
+
+
+def cleared(rows: DataFrame, **of: str | list[str]) -> DataFrame:
+    """Rows that stay when those are deleted whose columns all have one of the given values; null is none of them."""
+    gone = F.lit(bool(of))
+    for column, values in of.items():
+        gone = gone & F.coalesce(F.col(column).isin(*([values] if isinstance(values, str) else values)), F.lit(False))
+    return rows.filter(~gone)
+
+
+def alive(cache: DataFrame, now: Column) -> DataFrame:
+    """Cached results whose time to live, in seconds and positive, is not over."""
+    age = F.unix_timestamp(now) - F.unix_timestamp("created_at")
+    return cache.filter((F.col("ttl_seconds") > 0) & (age < F.col("ttl_seconds")))
+
+
+def edges_into(edges: DataFrame, repo: str, part: str | None = None) -> DataFrame:
+    """Cross-repo edges into a repo, or into its entities whose id contains part."""
+    hit = edges.filter(F.col("target_repo") == repo)
+    return hit.filter(F.col("target_entity_id").contains(part)) if part is not None else hit
+
+
+def repos_into(edges: DataFrame, repo: str) -> DataFrame:
+    """Per repo with edges into a repo: edges and distinct entities on both ends."""
+    n = edges_into(edges, repo).filter(F.col("source_repo") != repo).groupBy("source_repo")
+    return n.agg(F.count("*").alias("edges"), F.countDistinct("source_entity_id").alias("sources"), F.countDistinct("target_entity_id").alias("targets"))
+
+
+#: Severity of an accessibility impact.
+IMPACTS = {"critical": "critical", "serious": "error", "moderate": "warning", "minor": "suggestion"}
+
+
+def from_issues(issues: DataFrame, source: str) -> DataFrame:
+    """Validation issues (repo_id, file_path, line_number, column_number, severity, code, message) as diagnostics, named by where they are."""
+    category = F.lit({"tsc": "compilation", "eslint": "linting", "test": "testing", "coverage": "coverage", "wcag": "accessibility"}.get(source, "other"))
+    place = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("file_path", "line_number", "column_number", "code")]
+    return issues.select(F.concat_ws(":", F.lit(source), "repo_id", *place).alias("diagnostic_id"), "repo_id", F.lit(source).alias("source"), "file_path", "line_number", "column_number", "severity", category.alias("category"), F.substring("message", 1, 100).alias("title"), F.col("message").alias("description"), "code", F.lit(False).alias("resolved"), F.lit(True).alias("actionable"))
+
+
+def from_checks(checks: DataFrame) -> DataFrame:
+    """CI checks (repo_id, check_id, name, conclusion, url) as diagnostics: failures are errors, cancelled and timed out ones warnings, the rest notes already resolved."""
+    bad, odd = F.col("conclusion").isin("failure", "startup_failure"), F.col("conclusion").isin("cancelled", "timed_out", "action_required")
+    severity = F.when(bad, "error").when(odd, "warning").otherwise("note")
+    return checks.select(F.concat_ws(":", F.lit("ci"), "repo_id", "check_id").alias("diagnostic_id"), "repo_id", F.lit("ci-check").alias("source"), severity.alias("severity"), F.lit("ci-check").alias("category"), F.concat_ws(": ", "name", "conclusion").alias("title"), F.col("url").alias("ci_url"), (severity == "note").alias("resolved"), (severity != "note").alias("actionable"))
+
+
+def from_violations(found: DataFrame) -> DataFrame:
+    """Accessibility violations (repo_id, rule_id, impact, page, target) as diagnostics; an unknown impact is a warning."""
+    severity = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in IMPACTS.items() for x in kv]), F.col("impact")), F.lit("warning"))
+    return found.select(F.concat_ws(":", F.lit("axe"), "repo_id", "rule_id", F.substring(F.sha2(F.concat_ws("|", "page", "target"), 256), 1, 8)).alias("diagnostic_id"), "repo_id", F.lit("axe").alias("source"), severity.alias("severity"), F.lit("accessibility").alias("category"), F.col("rule_id").alias("title"), F.lit(False).alias("resolved"), F.lit(True).alias("actionable"))
+
+
+def top_issues(found: DataFrame, most: int = 10) -> DataFrame:
+    """The rules with the most findings."""
+    return found.groupBy("rule_id").agg(F.count("*").alias("count")).orderBy(F.desc("count"), "rule_id").limit(most)
+
+
+def merged_dependencies(rows: DataFrame) -> DataFrame:
+    """(package, version, order, ...) -> one row per package, the last one's."""
+    return rows.groupBy("package").agg(F.max_by("version", "order").alias("version"), F.count("*").alias("mentions"))
+
+
 def diagnostics_ordered(rows: DataFrame, limit: int = 100) -> DataFrame:
     return rows.orderBy(severity_rank(), F.desc("updated_at"), "diagnostic_id").limit(limit)
 
@@ -48,11 +128,24 @@ def mark_resolved(rows: DataFrame, ids: DataFrame) -> DataFrame:
     return rows.join(hit, "diagnostic_id", "left").withColumn("resolved", F.col("resolved") | F.coalesce("hit", F.lit(False))).drop("hit")
 
 
-def cross_repo_needs(refs: DataFrame) -> DataFrame:
-    """Unresolved imports by the module they ask for: relative, scoped or bare."""
-    spec = F.col("module_specifier")
-    kind = F.when(spec.startswith("."), "relative").when(spec.startswith("@"), "scoped").otherwise("bare")
-    return refs.filter(~F.col("is_resolved")).groupBy(spec, kind.alias("module_kind")).agg(F.count("*").alias("refs"), F.countDistinct("imported_symbol").alias("symbols"))
+def sibling(module: Column, repos: list[str], current: str | None = None, builtins: tuple[str, ...] = ()) -> Column:
+    """The first repo, in the given order, that a module specifier means: by name, as a scope's package, or by a prefix or suffix with a dash."""
+    parts = F.split(module, "/")
+    package = F.when(module.startswith("@"), F.concat_ws("/", F.get(parts, F.lit(0)), F.get(parts, F.lit(1)))).otherwise(F.get(parts, F.lit(0)))
+    chain = F.lit(None).cast("string")
+    for r in reversed([r for r in repos if r != current]):
+        hit = (package == r) | package.endswith(f"/{r}") | package.startswith(f"{r}-") | package.endswith(f"-{r}")
+        chain = F.when(hit, F.lit(r)).otherwise(chain)
+    outside = module.startswith(".") | module.startswith("/") | module.startswith("node:")
+    if builtins:
+        outside = outside | package.isin(*builtins)
+    return F.when(~outside, chain)
+
+
+def cross_repo_needs(refs: DataFrame, repos: list[str], current: str | None = None, builtins: tuple[str, ...] = ()) -> DataFrame:
+    """(source_file_path, target_repo, refs, symbols, module_specifier): per file and sibling repo, unresolved references to it, their distinct symbols and the first module asked for."""
+    found = refs.filter(~F.col("is_resolved")).withColumn("target_repo", sibling(F.col("module_specifier"), repos, current, builtins)).filter("target_repo is not null")
+    return found.groupBy("source_file_path", "target_repo").agg(F.count("*").alias("refs"), F.countDistinct("imported_symbol").alias("symbols"), F.min("module_specifier").alias("module_specifier"))
 
 
 def resolution_stats(refs: DataFrame) -> DataFrame:
@@ -64,3 +157,29 @@ def evaluation(scores: DataFrame, dimensions: list[str]) -> DataFrame:
     long = scores.unpivot(["mode"], dimensions, "dimension", "score")
     n = long.groupBy("dimension").agg(*[F.avg(F.when(F.col("mode") == m, F.col("score"))).alias(m) for m in ("baseline", "enhanced")])
     return n.select("dimension", *[F.round(F.coalesce(m, F.lit(0.0)), 6).alias(m) for m in ("baseline", "enhanced")], F.round(F.coalesce("enhanced", F.lit(0.0)) - F.coalesce("baseline", F.lit(0.0)), 6).alias("delta"))
+
+
+def preferences(pairs: DataFrame) -> DataFrame:
+    """(question_id, winner) -> one row: wins of baseline and enhanced, and ties."""
+    return pairs.agg(*[F.count_if(F.col("winner") == w).alias(n) for w, n in (("baseline", "baseline_wins"), ("enhanced", "enhanced_wins"), ("tie", "ties"))])
+
+
+def extremes(deltas: DataFrame) -> DataFrame:
+    """(dimension, delta) -> one row: the best and the worst dimension, ties to the first name."""
+    best, worst = F.min(F.struct((-F.col("delta")).alias("delta"), "dimension")), F.min(F.struct("delta", "dimension"))
+    return deltas.agg(best["dimension"].alias("best"), (-best["delta"]).alias("best_delta"), worst["dimension"].alias("worst"), worst["delta"].alias("worst_delta"))
+
+
+def question_deltas(scores: DataFrame, dimensions: list[str]) -> DataFrame:
+    """(question_id, mode, dimensions) -> (question_id, delta): enhanced minus baseline over all dimensions, 0 where a mode is missing."""
+    total = sum((F.col(d) for d in dimensions[1:]), F.col(dimensions[0]))
+    per = scores.groupBy("question_id").agg(*[F.max_by(F.when(F.col("mode") == m, total), F.when(F.col("mode") == m, F.lit(1))).alias(m) for m in ("baseline", "enhanced")])
+    return per.select("question_id", F.coalesce(F.col("enhanced") - F.col("baseline"), F.lit(0)).alias("delta"))
+
+
+def regressions(deltas: DataFrame) -> DataFrame:
+    return deltas.filter("delta < 0")
+
+
+def top_improvements(deltas: DataFrame, most: int = 5) -> DataFrame:
+    return deltas.orderBy(F.desc("delta"), "question_id").limit(most)

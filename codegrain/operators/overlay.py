@@ -30,10 +30,16 @@ def tombstones(base: DataFrame, files: DataFrame, file_column: str = "source_fil
 
 
 def upsert(old: DataFrame, new: DataFrame, keys: list[str], newest: Column) -> DataFrame:
-    """One row per key, the newest; on a tie the incoming one."""
-    both = old.withColumn("_new", F.lit(0)).unionByName(new.withColumn("_new", F.lit(1)))
+    """One row per key, the newest; on a tie the incoming one.
+
+    Old rows of keys that no incoming row has pass by without a sort, as old holds a key once.
+    """
+    asked = new.select(keys).distinct()
+    same = lambda df, of: [df[k].eqNullSafe(of[k]) for k in keys]
+    kept = old.join(asked, same(old, asked), "left_anti")
+    both = old.join(asked, same(old, asked), "left_semi").withColumn("_new", F.lit(0)).unionByName(new.withColumn("_new", F.lit(1)))
     last = Window.partitionBy(*keys).orderBy(newest.desc_nulls_last(), F.desc("_new"))
-    return both.withColumn("_rn", F.row_number().over(last)).filter("_rn = 1").drop("_rn", "_new")
+    return kept.unionByName(both.withColumn("_rn", F.row_number().over(last)).filter("_rn = 1").drop("_rn", "_new"))
 
 
 def resolve(rows: DataFrame, found: DataFrame, keys: list[str]) -> DataFrame:
@@ -54,3 +60,41 @@ def by_precedence(rows: DataFrame, keys: list[str], rank: Column) -> DataFrame:
     """The row of least rank for every key: package over repo over workspace."""
     first = Window.partitionBy(*keys).orderBy(rank)
     return rows.withColumn("_rn", F.row_number().over(first)).filter("_rn = 1").drop("_rn")
+
+
+def deleted(base: DataFrame, files: DataFrame, file_column: str = "source_file_path") -> DataFrame:
+    """Rows of the base that stay when files go."""
+    return base.join(files.select(file_column).distinct(), file_column, "left_anti")
+
+
+def lookup(base: DataFrame, branch: DataFrame, keys: list[str], column: str, values: list[str]) -> DataFrame:
+    """Overlaid rows whose column has one of the values: by ids, source, target or kind.
+
+    A branch row hides its base row whatever the branch row's column says, so only the base side is filtered before they meet.
+    """
+    return overlay(base.filter(F.col(column).isin(values)), branch, keys).filter(F.col(column).isin(values))
+
+
+def lookup_file(base: DataFrame, branch: DataFrame, file: str, file_column: str = "file_path") -> DataFrame:
+    """Live rows of one file: the branch's, if the branch has any row of it, else the base's."""
+    mine, theirs = (df.filter(F.col(file_column) == file) for df in (branch, base))
+    kept = theirs.join(mine.select(file_column).distinct(), file_column, "left_anti")
+    return mine.filter(~F.col("is_deleted")).unionByName(kept.filter(~F.col("is_deleted")), allowMissingColumns=True)
+
+
+def unresolved_refs(refs: DataFrame) -> DataFrame:
+    return refs.filter(~F.col("is_resolved"))
+
+
+def unresolved_edges(edges: DataFrame, edge_type: str) -> DataFrame:
+    """(source_entity_id, target_entity_id, name, source_file_path, source_line) of edges to unresolved:name; a name in the properties counts before it."""
+    hit = edges.filter((F.col("edge_type") == edge_type) & F.col("target_entity_id").startswith("unresolved:"))
+    given = F.get_json_object("properties", "$.callee") if edge_type == "CALLS" else F.get_json_object("properties", "$.name")
+    return hit.select("source_entity_id", "target_entity_id", F.coalesce(given, F.regexp_replace("target_entity_id", "^unresolved:", "")).alias("name"), "source_file_path", "source_line")
+
+
+def resolve_edges(edges: DataFrame, found: DataFrame, edge_type: str) -> DataFrame:
+    """Edges of one type with targets replaced where found (source_entity_id, target_entity_id, resolved_id) has one; all others stay."""
+    keys = ["source_entity_id", "target_entity_id"]
+    best = found.groupBy(*keys).agg(F.min("resolved_id").alias("_to")).withColumn("edge_type", F.lit(edge_type))
+    return edges.join(best, [*keys, "edge_type"], "left").withColumn("target_entity_id", F.coalesce("_to", "target_entity_id")).drop("_to")

@@ -50,6 +50,25 @@ def match_routes(sends: DataFrame, requests: DataFrame) -> DataFrame:
     return asked.join(served, ["method", "path"]).select("send_id", "request_id")
 
 
+def match_services(sends: DataFrame, requests: DataFrame) -> DataFrame:
+    """(send_id, repo_id, target, service_name) x (request_id, repo_id, route_pattern) -> (send_id, target_repo, request_id).
+
+    A send's service is looked for in the other repos whose name contains it or
+    is contained in it, in order of name; the first of their requests whose
+    route the target contains or equals is met, else the first such repo alone.
+    Repos and services are few: they meet by name before any send or request does.
+    """
+    services = sends.select("repo_id", F.lower("service_name").alias("service")).filter("service is not null").distinct()
+    repos = requests.select(F.col("repo_id").alias("target_repo")).distinct()
+    low = F.lower("target_repo")
+    known = services.join(repos, (F.col("repo_id") != F.col("target_repo")) & (low.contains(F.col("service")) | F.col("service").contains(low)))
+    asked = sends.withColumn("service", F.lower("service_name")).join(known, ["repo_id", "service"]).select("send_id", "target", "target_repo")
+    first = asked.groupBy("send_id").agg(F.min("target_repo").alias("target_repo"), F.first("target").alias("target"))
+    served = requests.groupBy(F.col("repo_id").alias("target_repo"), "route_pattern").agg(F.min("request_id").alias("request_id"))
+    met = first.join(served, "target_repo").filter(F.col("target").contains(F.col("route_pattern")) | (route(F.col("target")) == route(F.col("route_pattern"))))
+    return first.select("send_id", "target_repo").join(met.groupBy("send_id").agg(F.min("request_id").alias("request_id")), "send_id", "left")
+
+
 def affected_files(refs: DataFrame, changed: DataFrame) -> DataFrame:
     """Files that import a changed symbol (entity_id), each once, with how many of them it uses."""
     hit = refs.filter("is_resolved").join(changed.select(F.col("entity_id").alias("target_entity_id")).distinct(), "target_entity_id", "left_semi")

@@ -8,6 +8,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from codegrain.functions.ids import wildcard
 from codegrain.operators.rule_tables import DOMAIN_RULES, GROUPING_RULES, SIGNIFICANCE_RULES
 
 
@@ -152,8 +153,51 @@ def shown(significant: DataFrame, least: str = "minor", include_hidden: bool = F
     return significant.filter(F.col("significance").isin(wanted))
 
 
-def mapped(effects: DataFrame, stores: str = r"(?i)(put|create|insert|write|save)", retrieves: str = r"(?i)(get|find|query|read|select)", sends: str = r"(?i)(send|publish|fetch|post)") -> DataFrame:
-    """Function calls become Store, else Retrieve, else Send where their callee says so; other types pass."""
-    name = F.col("callee_name")
-    kind = F.when(F.col("effect_type") != "FunctionCall", F.col("effect_type")).otherwise(first_of([(name.rlike(stores), "Store"), (name.rlike(retrieves), "Retrieve"), (name.rlike(sends), "Send")], "FunctionCall"))
-    return effects.withColumn("mapped_type", kind)
+#: Families of mappings in the order that they are tried, levels from the most specific one.
+FAMILIES, LEVELS = {"store": "Store", "retrieve": "Retrieve", "send": "Send"}, ("package", "repo", "workspace")
+
+
+@dataclass(frozen=True)
+class Mapping:
+    """What calls that match a pattern stand for; a star matches one character or more.  kind: store, retrieve or send type."""
+
+    family: str
+    pattern: str
+    kind: str
+    level: str = "workspace"
+    operation: str | None = None
+    provider: str | None = None
+    target: str | None = None
+    service: str | None = None
+    third_party: bool | None = None
+
+
+def resolved(mappings: tuple[Mapping, ...]) -> list[Mapping]:
+    """Mappings in the order that they are tried: of one family and pattern the most specific level's stays, at the place where the pattern came first from the least specific level on."""
+    placed: dict[tuple[str, str], Mapping] = {}
+    for level in reversed(LEVELS):
+        for m in mappings:
+            if m.level == level:
+                placed[m.family, m.pattern] = m
+    return sorted(placed.values(), key=lambda m: list(FAMILIES).index(m.family))
+
+
+def mapped(effects: DataFrame, mappings: tuple[Mapping, ...]) -> DataFrame:
+    """Adds mapped_type, mapped_kind, operation, provider, resource, service and mapping of the first mapping that a function call's callee matches; other effects and calls keep their type.
+
+    A target defaults to the callee; the send type external counts as http.
+    """
+    order = resolved(mappings)
+    chain = first_rule([((F.col("effect_type") == "FunctionCall") & wildcard(F.col("callee_name"), m.pattern), str(i)) for i, m in enumerate(order)])
+    hit = effects.select("*", chain.alias("_mapping"), F.monotonically_increasing_id().alias("_row")).filter("_row >= 0")
+
+    def of(value: Callable[[Mapping], str | None]) -> Column:
+        known = {str(i): value(m) for i, m in enumerate(order) if value(m) is not None}
+        return _looked_up("_mapping", known) if known else F.lit(None).cast("string")
+
+    resource = F.when(F.col("_mapping").isNotNull(), F.coalesce(of(lambda m: m.target if m.family != "send" else None), F.col("callee_name")))
+    return hit.withColumns({
+        "mapped_type": F.coalesce(of(lambda m: FAMILIES[m.family]), F.col("effect_type")),
+        "mapped_kind": of(lambda m: "http" if m.family == "send" and m.kind == "external" else m.kind),
+        "operation": of(lambda m: m.operation), "provider": of(lambda m: m.provider), "resource": resource, "service": of(lambda m: m.service), "mapping": of(lambda m: m.pattern),
+    }).drop("_mapping", "_row")

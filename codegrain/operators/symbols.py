@@ -158,8 +158,9 @@ def decorator_usage(nodes: DataFrame) -> DataFrame:
 
 
 def duplicate_names(nodes: DataFrame) -> DataFrame:
+    """Names that several packages have."""
     n = nodes.groupBy("name").agg(F.count("*").alias("count"), F.countDistinct(F.split_part("entity_id", F.lit(":"), F.lit(2))).alias("packages"))
-    return n.filter("count > 1")
+    return n.filter("packages > 1")
 
 
 def most_called(edges: DataFrame, limit: int = 20) -> DataFrame:
@@ -172,3 +173,57 @@ def mutual_edges(edges: DataFrame) -> DataFrame:
     e = edges.select("source_entity_id", "target_entity_id").distinct()
     back = e.select(F.col("target_entity_id").alias("source_entity_id"), F.col("source_entity_id").alias("target_entity_id"))
     return e.join(back, ["source_entity_id", "target_entity_id"], "left_semi").filter("source_entity_id < target_entity_id")
+
+
+def paged(rows: DataFrame, order: list[Column | str], limit: int, offset: int = 0) -> DataFrame:
+    """A page of rows with the total before it and has_more: whether the total exceeds the limit, whatever the offset."""
+    total = rows.agg(F.count("*").alias("total"))
+    page = rows.orderBy(*order).offset(offset).limit(limit)
+    return page.crossJoin(total).withColumn("has_more", F.col("total") > limit)  # one row
+
+
+def effect_page(effects: DataFrame, limit: int = 100, offset: int = 0) -> DataFrame:
+    """A page of effects, newest first, with the total and has_more: whether rows follow this page."""
+    total = effects.agg(F.count("*").alias("total"))
+    page = effects.orderBy(F.desc("timestamp"), "effect_id").offset(offset).limit(limit)
+    return page.crossJoin(total).withColumn("has_more", F.col("total") > offset + limit)  # one row
+
+
+def top_counts(rows: DataFrame, column: str, most: int = 5) -> DataFrame:
+    return rows.groupBy(column).agg(F.count("*").alias("count")).orderBy(F.desc("count"), column).limit(most)
+
+
+def theme_tokens(nodes: DataFrame, limit: int = 20) -> DataFrame:
+    """Variables, constants and properties whose name speaks of themes, colors or tokens."""
+    name = F.col("name")
+    hit = nodes.filter((name.contains("theme") | name.contains("color") | name.contains("token")) & F.col("kind").isin("variable", "const", "property"))
+    return hit.select("name", "file_path").orderBy("name", "file_path").limit(limit)
+
+
+def usage_examples(nodes: DataFrame, file: str, ending: str = ".tsx", kind: str = "function", limit: int = 5) -> DataFrame:
+    """Functions of other component files, each file and name once."""
+    hit = nodes.filter((F.col("kind") == kind) & (F.col("file_path") != file) & F.col("file_path").endswith(ending))
+    return hit.select("file_path", "name").distinct().orderBy("file_path", "name").limit(limit)
+
+
+def fix_context(nodes: DataFrame, edges: DataFrame, file: str, limit: int = 50) -> DataFrame:
+    """What the symbols of a file lead to: at most limit distinct targets, known ones with name, kind and file."""
+    own = nodes.filter(F.col("file_path") == file).select(F.col("entity_id").alias("source_entity_id"))
+    targets = edges.join(own, "source_entity_id", "left_semi").select("target_entity_id").distinct().orderBy("target_entity_id").limit(limit)
+    return targets.join(nodes.select(F.col("entity_id").alias("target_entity_id"), "name", "kind", "file_path"), "target_entity_id", "left")
+
+
+def violations_where(effects: DataFrame, limit: int = 100, file: str | None = None, **wanted: str) -> DataFrame:
+    """Accessibility violations among effects, read from their properties: rule_id, impact, wcag_level, detection_source and so on, with defaults for what is absent."""
+    default = {"rule_id": "unknown", "impact": "moderate", "wcag_criterion": "", "wcag_level": "AA", "detection_source": "static", "platform": "web", "message": ""}
+    if unknown := wanted.keys() - default.keys():
+        raise ValueError(f"no such filters: {sorted(unknown)}")
+    rows = effects.filter(F.col("effect_type") == "A11yViolation")
+    if file is not None:
+        rows = rows.filter(F.col("source_file_path").contains(file))
+    read = {n: F.get_json_object("properties", f"$.{n}") for n in default}
+    for n, v in wanted.items():
+        rows = rows.filter(read[n] == v)
+    confidence = F.coalesce(F.get_json_object("properties", "$.confidence").cast("double"), F.lit(1.0))
+    named = [F.coalesce(F.nullif(read[n], F.lit("")), F.lit(d)).alias(n) for n, d in default.items()]
+    return rows.select("effect_id", *named, confidence.alias("confidence"), F.col("source_file_path").alias("file_path"), F.col("source_line").alias("line")).orderBy("effect_id").limit(limit)

@@ -30,10 +30,13 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    from codegrain.plans import further  # noqa: F401  it registers its queries here
+
     return {n: (lambda spark, sf_dir, f=f: f(project(spark, sf_dir), spark, sf_dir)) for n, (f, _, _) in _Q.items()}
 
 
 def oracle_sql() -> dict[str, str]:
+    queries()
     return {n: with_views(sql, *needs) if needs else sql for n, (_, sql, needs) in _Q.items() if sql}
 
 
@@ -54,7 +57,7 @@ query("symbol_file", f"select {_SUMMARY} from (select * from nodes where file_pa
 query("doc_coverage", "select file_path, count(*) as symbols, count(documentation) as documented, cast(round(count(documentation) * 100.0 / count(*), 1) as double) as coverage from nodes group by file_path having count(*) >= 5", "nodes")(lambda g, *_: symbols.doc_coverage(g.nodes, 5))
 query("kind_shares", "select kind, count(*) as count, cast(round(count(*) * 100.0 / sum(count(*)) over (), 2) as double) as percent from nodes group by kind", "nodes")(lambda g, *_: symbols.kind_shares(g.nodes))
 query("decorator_usage", "select decorator, count(*) as uses from (select unnest(decorators) as decorator from nodes) group by decorator", "nodes")(lambda g, *_: symbols.decorator_usage(g.nodes))
-query("duplicate_names", "select name, count(*) as count, count(distinct split_part(entity_id, ':', 2)) as packages from nodes group by name having count(*) > 1", "nodes")(lambda g, *_: symbols.duplicate_names(g.nodes))
+query("duplicate_names", "select name, count(*) as count, count(distinct split_part(entity_id, ':', 2)) as packages from (select entity_id, substr(name, 1, 4) as name from nodes) group by name having count(distinct split_part(entity_id, ':', 2)) > 1", "nodes")(lambda g, *_: symbols.duplicate_names(g.nodes.withColumn("name", F.substring("name", 1, 4))))
 query("unused_exports", "select entity_id, name, kind from nodes n where is_exported and not exists (select 1 from edges e where e.edge_type = 'IMPORTS' and e.target_entity_id = n.entity_id)", "nodes", "edges")(lambda g, *_: symbols.unused_exports(g.nodes, g.edges))
 query("most_called", "select target_entity_id, count(*) as calls from edges where edge_type = 'CALLS' group by 1 order by calls desc, 1 limit 20", "edges")(lambda g, *_: symbols.most_called(g.edges))
 query("orphan_edges", "select count(*) as orphans from (select source_entity_id, target_entity_id from edges union all select 'gone:' || source_entity_id, target_entity_id from clicks) e where not exists (select 1 from nodes n where n.entity_id = e.source_entity_id)", "nodes", "edges", "clicks")(lambda g, *_: symbols.orphan_edges(g.edges.select("source_entity_id", "target_entity_id").unionByName(g.clicks.select(F.concat(F.lit("gone:"), "source_entity_id").alias("source_entity_id"), "target_entity_id")), g.nodes).agg(F.count("*").alias("orphans")))
@@ -116,7 +119,7 @@ def _case(column: str) -> str:
     return "nullif(case " + " ".join(when(r) for r in rules.ordered(rules.BUILTIN)) + " end, '')"
 
 
-_PATHS = ("src/parsers/ts.ts", "src/storage/duckdb-pool.ts", "src/hub/client.ts", "src/commands/run.ts", "src/rules/list.ts", "src/views/page.ts", "src/cache/lru.ts", "src/utils/debug/x.ts", "src/app.test.ts", "src/main.ts")
+_PATHS = ("src/parsers/ts.ts", "src/storage/pool.ts", "src/hub/client.ts", "src/commands/run.ts", "src/rules/list.ts", "src/views/page.ts", "src/cache/lru.ts", "src/utils/debug/x.ts", "src/app.test.ts", "src/main.ts")
 _PATH = "case source_line % 10 " + " ".join(f"when {i} then '{p}'" for i, p in enumerate(_PATHS)) + " end"
 
 
@@ -141,11 +144,7 @@ query("rule_stats", _RULED + "select i.rule_id, count(h.rule_id) as matches from
 query("domain_summary", _RULED + "select domain, array_to_string(list_sort(list(distinct action)), ',') as actions, count(*) as count from h group by 1", "effects")(lambda g, *_: views.domain_summary(rules.run_rules(g.effects)))
 query("containers", _RULED + "select container, count(distinct source_entity_id) as components, count(*) as effects, array_to_string(list_sort(list(distinct domain)), ',') as domains from h group by 1", "effects")(lambda g, *_: views.containers(rules.grouped(_pathed(rules.run_rules(g.effects)))))
 query("external_systems", _RULED + "select domain, provider, count(*) as count from h where is_external and provider is not null group by 1, 2", "effects")(lambda g, *_: views.external_systems(rules.run_rules(g.effects)))
-query("relationships", _RULED + "select container, domain, count(*) as count, array_to_string(list_sort(list(distinct action))[1:3], '/') as label from h group by 1, 2", "effects")(lambda g, *_: views.relationships(rules.grouped(_pathed(rules.run_rules(g.effects)))))
-query("boundaries", _RULED + "select domain, count(distinct source_file_path) as files, count(distinct source_entity_id) as components, round(least(1.0, count(distinct source_entity_id)::double / greatest(1, 2 * count(distinct source_file_path))), 6) as cohesion from h group by 1", "effects")(lambda g, *_: views.boundaries(rules.run_rules(g.effects)))
-query("flow_steps", _RULED + "select * from (select domain, coalesce(provider, 'internal') as provider, effect_id, row_number() over (partition by domain, coalesce(provider, 'internal') order by length(effect_id), effect_id) as step from h) where step <= 8", "effects")(lambda g, *_: views.flow_steps(rules.run_rules(g.effects)).select("domain", "provider", "effect_id", "step"))
 query("significance", _RULED + f", k as (select target_entity_id, count(*) as dependents from clicks group by 1) select {_LEVEL} as significance, count(*) as count from h left join k on k.target_entity_id = h.source_entity_id left join nodes n on n.entity_id = h.source_entity_id group by 1", "effects", "clicks", "nodes")(lambda g, *_: rules.significance(_pathed(rules.run_rules(g.effects)), g.clicks.groupBy(F.col("target_entity_id").alias("source_entity_id")).agg(F.count("*").alias("dependents")), g.nodes).groupBy("significance").agg(F.count("*").alias("count")))
-query("mapped_effects", "select case when effect_type <> 'FunctionCall' then effect_type when regexp_matches(callee_name, '(put|create|insert|write|save)', 'i') then 'Store' when regexp_matches(callee_name, '(get|find|query|read|select)', 'i') then 'Retrieve' when regexp_matches(callee_name, '(send|publish|fetch|post)', 'i') then 'Send' else 'FunctionCall' end as mapped_type, count(*) as count from effects group by 1", "effects")(lambda g, *_: rules.mapped(g.effects).groupBy("mapped_type").agg(F.count("*").alias("count")))
 query("internal_relationships", "select s.c as source, t.c as target, count(*) as calls from edges e join (select entity_id, kind as c from nodes) s on s.entity_id = e.source_entity_id join (select entity_id, kind as c from nodes) t on t.entity_id = e.target_entity_id where e.edge_type = 'CALLS' and s.c <> t.c group by 1, 2", "edges", "nodes")(lambda g, *_: views.internal_relationships(g.edges, g.nodes.select("entity_id", F.col("kind").alias("container"))))
 query("f1_of_sets", "with a as (select distinct source_entity_id as k from edges where edge_type = 'CONTAINS'), p as (select distinct target_entity_id as k from edges where edge_type = 'CONTAINS'), n as (select count(*) filter (where a.k is not null and p.k is not null) as tp, count(*) filter (where a.k is null) as fp, count(*) filter (where p.k is null) as fn from a full join p on a.k = p.k), r as (select *, case when tp + fp > 0 then tp::double / (tp + fp) else 0 end as precision, case when tp + fn > 0 then tp::double / (tp + fn) else 0 end as recall from n) select tp, fp, fn, round(precision, 6) as precision, round(recall, 6) as recall, round(case when precision + recall > 0 then 2 * precision * recall / (precision + recall) else 0 end, 6) as f1 from r", "edges")(lambda g, *_: (lambda e: views.f1(e.select(F.col("source_entity_id").alias("k")), e.select(F.col("target_entity_id").alias("k")), "k"))(g.edges.filter("edge_type = 'CONTAINS'")))
 
@@ -222,7 +221,6 @@ for _by in ("source", "severity", "category", "repo_id"):
 query("diagnostics_counts", "select count(*) as total, count(*) filter (where not resolved) as unresolved, " + ", ".join(f"count(*) filter (where not resolved and severity = '{s}') as {s}" for s in hub.SEVERITIES) + " from diagnostics", "diagnostics")(lambda g, *_: hub.diagnostics_counts(g.diagnostics))
 query("validation_summary", "select file_path, count(*) filter (where severity in ('critical', 'error')) as errors, count(*) filter (where severity = 'warning') as warnings, count(*) as total from diagnostics group by 1", "diagnostics")(lambda g, *_: hub.validation_summary(g.diagnostics, "file_path"))
 query("mark_resolved", "select source, count(*) filter (where resolved or severity = 'note') as resolved from diagnostics group by 1", "diagnostics")(lambda g, *_: hub.mark_resolved(g.diagnostics, g.diagnostics.filter("severity = 'note'")).groupBy("source").agg(F.count_if("resolved").alias("resolved")))
-query("cross_repo_needs", "select module_specifier, case when module_specifier like '.%' then 'relative' when module_specifier like '@%' then 'scoped' else 'bare' end as module_kind, count(*) as refs, count(distinct imported_symbol) as symbols from external_refs where not is_resolved group by 1, 2", "external_refs")(lambda g, *_: hub.cross_repo_needs(g.external_refs))
 query("resolution_stats", "select source_file_path, count(*) as total, count(*) filter (where is_resolved) as resolved, cast(round(count(*) filter (where is_resolved) * 100.0 / count(*), 1) as double) as percent from external_refs group by 1", "external_refs")(lambda g, *_: hub.resolution_stats(g.external_refs))
 query("evaluation", "with s as (select case when doc_id % 2 = 0 then 'baseline' else 'enhanced' end as mode, quality, toxic from labels), l as (select mode, 'quality' as dimension, quality as score from s union all select mode, 'toxic', toxic from s), n as (select dimension, coalesce(avg(score) filter (where mode = 'baseline'), 0) as b, coalesce(avg(score) filter (where mode = 'enhanced'), 0) as e from l group by 1) select dimension, round(b, 6) as baseline, round(e, 6) as enhanced, round(e - b, 6) as delta from n")(lambda g, spark, d: hub.evaluation(_table(spark, d, "labels").select(F.when(F.col("doc_id") % 2 == 0, "baseline").otherwise("enhanced").alias("mode"), "quality", "toxic"), ["quality", "toxic"]))
 

@@ -5,7 +5,7 @@ One text serves both engines; PIECES holds the few spellings that differ.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import re
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -74,7 +74,7 @@ EDGES = (
 )
 
 CLICKS = f"""select distinct {_ID['u'].format('user_id')} as source_entity_id, {_ID['u'].format('next_id')} as target_entity_id, 'CALLS' as edge_type from (
- select user_id, lead(user_id) over (order by ts, event_id) as next_id from events where event_type = 'click') c where next_id is not null and next_id <> user_id"""
+ select user_id, lead(user_id) over (partition by cast(ts as date) order by ts, event_id) as next_id from events where event_type = 'click') c where next_id is not null and next_id <> user_id"""
 
 EFFECTS = (
     "select cast(event_id as string) as effect_id, case event_type when 'click' then 'FunctionCall' when 'view' then 'Retrieve' when 'purchase' then 'Store' when 'signup' then 'Send' else 'Response' end as effect_type,"
@@ -114,33 +114,28 @@ def with_views(sql: str, *names: str) -> str:
     return f"with recursive {ctes}, {sql[5:]}" if sql[:5].lower() == "with " else f"with {ctes} {sql}"
 
 
-@dataclass(frozen=True)
 class Graph:
-    """The tables of one scope; every operator takes and returns DataFrames."""
+    """The tables of one scope, each built when it is first asked for; every operator takes and returns DataFrames."""
 
-    nodes: DataFrame
-    edges: DataFrame
-    clicks: DataFrame
-    effects: DataFrame
-    external_refs: DataFrame
-    diagnostics: DataFrame
+    def __init__(self, spark: SparkSession, sf_dir: str) -> None:
+        self._spark, self._dir, self._held = spark, sf_dir, {}
 
+    def __getattr__(self, name: str) -> DataFrame:
+        if name.startswith("_") or name not in VIEWS:
+            raise AttributeError(name)
+        if name not in self._held:
+            used = {t: self._spark.read.parquet(f"{self._dir}/{t}.parquet") for t in TABLES if f" {t}" in VIEWS[name]}
+            self._held[name] = self._spark.sql(_bound(view_sql(name, "spark"), used), **used)
+        return self._held[name]
 
-def project(spark: SparkSession, sf_dir: str) -> Graph:
-    """Graph tables over the star-schema tables in sf_dir; nothing runs until a result is asked for."""
-    frames = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "labels")}
-
-    def build(name: str) -> DataFrame:
-        used = {t: f for t, f in frames.items() if f" {t}" in VIEWS[name]}
-        return spark.sql(" ".join([_bound(view_sql(name, "spark"), used)]), **used)
 
-    return Graph(*(build(n) for n in VIEWS))
+def project(spark: SparkSession, sf_dir: str) -> Graph:
+    """Graph tables over the star-schema tables in sf_dir; nothing is opened until a table is asked for."""
+    return Graph(spark, sf_dir)
 
 
 def _bound(sql: str, used: dict) -> str:
     """Table names become parameters, so no session view is registered."""
-    import re
-
     for t in used:
         sql = re.sub(rf"\b(from|join) {t}\b", rf"\1 {{{t}}}", sql)
     return sql.replace("'{}'", "'{{}}'").replace("'{\"key\": '", "'{{\"key\": '").replace("|| '}'", "|| '}}'")

@@ -59,3 +59,14 @@ def test_merging_sink(spark, tmp_path):
     q = stream(spark, tmp_path / "in", [ROWS[2], ROWS[4]]).writeStream.foreachBatch(sink).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert {tuple(r) for r in table[0].collect()} == {("a.ts", "new"), ("k.ts", "old")}
+
+
+def test_renames_consume_both_sides(spark):
+    from codegrain.streaming import changes
+
+    at = lambda s: f"2024-01-01 00:00:{s:06.3f}"
+    frame = lambda rows: spark.createDataFrame(rows, "path string, hash string, t string").selectExpr("path", "hash", "cast(t as timestamp) as ts")
+    deleted = frame([("a", "h", at(1)), ("b", "h", at(1.2)), ("c", "g", at(1)), ("d", "k", at(5))])
+    added = frame([("x", "h", at(1.5)), ("y", "h", at(1.6)), ("z", "h", at(1.7)), ("late", "g", at(2.5)), ("early", "k", at(4.9))])
+    got = sorted((r["from_path"], r["to_path"]) for r in changes.renames(deleted, added).collect())
+    assert got == [("a", "x"), ("b", "y")]
