@@ -4,17 +4,22 @@ Vectors of integers are lifted by one coordinate to a common norm, where a
 larger inner product with a query is a smaller distance to it.  Each is keyed
 by its nearest pivot and its distance to that pivot; sorted by both and packed
 into blocks, the vectors form sorted annuli.  A query's own annulus gives it a
-first bound on its k-th score; around every pivot it then expands to the annuli
-that the triangle inequality cannot exclude at that bound, and no further.
-Queries meet blocks in chunks through a join on the block, never a cross join.
+first bound on its k-th score.  It then expands in rounds: first to the annuli
+nearest to its own distance from their pivot, which tightens the bound, and then
+to all that the triangle inequality cannot exclude at the tighter one, and stops
+there.  Queries travel in chunks of one block; chunks and annuli meet by
+(pivot, bucket of distance), so pairs out of reach are never made.
 
-Pivots are fitted on at most SAMPLE vectors by farthest-first choice; every
-vector is indexed, so the result is exact.
+Pivots, as many as a fraction of the root of the rows, are fitted on at most
+SAMPLE vectors by farthest-first choice; every vector is indexed, so the result
+is exact.
 
 Defined results: vectors that are null, empty, or hold null or non-finite
 components take no part; shorter vectors count as padded with zeros; only the
-query's own row is left out, so repeated rows of its id are candidates; ties go
-to the smaller vec_id; with fewer candidates than k all are returned.
+query's own row is left out, so repeated rows of its id are candidates and ask
+for themselves; ties go to the smaller vec_id; with fewer candidates than k all
+are returned; extra columns, whatever their names, are ignored; an empty table
+gives an empty result.
 """
 
 from __future__ import annotations
@@ -32,13 +37,16 @@ from codegrain.llm.common import cut, table
 K = 10
 SCALE = 1024.0
 QUERY_EVERY = 100
-PIVOTS = 16
+#: Pivots: the root of the rows over PIVOT_SHARE, within limits.
+PIVOT_SHARE, PIVOTS = 8, (16, 1024)
+#: Annuli that a chunk of queries visits to tighten its bounds.
+PROBES = 4
 SAMPLE = 4096
 BLOCK = 2048
 CHUNK = 64
 
 
-def pick_pivots(sample: np.ndarray, n: int = PIVOTS) -> np.ndarray:
+def pick_pivots(sample: np.ndarray, n: int) -> np.ndarray:
     """Farthest-first rows of a sample."""
     chosen = [0]
     gap = ((sample - sample[0]) ** 2).sum(1)
@@ -113,10 +121,8 @@ def _blocks(dims: int, size: int):
     return run
 
 
-def _queries(pivots: np.ndarray, square: float, dims: int, k: int, every: int):
-    """Chunks of a block's queries with, per pivot, the annuli that their own block's k-th score leaves open."""
-    names = ["chunk", "pivot", "lo", "hi", "q_ids", "q_at", "q", "bounds"]
-    kinds = [pa.int64(), pa.int32(), pa.float64(), pa.float64(), pa.binary(), pa.binary(), pa.binary(), pa.binary()]
+def _queries(square: float, dims: int, k: int, every: int):
+    """Chunks of a block's queries with their k-th score in their own block."""
     kind = packed(square)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -124,18 +130,33 @@ def _queries(pivots: np.ndarray, square: float, dims: int, k: int, every: int):
             for block, ids, v in zip(*(b.column(n).to_pylist() for n in ("block", "ids", "v")), strict=True):
                 ids, v = np.frombuffer(ids, "<i8"), np.frombuffer(v, kind).reshape(-1, dims)
                 at = np.flatnonzero(ids % every == 0)
+                rows = []
                 for n, own in enumerate(np.split(at, range(CHUNK, len(at), CHUNK)) if len(at) else []):
-                    q = v[own]
-                    s = products(q, v).astype(float)
+                    s = products(v[own], v).astype(float)
                     s[np.arange(len(own)), own] = -np.inf
                     kth = np.partition(s, -k, axis=1)[:, -k] if s.shape[1] > k else np.full(len(own), -np.inf)
-                    qf = q.astype(float)
-                    radius = np.sqrt(np.maximum((qf * qf).sum(1) + square - 2 * kth, 0.0))
-                    d = distances(np.column_stack([qf, np.zeros(len(qf))]), pivots)
-                    slack = 1e-6 * (1.0 + np.sqrt(square) + d)
-                    lo, hi = (d - radius[:, None] - slack).min(0), (d + radius[:, None] + slack).max(0)
-                    rows = [(block * 64 + n, p, float(lo[p]), float(hi[p]), ids[own].astype("<i8").tobytes(), np.column_stack([np.full(len(own), block), own]).astype("<i8").tobytes(), q.tobytes(), kth.tobytes()) for p in range(len(pivots))]
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+                    rows.append((block * 64 + n, block, ids[own].astype("<i8").tobytes(), own.astype("<i8").tobytes(), v[own].tobytes(), kth.tolist()))
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.float64())), strict=True)], ["chunk", "own", "q_ids", "q_at", "q", "bounds"])
+
+    return run
+
+
+def _ranges(pivots: np.ndarray, square: float, dims: int):
+    """Per chunk and pivot: the distances that the bounds leave open, and those of the queries themselves."""
+    kind = packed(square)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for chunk, q, bounds in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+                q = np.frombuffer(q, kind).reshape(-1, dims).astype(float)
+                radius = np.sqrt(np.maximum((q * q).sum(1) + square - 2 * np.array(bounds), 0.0))
+                d = distances(np.column_stack([q, np.zeros(len(q))]), pivots)
+                slack = 1e-6 * (1.0 + np.sqrt(square) + d)
+                n = len(pivots)
+                most = 2 * square**0.5 + 1
+                lo, hi = (d - radius[:, None] - slack).min(0).clip(0, most), (d + radius[:, None] + slack).max(0).clip(0, most)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, chunk)), pa.array(np.arange(n, dtype=np.int32)), pa.array(lo), pa.array(hi), pa.array(d.min(0)), pa.array(d.max(0))], ["chunk", "pivot", "lo", "hi", "nearest", "farthest"])
 
     return run
 
@@ -144,49 +165,79 @@ def _meet(dims: int, k: int, kind: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = [np.zeros((0, 5), np.int64)]
-            for block, ids, v, q_ids, q_at, q, bounds in zip(b.column(0).to_pylist(), *(b.column(i) for i in range(1, 7)), strict=True):
+            for block, ids, v, chunk, own, q_ids, q_at, q, bounds in zip(b.column(0).to_pylist(), b.column(1), b.column(2), b.column(3).to_pylist(), b.column(4).to_pylist(), b.column(5), b.column(6), b.column(7), b.column(8).to_pylist(), strict=True):
                 ids, v = np.frombuffer(ids.as_py(), "<i8"), np.frombuffer(v.as_py(), kind).reshape(-1, dims)
-                q_ids, q_at = np.frombuffer(q_ids.as_py(), "<i8"), np.frombuffer(q_at.as_py(), "<i8").reshape(-1, 2)
+                q_ids, q_at = np.frombuffer(q_ids.as_py(), "<i8"), np.frombuffer(q_at.as_py(), "<i8")
                 scores = products(np.frombuffer(q.as_py(), kind).reshape(-1, dims), v)
-                kth = np.frombuffer(bounds.as_py(), float)
-                for i in range(len(q_ids)):
+                for i, kth in enumerate(bounds):
                     s = scores[i]
-                    may = np.flatnonzero(s >= kth[i]) if np.isfinite(kth[i]) else np.arange(len(s))
-                    if q_at[i, 0] == block:
-                        may = may[may != q_at[i, 1]]
+                    may = np.flatnonzero(s >= kth) if np.isfinite(kth) else np.arange(len(s))
+                    if own == block:
+                        may = may[may != q_at[i]]
                     best = may[np.lexsort((ids[may], -s[may]))[:k]]
-                    out.append(np.column_stack([np.full(len(best), q_ids[i]), np.full((len(best), 2), q_at[i]), ids[best], s[best]]))
+                    out.append(np.column_stack([np.full(len(best), chunk), np.full(len(best), i), np.full(len(best), q_ids[i]), ids[best], s[best]]))
             rows = np.concatenate(out)
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in rows.T], ["query_id", "q_block", "q_row", "vec_id", "score"])
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in rows.T], ["chunk", "i", "query_id", "vec_id", "score"])
 
     return run
 
 
-def search(vectors: DataFrame, k: int = K, every: int = QUERY_EVERY, n_pivots: int = PIVOTS, block: int = BLOCK) -> DataFrame:
+FOUND = "chunk long, i long, query_id long, vec_id long, score long"
+
+
+def _best(found: DataFrame, k: int) -> DataFrame:
+    w = Window.partitionBy("chunk", "i").orderBy(F.desc("score"), "vec_id")
+    return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+
+
+def search(vectors: DataFrame, k: int = K, every: int = QUERY_EVERY, n_pivots: int | None = None, block: int = BLOCK, probes: int = PROBES) -> DataFrame:
     """(vec_id, embedding) -> (query_id, rank, vec_id, score) for every row whose id is divisible by every."""
     spark = vectors.sparkSession
     bad = F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     whole = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding")).filter(F.col("vec_id").isNotNull() & (F.size("embedding") > 0) & ~bad)
     norm = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + F.pow(F.floor(x * SCALE), 2))
-    dims, square = whole.agg(F.max(F.size("embedding")), F.max(norm)).first()
-    empty = "query_id long, rank int, vec_id long, score long"
+    rows, dims, square = whole.agg(F.count("*"), F.max(F.size("embedding")), F.max(norm)).first()
     if dims is None:
-        return spark.createDataFrame([], empty)
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     square = float(square) * (1 + 1e-9)
     few = whole.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).collect()
     sample = np.zeros((len(few), dims))
     for i, r in enumerate(few):
         sample[i, : len(r["embedding"])] = np.floor(SCALE * np.array(r["embedding"]))
-    pivots = pick_pivots(lift(sample, square), n_pivots)
-    keyed = whole.mapInArrow(_assign(pivots, square, dims), "vec_id long, pivot int, dist double, v binary")
+    pivots = pick_pivots(lift(sample, square), n_pivots or min(PIVOTS[1], max(PIVOTS[0], round(rows**0.5 / PIVOT_SHARE))))
+    # written before it is dealt out by ranges, which reads it twice
+    keyed = cut(whole.mapInArrow(_assign(pivots, square, dims), "vec_id long, pivot int, dist double, v binary"), "pivots")
     keyed = keyed.repartitionByRange("pivot", "dist", "vec_id").sortWithinPartitions("pivot", "dist", "vec_id")
     index = cut(keyed.mapInArrow(_blocks(dims, block), "block long, pivot int, near double, far double, ids binary, v binary"), "annuli")
-    chunks = index.select("block", "ids", "v").mapInArrow(_queries(pivots, square, dims, k, every), "chunk long, pivot int, lo double, hi double, q_ids binary, q_at binary, q binary, bounds binary")
-    open_to = chunks.join(index.select("block", "pivot", "near", "far"), "pivot").filter((F.col("near") <= F.col("hi")) & (F.col("far") >= F.col("lo"))).select("block", "q_ids", "q_at", "q", "bounds")
-    joined = open_to.join(index.select("block", "ids", "v"), "block").select("block", "ids", "v", "q_ids", "q_at", "q", "bounds")
-    found = joined.mapInArrow(_meet(dims, k, packed(square)), "query_id long, q_block long, q_row long, vec_id long, score long")
-    best = Window.partitionBy("query_id", "q_block", "q_row").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    asked = cut(index.select("block", "ids", "v").mapInArrow(_queries(square, dims, k, every), "chunk long, own long, q_ids binary, q_at binary, q binary, bounds array<double>"), "asked")
+
+    n_blocks, near, far = index.agg(F.count("*"), F.min("near"), F.max("far")).first()
+    width = max((far - near) / max(1.0, n_blocks / len(pivots)), square**0.5 / 1024, 1e-9)
+    bucket = lambda c: F.floor(F.col(c) / width).cast("long")
+    annuli = index.select("block", "pivot", "near", "far", bucket("near").alias("first")).withColumn("bucket", F.explode(F.sequence("first", bucket("far"))))
+
+    def reached(chunks: DataFrame) -> DataFrame:
+        """(chunk, block, own, gap) of all annuli that the chunks' bounds leave open, each pair once: in the first bucket that both have."""
+        open_ = chunks.select("chunk", "q", "bounds").mapInArrow(_ranges(pivots, square, dims), "chunk long, pivot int, lo double, hi double, nearest double, farthest double")
+        open_ = open_.withColumn("from", bucket("lo")).withColumn("bucket", F.explode(F.sequence("from", bucket("hi"))))
+        met = open_.join(annuli, ["pivot", "bucket"]).filter((F.col("near") <= F.col("hi")) & (F.col("far") >= F.col("lo")) & (F.col("bucket") == F.greatest("from", "first")))
+        return met.select("chunk", "block", F.greatest(F.lit(0.0), F.col("near") - F.col("farthest"), F.col("nearest") - F.col("far")).alias("gap"))
+
+    def visited(pairs: DataFrame, chunks: DataFrame) -> DataFrame:
+        told = pairs.select("chunk", "block").join(chunks, "chunk")
+        return told.join(index.select("block", "ids", "v"), "block").select("block", "ids", "v", "chunk", "own", "q_ids", "q_at", "q", "bounds").mapInArrow(_meet(dims, k, packed(square)), FOUND)
+
+    nearest = Window.partitionBy("chunk").orderBy((F.col("block") != F.col("own")), "gap", "block")
+    probed = cut(reached(asked).join(asked.select("chunk", "own"), "chunk").withColumn("place", F.row_number().over(nearest)).filter(F.col("place") <= probes).select("chunk", "block"), "probes")
+    own = asked.select("chunk", F.col("own").alias("block"))
+    probed = probed.unionByName(own).distinct()
+    first = cut(_best(visited(probed, asked), k).drop("rank"), "found")
+    kth = first.groupBy("chunk", "i").agg(F.count("*").alias("n"), F.min("score").alias("score")).filter(F.col("n") == k)
+    tighter = kth.groupBy("chunk").agg(F.map_from_entries(F.collect_list(F.struct("i", F.col("score").cast("double")))).alias("kth"))  # CHUNK entries at most
+    bounds = F.transform("bounds", lambda x, i: F.greatest(x, F.coalesce(F.element_at("kth", i.cast("long")), x)))
+    asked = cut(asked.join(tighter, "chunk", "left").withColumn("bounds", F.when(F.col("kth").isNull(), F.col("bounds")).otherwise(bounds)).drop("kth"), "tighter")
+    rest = reached(asked).join(probed, ["chunk", "block"], "left_anti")
+    return _best(first.unionByName(visited(rest, asked)), k).select("query_id", "rank", "vec_id", "score")
 
 
 def op2_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -197,11 +248,11 @@ QUERIES = {"op2_topk": op2_topk}
 ORACLE = {
     "op2_topk": """
 WITH v AS (
-  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
-  WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+  SELECT row_number() OVER () AS rid, vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
 s AS (
-  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.e, c.e), lambda p: p[1] * p[2])) AS BIGINT) AS score
-  FROM v q JOIN v c ON q.vec_id % 100 = 0 AND c.vec_id <> q.vec_id)
+  SELECT q.rid, q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.e, c.e), lambda p: p[1] * p[2])) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id % 100 = 0 AND c.rid <> q.rid)
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (
-  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 10"""
+  SELECT *, row_number() OVER (PARTITION BY rid ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 10"""
 }

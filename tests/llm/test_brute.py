@@ -108,6 +108,14 @@ def test_topk_small_blocks_and_ties(spark, tmp_path):
         assert [got[q, k + 1] for k in range(7)] == [(i, s[i]) for i in best]
 
 
+def test_topk_repeated_ids(spark, tmp_path):
+    """Every row of a repeated query id asks for itself, and its other rows are candidates; ties are many."""
+    rng = np.random.default_rng(7)
+    rows = [(int(i), (rng.integers(-2, 3, 4) / 2).tolist(), 0) for i in rng.integers(0, 8, 400) * 50]
+    write(tmp_path, "embeddings", EMBEDDINGS, rows)
+    assert compare(topk.op2_topk(spark, str(tmp_path)), topk.ORACLE["op2_topk"], str(tmp_path)) == 10 * sum(r[0] % 100 == 0 for r in rows)
+
+
 # --- 3
 
 
