@@ -9,6 +9,8 @@ depth.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -39,21 +41,18 @@ def _met(start: DataFrame | list[str], hop: DataFrame, depth: int) -> DataFrame:
     than levels, that only shrinks, where paths themselves would multiply.  Only
     nodes whose set has changed walk on.
     """
-    found = [_first(start, hop).select("here", "there", "edge_type", F.lit(1).alias("depth")).distinct()]
+    first = _first(start, hop).select("here", "there", "edge_type", F.lit(1).alias("depth")).distinct()
     if depth == 1:
-        return found[0]
-    found[0] = written(found[0])
-    common = fresh = written(found[0].select(F.col("there").alias("node"), F.array("there").alias("on")).distinct())
-    if not isinstance(start, list):
-        common = common.unionByName(start.select(F.col("entity_id").alias("node"), F.array().cast("array<string>").alias("on")))
-    else:
-        common = common.unionByName(hop.sparkSession.createDataFrame([(s, []) for s in start], "node string, on array<string>"))
-    common = common.groupBy("node").agg(F.min_by("on", F.size("on")).alias("on"))
+        return first
+    found = [written(first)]
+    fresh = found[0].select(F.col("there").alias("node"), F.array("there").alias("on")).distinct()
+    begin = hop.sparkSession.createDataFrame([(s,) for s in start], "node string") if isinstance(start, list) else start.select(F.col("entity_id").alias("node"))
+    common = fresh.unionByName(begin.withColumn("on", F.array().cast("array<string>"))).groupBy("node").agg(F.min_by("on", F.size("on")).alias("on"))
     for d in range(2, depth + 1):
         level = written(fresh.select(F.col("node").alias("here"), "on").join(hop, "here").filter(~F.array_contains("on", F.col("there"))))
         if level.isEmpty():
             break
-        found.append(written(level.select("here", "there", "edge_type", F.lit(d).alias("depth")).distinct()))
+        found.append(level.select("here", "there", "edge_type", F.lit(d).alias("depth")))
         if d == depth:
             break
         walks = level.select(F.col("there").alias("node"), F.array_append("on", F.col("there")).alias("on")).distinct()
@@ -63,7 +62,7 @@ def _met(start: DataFrame | list[str], hop: DataFrame, depth: int) -> DataFrame:
         state = written(both.select("node", now.alias("now"), (F.col("on").isNull() | (F.size("on") > F.size(now))).alias("changed")))
         common = state.select("node", F.col("now").alias("on"))
         fresh = state.filter("changed").select("node", F.col("now").alias("on"))
-    return united(found).groupBy("here", "there", "edge_type").agg(F.min("depth").alias("depth"))
+    return reduce(DataFrame.unionByName, found).groupBy("here", "there", "edge_type").agg(F.min("depth").alias("depth"))
 
 
 def graph_deps(edges: DataFrame, start: DataFrame | list[str], depth: int = 1, edge_types: list[str] | None = None, reverse: bool = False) -> DataFrame:
@@ -114,18 +113,17 @@ def call_graph(edges: DataFrame, nodes: DataFrame, start: DataFrame | list[str],
     hop = _oriented(edges, ["CALLS"], callers).select("here", "there")
     known = nodes.select("entity_id", "name", "kind", "file_path")
     level = _first(start, hop).filter("here <> there").select("there", F.array("here", "there").alias("path")).distinct()
-    found: list[DataFrame] = []
+    found, rows = [], 0
     for d in range(1, depth + 1):
         level = written(level) if depth > 1 else level
         found.append(level.select(F.col("there").alias("entity_id"), F.lit(d).alias("depth")).distinct().join(known, "entity_id"))
-        if d == depth:
+        if d == depth or level.isEmpty():
             break
-        found[-1] = written(found[-1])
-        if level.isEmpty() or united(found).count() >= limit:
+        rows += found[-1].count()
+        if rows >= limit:
             break
         level = level.withColumnRenamed("there", "here").join(hop, "here").filter(~F.array_contains("path", F.col("there"))).select("there", F.array_sort(F.array_append("path", F.col("there"))).alias("path")).distinct()
-    met = found[-1] if len(found) == 1 else united(found[:-1]).unionByName(found[-1])
-    return met.orderBy("depth", "name", "entity_id").limit(limit)
+    return reduce(DataFrame.unionByName, found).orderBy("depth", "name", "entity_id").limit(limit)
 
 
 def graph_imports(edges: DataFrame, nodes: DataFrame, exports: bool = False, file: str | None = None, limit: int | None = None) -> DataFrame:
