@@ -46,12 +46,12 @@ RUN = MIN_WORDS - WINDOW + 1
 SIDE = WINDOW - 1
 #: Words of texts that one batch of rows is made of.
 FLUSH = 300_000
-#: Rows of one key that are compared in memory.
-CROWD = 20_000
+#: Rows of one key, and members of these, that are compared in memory: some 50 MB each.
+CROWD, CROWD_MEMBERS = 100_000, 2_000_000
 #: Members of one row.
 PIECE = 128
 MEMO = 150_000
-#: One document in SAMPLE is looked at for keys of more than CROWD suffixes; the HOT largest of them are compared by windows from the start.
+#: One document in SAMPLE is looked at for keys of more rows than CROWD; the HOT largest of them are compared by windows from the start.
 SAMPLE, HOT = 32, 2000
 NO_ID = -(1 << 63)
 _C = np.uint64(0x9E3779B97F4A7C15)
@@ -314,7 +314,8 @@ def _match(crowd: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []  # rows of the last key met
-        size, over = 0, None
+        size, inside, over = 0, 0, None
+        many = lambda x: pc.sum(pc.binary_length(x.column(4))).as_py() or 0
         for b in batches:
             single = b.filter(pc.equal(b.column(1), 0))
             if single.num_rows < b.num_rows:
@@ -336,34 +337,31 @@ def _match(crowd: int):
             if held and (tail or held[-1].column(0)[-1].as_py() != k[0]):
                 whole = pa.concat_batches([*held, b.slice(0, tail)]) if tail else pa.concat_batches(held)
                 yield from _matched(whole)
-                held, size = [b.slice(tail)], len(k) - tail
+                held, size, inside = [b.slice(tail)], len(k) - tail, many(b.slice(tail))
             else:
                 if tail:
                     yield from _matched(b.slice(0, tail))
                 held.append(b.slice(tail))
                 size += len(k) - tail
-            if size > crowd:
+                inside += many(b.slice(tail))
+            if size > crowd or inside > 16 * CROWD_MEMBERS:
                 for x in held:
                     yield _crowded(x)
-                held, size, over = [], 0, k[-1]
+                held, size, inside, over = [], 0, 0, k[-1]
         if held:
             yield from _matched(pa.concat_batches(held))
 
     return run
 
 
-def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        found = [suffixes(word_hashes(t.as_py().split()))[1] for t in b.column(0)]
-        keys, counts = np.unique(np.concatenate([np.zeros(0, np.uint64), *found]), return_counts=True)
-        yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(counts)], ["k", "n"])
-
-
 def hot_keys(docs: DataFrame, sample: int = SAMPLE, crowd: int = CROWD) -> list[int]:
-    """The keys, at most HOT, that by a sample of the documents have more than crowd suffixes."""
+    """The keys, at most HOT, that by a sample of the documents have more than crowd contexts, or CROWD_MEMBERS suffixes."""
     some = docs.filter(F.pmod(F.xxhash64("doc_id", "text"), F.lit(sample)) == 0)
-    counts = some.select(text_bytes()).mapInArrow(_keys, "k long, n long").groupBy("k").agg(F.sum("n").alias("n"))
-    return [r["k"] for r in counts.filter(F.col("n") * sample > crowd).orderBy(F.desc("n"), "k").limit(HOT).select("k").collect()]
+    rows = some.select(F.col("doc_id").cast("long"), text_bytes()).mapInArrow(_suffix_rows([]), ROWS)
+    contexts = rows.groupBy("k", "before", "after").agg(F.sum(F.length("members") / 16).alias("n"))
+    keys = contexts.groupBy("k").agg(F.count("*").alias("rows"), F.sum("n").alias("n"))
+    large = keys.filter((F.col("rows") * sample > crowd) | (F.col("n") * sample > CROWD_MEMBERS))
+    return [r["k"] for r in large.orderBy(F.desc("n"), "k").limit(HOT).select("k").collect()]
 
 
 def repeated_passages(docs: DataFrame, sample: int = SAMPLE, crowd: int = CROWD) -> DataFrame:

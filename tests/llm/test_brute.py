@@ -500,9 +500,12 @@ def test_no_passage_is_hidden_by_longer_neighbours(spark, monkeypatch, hot, crow
 
 
 def test_hot_keys_are_found_in_a_sample(spark):
-    line = " ".join(f"common{i}" for i in range(60))
-    docs = spark.range(30_000).select(F.col("id").alias("doc_id"), F.concat(F.lit(line + " "), F.col("id").cast("string")).alias("text"))
-    assert len(suffix.hot_keys(docs)) > 0 and not suffix.hot_keys(docs.limit(10_000))
+    """Keys of many contexts are hot; those of copies, whose contexts are equal, are not."""
+    line = F.lit(" ".join(f"common{i}" for i in range(40)))
+    around = lambda n: F.concat_ws(" ", *[F.xxhash64("id", F.lit(n + i)).cast("string") for i in range(12)])
+    docs = spark.range(4000).select(F.col("id").alias("doc_id"), F.concat_ws(" ", around(0), line, around(20)).alias("text"))
+    assert suffix.hot_keys(docs, crowd=300) and not suffix.hot_keys(docs, crowd=20_000)
+    assert not suffix.hot_keys(docs.withColumn("text", F.concat_ws(" ", line, line)), crowd=300)
 
 
 # --- 9
