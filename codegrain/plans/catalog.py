@@ -57,7 +57,7 @@ query("symbol_file", f"select {_SUMMARY} from (select * from nodes where file_pa
 query("doc_coverage", "select file_path, count(*) as symbols, count(documentation) as documented, cast(round(count(documentation) * 100.0 / count(*), 1) as double) as coverage from nodes group by file_path having count(*) >= 5", "nodes")(lambda g, *_: symbols.doc_coverage(g.nodes, 5))
 query("kind_shares", "select kind, count(*) as count, cast(round(count(*) * 100.0 / sum(count(*)) over (), 2) as double) as percent from nodes group by kind", "nodes")(lambda g, *_: symbols.kind_shares(g.nodes))
 query("decorator_usage", "select decorator, count(*) as uses from (select unnest(decorators) as decorator from nodes) group by decorator", "nodes")(lambda g, *_: symbols.decorator_usage(g.nodes))
-query("duplicate_names", "select name, count(*) as count, count(distinct split_part(entity_id, ':', 2)) as packages from (select entity_id, substr(name, 1, 4) as name from nodes) group by name having count(distinct split_part(entity_id, ':', 2)) > 1", "nodes")(lambda g, *_: symbols.duplicate_names(g.nodes.withColumn("name", F.substring("name", 1, 4))))
+query("duplicate_names", "select name, count(*) as count, count(distinct split_part(entity_id, ':', 2)) as packages from (select entity_id, substr(name, 1, 1) as name from nodes) group by name having count(distinct split_part(entity_id, ':', 2)) > 1", "nodes")(lambda g, *_: symbols.duplicate_names(g.nodes.withColumn("name", F.substring("name", 1, 1))))
 query("unused_exports", "select entity_id, name, kind from nodes n where is_exported and not exists (select 1 from edges e where e.edge_type = 'IMPORTS' and e.target_entity_id = n.entity_id)", "nodes", "edges")(lambda g, *_: symbols.unused_exports(g.nodes, g.edges))
 query("most_called", "select target_entity_id, count(*) as calls from edges where edge_type = 'CALLS' group by 1 order by calls desc, 1 limit 20", "edges")(lambda g, *_: symbols.most_called(g.edges))
 query("orphan_edges", "select count(*) as orphans from (select source_entity_id, target_entity_id from edges union all select 'gone:' || source_entity_id, target_entity_id from clicks) e where not exists (select 1 from nodes n where n.entity_id = e.source_entity_id)", "nodes", "edges", "clicks")(lambda g, *_: symbols.orphan_edges(g.edges.select("source_entity_id", "target_entity_id").unionByName(g.clicks.select(F.concat(F.lit("gone:"), "source_entity_id").alias("source_entity_id"), "target_entity_id")), g.nodes).agg(F.count("*").alias("orphans")))
