@@ -100,7 +100,6 @@ query("effects_filtered", "select effect_id, callee_name from effects where is_e
 query("effects_summary_file", "select source_file_path, count(*) as count from effects group by 1", "effects")(lambda g, *_: effects.summary(g.effects, "source_file_path"))
 query("callee_patterns", "select callee_name, is_method_call, is_async, is_external, external_module, count(*) as count from effects where effect_type = 'FunctionCall' group by all having count(*) >= 3", "effects")(lambda g, *_: effects.callee_patterns(g.effects, 3))
 query("workspace_effects", "select split_part(source_entity_id, ':', 1) as repo, count(*) filter (where lower(effect_type) = 'store') as store, count(*) filter (where lower(effect_type) = 'retrieve') as retrieve, count(*) filter (where lower(effect_type) in ('send', 'external')) as external, count(*) filter (where lower(effect_type) not in ('store', 'retrieve', 'send', 'external')) as other from effects group by 1", "effects")(lambda g, *_: effects.workspace_counts(g.effects))
-query("cross_patterns", "with n as (select source_file_path, callee_name, count(*) as n from effects where callee_name is not null group by 1, 2), r as (select *, row_number() over (partition by source_file_path order by n desc, callee_name) as rn from n) select callee_name, count(*) as groups, cast(sum(n) as bigint) as total from r where rn <= 10 group by 1 having count(*) >= 2", "effects")(lambda g, *_: effects.cross_patterns(g.effects, "source_file_path", 10))
 for _name, _by, _column in (("cross_patterns_files", "source_file_path", "source_file_path"), ("cross_patterns_repos", "split_part(source_entity_id, ':', 1)", "repo")):
     query(_name, f"with n as (select {_by} as grp, callee_name, count(*) as n from effects where callee_name is not null group by 1, 2), r as (select *, row_number() over (partition by grp order by n desc, callee_name) as rn from n) select callee_name, count(*) as groups, cast(sum(n) as bigint) as total from r where rn <= 100 group by 1 having count(*) >= 2", "effects")(lambda g, *_, column=_column: effects.cross_patterns(g.effects.withColumn("repo", symbols.repo_of(F.col("source_entity_id"))), column))
 query("async_by_file", "select source_file_path, count(*) filter (where is_async) as async_calls, count(*) filter (where not is_async) as sync_calls from effects where effect_type = 'FunctionCall' group by 1", "effects")(lambda g, *_: effects.async_by_file(g.effects))
@@ -151,19 +150,6 @@ query("f1_of_sets", "with a as (select distinct source_entity_id as k from edges
 # --- overlay and merges
 
 
-def _branched(g: Graph) -> tuple[DataFrame, DataFrame]:
-    key = F.element_at(F.split("entity_id", ":"), -1).cast("long")
-    n = g.nodes.filter(F.col("kind") == "method").select("entity_id", "name", "file_path", key.alias("key"))
-    base = n.filter("key % 10 < 9").withColumn("is_deleted", F.lit(False))
-    return base, n.filter("key % 10 >= 8").withColumns({"name": F.concat(F.lit("new_"), "name"), "is_deleted": F.col("key") % 40 == 8})
-
-
-_BRANCHED = "with n as (select entity_id, name, file_path, cast(split_part(entity_id, ':', 4) as bigint) as key from nodes where kind = 'method'), base as (select *, false as is_deleted from n where key % 10 < 9), branch as (select * replace ('new_' || name as name), key % 40 = 8 as is_deleted from n where key % 10 >= 8) "
-query("overlay_nodes", _BRANCHED + "select entity_id, name from branch where not is_deleted union all select entity_id, name from base b where not exists (select 1 from branch r where r.entity_id = b.entity_id)", "nodes")(lambda g, *_: overlay.overlay(*_branched(g), overlay.KEYS["nodes"]).select("entity_id", "name"))
-query("upsert_nodes", _BRANCHED + "select entity_id, name from (select *, row_number() over (partition by entity_id order by src desc) as rn from (select entity_id, name, 0 as src from base union all select entity_id, name, 1 from branch)) where rn = 1", "nodes")(lambda g, *_: overlay.upsert(*(x.select("entity_id", "name", F.lit(0).alias("at")) for x in _branched(g)), ["entity_id"], F.col("at")).select("entity_id", "name"))
-query("diff_nodes", _BRANCHED + "select coalesce(a.entity_id, b.entity_id) as entity_id, case when a.entity_id is null then 'added' when b.entity_id is null then 'removed' else 'modified' end as change from base a full join branch b on a.entity_id = b.entity_id where a.name is distinct from b.name", "nodes")(lambda g, *_: overlay.diff(*_branched(g), ["entity_id"], ["name"]))
-query("incremental_merge", _BRANCHED + "select entity_id, name from base where file_path not in (select file_path from branch where is_deleted) union all select entity_id, name from branch where is_deleted", "nodes")(lambda g, *_: (lambda b, r: overlay.merge_files(b, r.filter("is_deleted"), r.filter("is_deleted"), "file_path").select("entity_id", "name"))(*_branched(g)))
-query("tombstones", _BRANCHED + "select count(*) as hidden from base where file_path in (select file_path from branch where is_deleted)", "nodes")(lambda g, *_: (lambda b, r: overlay.tombstones(b, r.filter("is_deleted"), "file_path").agg(F.count("*").alias("hidden")))(*_branched(g)))
 query("resolve_refs", "select module_specifier, count(*) as refs, count(*) filter (where is_resolved or try_cast(substr(imported_symbol, 4) as int) % 2 = 0) as resolved from external_refs group by 1", "external_refs")(lambda g, *_: overlay.resolve(g.external_refs, g.external_refs.select("imported_symbol").distinct().filter("cast(substr(imported_symbol, 4) as int) % 2 = 0").withColumn("resolved_id", F.concat(F.lit("to:"), "imported_symbol")), ["imported_symbol"]).groupBy("module_specifier").agg(F.count("*").alias("refs"), F.count_if("is_resolved").alias("resolved")))
 
 #: Branches over whole tables, without a row left out: per table the columns that a branch changes (a key under a condition, so that rows
@@ -297,18 +283,6 @@ def _bursts(g: Graph, spark: SparkSession, d: str) -> DataFrame:
 # --- resolution
 
 
-def _function_uses(g: Graph) -> DataFrame:
-    odd = F.element_at(F.split("entity_id", ":"), -1).cast("long") % 2 == 1
-    return g.nodes.filter("kind in ('function', 'interface')").select(F.col("entity_id").alias("use_id"), "name", F.when(odd, "elsewhere.ts").otherwise(F.col("file_path")).alias("file_path"))
-
-
-query("resolve_calls", """with u as (select entity_id as use_id, name, case when cast(split_part(entity_id, ':', 4) as bigint) % 2 = 1 then 'elsewhere.ts' else file_path end as file_path from nodes where kind in ('function', 'interface')),
-c as (select *, case kind when 'class' then 1 else 0 end as late, list_position(['function', 'method', 'class'], kind) as rank from nodes where kind in ('function', 'method', 'class')),
-r as (select u.use_id, c.entity_id, case when c.file_path = u.file_path then 1.0 else 0.9 end as confidence, row_number() over (partition by u.use_id order by case when c.file_path = u.file_path then 0 else 1 end, late, rank, entity_id) as rn from u join c on c.name = u.name and (c.file_path = u.file_path or c.is_exported))
-select u.use_id, r.entity_id as resolved_id, cast(r.confidence as double) as confidence from u left join r on r.use_id = u.use_id and r.rn = 1""", "nodes")(lambda g, *_: resolution.resolve_names(_function_uses(g), g.nodes).select("use_id", "resolved_id", "confidence"))
-query("resolve_imports", """with p as (select entity_id, name, file_path, cast(split_part(entity_id, ':', 4) as bigint) as key from nodes where kind = 'function'),
-r as (select entity_id as ref_id, case key % 3 when 0 then file_path when 1 then regexp_replace(file_path, '[.]ts$', '') else 'none' end as base, name as symbol from p)
-select r.ref_id, (select min(n.entity_id) from nodes n where n.is_exported and n.name = r.symbol and n.file_path = case when r.base like '%.ts' then r.base else r.base || '.ts' end) as resolved_id from r""", "nodes")(lambda g, *_: resolution.resolve_imports((lambda p, key: p.select(F.col("entity_id").alias("ref_id"), F.when(key % 3 == 0, F.col("file_path")).when(key % 3 == 1, F.regexp_replace("file_path", "[.]ts$", "")).otherwise("none").alias("base"), F.col("name").alias("symbol")))(g.nodes.filter("kind = 'function'"), F.element_at(F.split("entity_id", ":"), -1).cast("long")), g.nodes).select("ref_id", "resolved_id"))
 #: What a name may be used as, and the kinds that it then resolves to.
 _USED_AS = {"call": resolution.CALLABLE, "extends": ("class",), "implements": ("interface",)}
 _USES = "with u as (select entity_id as use_id, name, case when visibility = 'private' then 'elsewhere.ts' else file_path end as file_path from nodes)"

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from codegrain.functions import ids, infer
 from codegrain.operators import datoms, effects, hub, overlay, resolution, rules, symbols, traversal, views
-from codegrain.plans.catalog import _RULED, _S, _SEEDS, _T, _branched, _BRANCHED, _pathed, _seed, _table, _walk, query
+from codegrain.plans.catalog import _RULED, _S, _SEEDS, _T, _branch_pairs, _pathed, _seed, _table, _walk, query
 from codegrain.plans.projection import Graph
 from codegrain.sources import seeds
 from codegrain.sources.written import shared_dir, written
@@ -78,8 +78,17 @@ query("file_change_importers", _CHANGES + "select source_file_path as file_path,
 
 # --- overlay and unresolved edges
 
-query("overlay_lookup_ids", _BRANCHED + "select entity_id, name from branch where not is_deleted and entity_id in ('sales:ledger:method:8', 'sales:ledger:method:9', 'sales:ledger:method:11') union all select entity_id, name from base b where entity_id in ('sales:ledger:method:8', 'sales:ledger:method:9', 'sales:ledger:method:11') and not exists (select 1 from branch r where r.entity_id = b.entity_id)", "nodes")(lambda g, *_: overlay.lookup(*_branched(g), ["entity_id"], "entity_id", ["sales:ledger:method:8", "sales:ledger:method:9", "sales:ledger:method:11"]).select("entity_id", "name"))
-query("overlay_lookup_file", _BRANCHED + "select entity_id, name from branch where not is_deleted and file_path = 'orders/5-LOW.ts' union all select entity_id, name from base where file_path = 'orders/5-LOW.ts' and not exists (select 1 from branch where file_path = 'orders/5-LOW.ts')", "nodes")(lambda g, *_: overlay.lookup_file(*_branched(g), "orders/5-LOW.ts").select("entity_id", "name"))
+_NODE_SIDES = "with base as (select entity_id, name, file_path from nodes), branch as (select case when is_exported then 'branch:' || entity_id else entity_id end as entity_id, case when visibility = 'private' then 'new_' || name else name end as name, file_path, is_abstract and is_default_export as is_deleted from nodes) "
+_IDS = ["sales:ledger:method:8", "branch:sales:ledger:method:9", "sales:ledger:method:9", "geo:atlas:module:3", "web:clicks:hook:4"]
+
+
+def _node_sides(g: Graph) -> tuple[DataFrame, DataFrame]:
+    _, base, branch, *_ = next(iter(_branch_pairs(g)))
+    return base, branch
+
+
+query("overlay_lookup_ids", _NODE_SIDES + "select entity_id, name from branch where not is_deleted and entity_id in ('" + "', '".join(_IDS) + "') union all select entity_id, name from base b where entity_id in ('" + "', '".join(_IDS) + "') and not exists (select 1 from branch r where r.entity_id = b.entity_id)", "nodes")(lambda g, *_: overlay.lookup(*_node_sides(g), ["entity_id"], "entity_id", _IDS).select("entity_id", "name"))
+query("overlay_lookup_file", _NODE_SIDES + "select entity_id, name from branch where not is_deleted and file_path = 'supplier/3.ts' union all select entity_id, name from base where file_path = 'supplier/3.ts' and not exists (select 1 from branch where file_path = 'supplier/3.ts')", "nodes")(lambda g, *_: overlay.lookup_file(*_node_sides(g), "supplier/3.ts").select("entity_id", "name"))
 query("deleted_files", "select kind, count(*) as count from nodes where file_path not in (select distinct file_path from nodes where kind = 'hook') group by 1", "nodes")(lambda g, *_: overlay.deleted(g.nodes, g.nodes.filter("kind = 'hook'"), "file_path").groupBy("kind").agg(F.count("*").alias("count")))
 query("unresolved_refs", "select module_specifier, count(*) as refs from external_refs where not is_resolved group by 1", "external_refs")(lambda g, *_: overlay.unresolved_refs(g.external_refs).groupBy("module_specifier").agg(F.count("*").alias("refs")))
 _OPEN_SQL = "with o as (select source_entity_id, case when source_line % 2 = 0 then 'unresolved:fn' || source_line else target_entity_id end as target_entity_id, case edge_type when 'IMPORTS' then 'EXTENDS' else edge_type end as edge_type, source_file_path, source_line, case when source_line % 4 = 0 then 'given' || source_line end as given from edges) "

@@ -128,6 +128,12 @@ class Graph:
             self._held[name] = self._spark.sql(_bound(view_sql(name, "spark"), used), **used)
         return self._held[name]
 
+    def replaced(self, **tables: DataFrame) -> Graph:
+        """The same scope with some tables given."""
+        out = Graph(self._spark, self._dir)
+        out._held = {**self._held, **tables}
+        return out
+
 
 def project(spark: SparkSession, sf_dir: str) -> Graph:
     """Graph tables over the star-schema tables in sf_dir; nothing is opened until a table is asked for."""

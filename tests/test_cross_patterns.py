@@ -1,6 +1,4 @@
-"""Callees that groups share, at the reference's 100 for each group."""
-
-from dataclasses import replace
+"""Callees that groups share, the 100 most used of each group."""
 
 from oracle import SF
 
@@ -18,6 +16,6 @@ def test_no_callee_of_a_file_is_dropped(spark):
 def test_repos_share_callees_to_the_hundredth(spark):
     f = catalog._Q["cross_patterns_repos"][0]
     rows = [(f"{repo}:p:hook:1", f"c{i:03d}") for repo in ("a", "b") for i in range(101) for _ in range(101 - i)] + [("c:p:hook:1", "alone")] * 200
-    g = replace(project(spark, SF), effects=spark.createDataFrame(rows, "source_entity_id string, callee_name string"))
+    g = project(spark, SF).replaced(effects=spark.createDataFrame(rows, "source_entity_id string, callee_name string"))
     got = {(r["callee_name"], r["groups"], r["total"]) for r in f(g, spark, SF).collect()}
     assert got == {(f"c{i:03d}", 2, 2 * (101 - i)) for i in range(100)}
