@@ -43,3 +43,40 @@ def test_siblings(spark):
     want = {"shared": "shared", "@org/shared": "shared", "shared-utils/x": "shared", "my-shared": "shared", "./shared": None, "node:fs": None, "fs": None, "other": None, "own": None, "@org/pkg/shared": None}
     df = spark.createDataFrame([(m,) for m in want], "m string")
     assert {r["m"]: r["s"] for r in df.select("m", hub.sibling(F.col("m"), ["own", "shared"], "own", ("fs",)).alias("s")).collect()} == want
+
+
+CONTAINERS = {
+    "src/parsers/ts.ts": "Analysis Layer", "PARSERS/x.ts": "Analysis Layer", "src/analyzer.ts": "Analysis Layer", "src/symbols.ts": "Analysis Layer", "lib/extraction.ts": "Analysis Layer",
+    "src/seed-writer.ts": "Storage Layer", "src/cache/lru.ts": "Storage Layer", "x/parquet.ts": "Storage Layer", "src/hub/seeds/a.ts": "Federation Layer", "manifest.ts": "Federation Layer", "cross-repo.ts": "Federation Layer",
+    "src/commands/run.ts": "API Layer", "mcp.ts": "API Layer", "src/handlers/a.ts": "API Layer", "src/rules/list.ts": "Rules Layer", "rule-engine.ts": "Rules Layer", "src/views/page.ts": "Views Layer", "diagram.ts": "Views Layer", "src/main.ts": "Other", "rules/list.ts": "Other",
+}
+
+
+def test_containers_of_paths(spark):
+    got = rules.grouped(spark.createDataFrame([(p,) for p in CONTAINERS], "source_file_path string"))
+    assert {r["source_file_path"]: r["container"] for r in got.collect()} == CONTAINERS
+
+
+#: domain, action, provider, file, source's name, kind and export flag, dependents -> level
+LEVELS = [
+    (("Payment", "Charge", "stripe", "src/a.ts", "pay", "function", False, 0), "critical"),
+    (("Database", "Read", None, "src/a.ts", "load", "method", False, 0), "important"),
+    (("Database", "Read", None, "src/a.ts", "load", "method", False, 7), "critical"),
+    (("Database", "Read", None, "src/a.test.ts", "load", "method", False, 0), "hidden"),
+    (("Database", "Read", None, "src/a.ts", "load", "class", True, 0), "critical"),
+    (("Observability", "Log", "console", "src/a.ts", "load", "method", False, 0), "hidden"),
+    (("Observability", "Metric", "datadog", "src/a.ts", "load", "method", False, 0), "minor"),
+    (("Other", "Do", None, "src/a.ts", "load", "method", False, 2), "important"),
+    (("Other", "Do", None, "src/utils/a.ts", "load", "method", False, 0), "minor"),
+    (("Messaging", "Send", None, "src/debug/a.ts", "load", "method", False, 0), "hidden"),
+    (("HTTP", "Call", None, "src/a.generated.ts", "load", "method", False, 0), "hidden"),
+]
+
+
+def test_levels_of_effects(spark):
+    rows = [(str(i), *x[:4], i) for i, (x, _) in enumerate(LEVELS)]
+    d = spark.createDataFrame(rows, "source_entity_id string, domain string, action string, provider string, source_file_path string, n int")
+    nodes = spark.createDataFrame([(str(i), x[4], x[5], x[6]) for i, (x, _) in enumerate(LEVELS)], "entity_id string, name string, kind string, is_exported boolean")
+    dependents = spark.createDataFrame([(str(i), x[7]) for i, (x, _) in enumerate(LEVELS) if x[7]], "source_entity_id string, dependents int")
+    got = {r["n"]: r["significance"] for r in rules.significance(d, dependents, nodes).collect()}
+    assert [got[i] for i in range(len(LEVELS))] == [level for _, level in LEVELS]
