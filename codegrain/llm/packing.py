@@ -42,18 +42,19 @@ END_ID = 1
 #: Queues that merge at once: a chunk's place takes one step for each.
 FAN = 256
 VOCABULARY = "byte_bpe_50k"
-MEMO = 300_000
+#: Rows that a worker holds as Python objects at once, and sends back in one batch.
+SLICE = 1000
 #: What the largest given target counts as.
 RATE = 1 << 24
 
 
 def tokenizer(name: str = VOCABULARY, folder: str | None = None) -> Callable[[str], bytes]:
-    """text -> little-endian uint16 ids of a byte-level BPE vocabulary, memoised by word within a Python worker.
+    """text -> little-endian uint16 ids of a byte-level BPE vocabulary.
 
-    A blank between two non-blank characters always ends a pre-token, so the
-    pieces between such blanks encode alone.  Texts with other runs of white
-    space go whole to the same vocabulary's rank coder; texts that spell a
-    special token go to the reference coder, which recognises it.
+    Texts go whole to the vocabulary's rank coder, which holds nothing from one
+    text to the next: most words of a corpus are rare, so ids kept by word cost
+    more time than they save, and memory besides.  Texts that spell a special
+    token go to the reference coder, which recognises it.
     """
     held = worker_cache(f"bpe:{folder}:{name}")
     if "encode" in held:
@@ -69,40 +70,27 @@ def tokenizer(name: str = VOCABULARY, folder: str | None = None) -> Callable[[st
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
     fast = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
     specials = tuple(t.content for t in Tokenizer.from_file(where(f"{name}.json")).get_added_tokens_decoder().values())
-    memo: dict[str, bytes | None] = {}
     pack = lambda ids: np.array(ids, "<u2").tobytes()
 
-    def piece(w: str) -> bytes | None:
-        bad = not w or w[0].isspace() or w[-1].isspace()
-        out = memo[w] = None if bad else pack(fast.encode_ordinary(" " + w))
-        return out
-
     def encode(text: str) -> bytes:
         if any(s in text for s in specials):
             if "full" not in held:  # rarely needed, and large
                 held["full"] = Tokenizer.from_file(where(f"{name}.json"))
             return pack(held["full"].encode(text, add_special_tokens=False).ids)
-        first, *rest = text.split(" ")
-        if not rest or not first or first[-1].isspace():
-            return pack(fast.encode_ordinary(text))
-        if len(memo) > MEMO:
-            memo.clear()
-        get = memo.get
-        out = [get(w, 0) for w in rest]
-        if 0 in out:
-            out = [piece(w) if x == 0 else x for w, x in zip(rest, out, strict=True)]
-        if None in out:
-            return pack(fast.encode_ordinary(text))
-        return pack(fast.encode_ordinary(first)) + b"".join(out)
+        return pack(fast.encode_ordinary(text))
 
     held["encode"] = encode
     return encode
 
 
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    return (b.slice(at, SLICE) for b in batches for at in range(0, b.num_rows, SLICE))
+
+
 def _tokenize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     encode, task, at = tokenizer(), TaskContext.get().partitionId(), {}
     end = np.array([END_ID], "<u2").tobytes()
-    for b in batches:
+    for b in _slices(batches):
         ids = [encode(t.as_py() or "") + end for t in b.column(1)]
         ns, starts = [len(x) // 2 for x in ids], []
         for s, n in zip(b.column(2).to_pylist(), ns, strict=True):
@@ -171,7 +159,7 @@ def merges(totals: list[int], rates: list[int]) -> list[list[tuple[np.ndarray, n
 def _pieces(totals: list[int], rates: list[int], window: int, quantum: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         levels = merges(totals, rates)
-        for b in batches:
+        for b in _slices(batches):
             cols: list[list[np.ndarray]] = [[] for _ in range(7)]
             nulls = []
             for doc, q, start, n, ids in zip(*(b.column(i).to_pylist() for i in range(4)), b.column(4), strict=True):

@@ -1,5 +1,7 @@
 """Sizes at which an operator goes another way: the results stay the same."""
 
+import tracemalloc
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -53,3 +55,16 @@ def test_hot_source_is_split(spark):
     docs = spark.range(3 * mixing.BUCKET_ROWS).select(F.lit(None).cast("long").alias("doc_id"), F.lit("a b c").alias("text"), F.lit("s").alias("source"))
     rows = mixing.mix(mixing.sized_documents(docs))[0]
     assert rows.agg(F.sum("taken")).first()[0] == round(1.5 * 9 * mixing.BUCKET_ROWS)
+
+
+def test_tokenizer_keeps_nothing_of_a_text():
+    """Words that come once cost a worker no memory after their text."""
+    encode = packing.tokenizer()
+    encode("a first text")
+    tracemalloc.start()
+    try:
+        for i in range(40):
+            encode(" ".join(f"w{i}x{j}" for j in range(500)))
+        assert tracemalloc.get_traced_memory()[0] < 1 << 18
+    finally:
+        tracemalloc.stop()
