@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import ctypes
 import gc
 import sys
 import tempfile
@@ -71,10 +72,34 @@ def drop_cuts(name: str | None = None, unless: DataFrame | None = None) -> None:
             return
 
 
+def trim_jvm(spark: SparkSession) -> str:
+    """jcmd's System.trim_native_heap on the driver's JVM.  By reflection, since the server's own class is not exported to callers."""
+    jvm, gateway = spark.sparkContext._jvm, spark.sparkContext._gateway
+
+    def array(kind, *values):
+        out = gateway.new_array(kind, len(values))
+        for i, v in enumerate(values):
+            out[i] = v
+        return out
+
+    named = jvm.java.lang.Class.forName
+    kinds = map(named, ("javax.management.ObjectName", "java.lang.String", "[Ljava.lang.Object;", "[Ljava.lang.String;"))
+    invoke = named("javax.management.MBeanServer").getMethod("invoke", array(jvm.java.lang.Class, *kinds))
+    commands = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand")
+    server = jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer()
+    return invoke.invoke(server, array(jvm.java.lang.Object, commands, "systemTrimNativeHeap", None, None))
+
+
 def release(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of plans that nothing refers to any more: it does so when the driver's garbage is collected."""
+    """Let Spark delete the shuffle files of plans that nothing refers to any more: it does so when the driver's garbage is collected.
+
+    What the driver's JVM and Python have freed outside the heap goes back to the system: planning leaves it scattered over the allocator's arenas.
+    """
     gc.collect()
     spark.sparkContext._jvm.System.gc()
+    for trim in (lambda: ctypes.CDLL(None).malloc_trim(0), lambda: trim_jvm(spark)):
+        with contextlib.suppress(Exception):  # not every C library and JVM can
+            trim()
 
 
 atexit.register(drop_cuts)

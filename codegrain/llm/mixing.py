@@ -92,7 +92,7 @@ def shard_counts(plan: DataFrame, n_shards: int) -> DataFrame:
 
 def slots(per_source: DataFrame, block: int = BLOCK, n_shards: int = 1) -> DataFrame:
     """(skey, shard, slot, epoch, blk, take): take words from the start of block blk of the source's stream."""
-    plan = planned(per_source, block)
+    plan = cut(planned(per_source, block), "plan")
     # a stated number of partitions: a merge by the small input's size would make all slots in one task
     p = shard_counts(plan, n_shards).join(plan.hint("merge"), "skey").repartition(n_shards, "shard", "skey")
     s = p.withColumn("slot", F.explode(F.expr("sequence(first, first + count - 1)")))
@@ -118,7 +118,7 @@ def mix(sized: DataFrame, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
     """
     n_docs, n_words = sized.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
     n_buckets, n_shards = max(1, -(-n_docs // BUCKET_ROWS)), shards_of(n_words)
-    per_source = targets(sized)
+    per_source = cut(targets(sized), "targets")  # read by three branches below: each would plan its windows anew
     d = sized.withColumns({"skey": source_key(F.col("source")), "bucket": F.pmod(F.xxhash64("doc_id", "rid"), F.lit(n_buckets))})
     sums = d.groupBy("skey", "bucket").agg(F.sum("size").alias("bucket_size"))
     base = F.sum("bucket_size").over(Window.partitionBy("skey").orderBy("bucket")) - F.col("bucket_size")

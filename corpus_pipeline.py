@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codegrain.llm import copies, mixing, nbsvm, packing, secret_scan
-from codegrain.llm.common import cut, drop_cuts, scope, table
+from codegrain.llm.common import cut, drop_cuts, release, scope, table
 
 SCOPE, RESULTS = "pipeline", "pipeline results"
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -47,10 +47,11 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def _stage(name: str, f: Callable) -> tuple[str, Callable]:
-    """What earlier stages wrote for themselves goes, unless docs still reads it; extra columns of docs are ignored, and an empty table gives an empty result."""
+    """What earlier stages wrote for themselves goes, unless docs still reads it, and so does memory that the driver no longer uses; extra columns of docs are ignored, and an empty table gives an empty result."""
 
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         drop_cuts(SCOPE, docs)
+        release(spark)
         with scope(SCOPE):
             return f(spark, docs, sf_dir)
 

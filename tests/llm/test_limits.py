@@ -68,3 +68,33 @@ def test_tokenizer_keeps_nothing_of_a_text():
         assert tracemalloc.get_traced_memory()[0] < 1 << 18
     finally:
         tracemalloc.stop()
+
+
+def test_mix_plans_its_targets_once(spark):
+    """The targets' windows are no part of the plan of the mix, which would hold them once for each branch that reads them."""
+    from codegrain.llm import mixing
+
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    for df in (mixing.mixed_documents(docs), mixing.op5_mixing(spark, SMALL)):
+        assert df._jdf.queryExecution().optimizedPlan().toString().count("Window [") <= 4
+
+
+def test_release_gives_memory_back(spark):
+    """Freed blocks between used ones go back to the system, in the driver's Python and in its JVM."""
+    import gc
+
+    from codegrain.llm.common import release, trim_jvm
+
+    def held():
+        with open("/proc/self/smaps_rollup") as f:
+            return next(int(line.split()[1]) for line in f if line.startswith("Anonymous")) / 1024
+
+    blocks = [bytes(8000) for _ in range(20_000)]
+    kept = blocks[::100]
+    del blocks
+    gc.collect()
+    before = held()
+    release(spark)
+    assert len(kept) == 200
+    assert before - held() > 100
+    assert "Trim native heap" in trim_jvm(spark)
