@@ -144,7 +144,7 @@ query("from_issues", "select 'eslint:' || repo_id || ':' || file_path || ':' ||
 query("from_checks", "select 'ci:r' || o_custkey || ':' || o_orderkey as diagnostic_id, case o_orderstatus when 'F' then 'error' when 'P' then 'warning' else 'note' end as severity, o_orderstatus = 'O' as resolved from orders")(lambda g, spark, d: hub.from_checks(_table(spark, d, "orders").select(F.concat(F.lit("r"), F.col("o_custkey").cast("string")).alias("repo_id"), F.col("o_orderkey").cast("string").alias("check_id"), F.lit("build").alias("name"), F.when(F.col("o_orderstatus") == "F", "failure").when(F.col("o_orderstatus") == "P", "timed_out").otherwise("success").alias("conclusion"), F.lit("").alias("url"))).select("diagnostic_id", "severity", "resolved"))
 query("from_violations", "select 'axe:repo:rule' || page_id % 5 || ':' || substr(sha256(url || '|main'), 1, 8) as diagnostic_id, case page_id % 5 when 0 then 'critical' when 1 then 'error' when 2 then 'warning' when 3 then 'suggestion' else 'warning' end as severity from pages")(lambda g, spark, d: hub.from_violations(_table(spark, d, "pages").select(F.lit("repo").alias("repo_id"), F.concat(F.lit("rule"), (F.col("page_id") % 5).cast("string")).alias("rule_id"), F.element_at(F.array(*map(F.lit, ("critical", "serious", "moderate", "minor", "odd"))), (F.col("page_id") % 5 + 1).cast("int")).alias("impact"), F.col("url").alias("page"), F.lit("main").alias("target"))).select("diagnostic_id", "severity"))
 query("top_issues", "select file_path as rule_id, count(*) as count from diagnostics group by 1 order by count desc, 1 limit 10", "diagnostics")(lambda g, *_: hub.top_issues(g.diagnostics.withColumnRenamed("file_path", "rule_id")))
-query("merged_dependencies", "select 'p' || l_partkey % 40 as package, arg_max('v' || l_suppkey, l_orderkey * 10 + l_linenumber) as version, count(*) as mentions from lineitem group by 1")(lambda g, spark, d: hub.merged_dependencies(_table(spark, d, "lineitem").select(F.concat(F.lit("p"), (F.col("l_partkey") % 40).cast("string")).alias("package"), F.concat(F.lit("v"), F.col("l_suppkey").cast("string")).alias("version"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("order"))))
+query("merged_dependencies", "select 'p' || l_partkey % 40 as package, arg_max('v' || l_suppkey, l_orderkey * 10 + l_linenumber) as version, count(*) as mentions from lineitem group by 1")(lambda g, spark, d: hub.merged_dependencies(_table(spark, d, "lineitem").select(F.concat(F.lit("p"), (F.col("l_partkey") % 40).cast("string")).alias("package"), F.concat(F.lit("v"), F.col("l_suppkey").cast("string")).alias("version"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("order"), F.struct("_metadata.file_path", "_metadata.row_index").alias("at"))))
 _SIBLINGS = ["src1", "src", "de", "src2", "web"]
 query("cross_repo_needs", """with u as (select source_file_path, imported_symbol, module_specifier, case when module_specifier like '@%' then split_part(module_specifier, '/', 1) || '/' || split_part(module_specifier, '/', 2) else split_part(module_specifier, '/', 1) end as p from external_refs where not is_resolved and module_specifier not like '.%' and module_specifier not like '/%' and module_specifier not like 'node:%'),
 m as (select *, case when p = 'src1' or p like '%/src1' or p like 'src1-%' or p like '%-src1' then 'src1' when p = 'src' or p like '%/src' or p like 'src-%' or p like '%-src' then 'src' when p = 'de' or p like '%/de' or p like 'de-%' or p like '%-de' then 'de' when p = 'src2' or p like '%/src2' or p like 'src2-%' or p like '%-src2' then 'src2' end as target_repo from u)
