@@ -11,6 +11,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _WRITTEN: list[tuple[SparkSession, str]] = []
 
@@ -42,6 +43,20 @@ def united(parts: list[DataFrame]) -> DataFrame:
     return spark.read.schema(parts[0].schema).parquet(*paths) if paths else parts[0]
 
 
+def hashed(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """rows with _h, a hash of the keys, unless they have it.
+
+    Ids share long prefixes, so sorts compare them slowly; led by _h, sorts and merge joins decide by one number and read the keys only where it is equal.
+    """
+    return rows if "_h" in rows.columns else rows.withColumn("_h", F.xxhash64(*keys))
+
+
+def partitions(df: DataFrame, mb: int = 16) -> int:
+    """Tasks for df's rows: one for so many MB of its plan's estimated size, the session's count at least; a count that is given is not coalesced."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(size // (mb << 20), 10_000))
+
+
 def drop_written() -> None:
     """Delete what was written; runs at exit."""
     while _WRITTEN:
