@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codegrain.operators.traversal import reachable
+from codegrain.sources.written import partitions
 
 ATTRIBUTES = ("name", "kind", "file_path", "visibility", "documentation", "type_signature")
 
@@ -20,8 +21,17 @@ def edge_datoms(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("source_entity_id").alias("e"), F.concat(F.lit(":edge/"), "edge_type").alias("a"), F.col("target_entity_id").alias("v"))
 
 
+def _by_entity(datoms: DataFrame, *more: str) -> DataFrame:
+    """(e, more, n): rows of each entity, dealt by entity to as many tasks as the input asks for.
+
+    Ids compress to a few bytes, so tasks sized by their shuffled bytes would hold millions of them at once.
+    """
+    some = datoms.select("e", *more)
+    return some.repartition(partitions(some), "e").groupBy("e", *more).agg(F.count("*").alias("n"))
+
+
 def attribute_counts(datoms: DataFrame) -> DataFrame:
-    return datoms.groupBy("a").agg(F.count("*").alias("datoms"), F.countDistinct("e").alias("entities"))
+    return _by_entity(datoms, "a").groupBy("a").agg(F.sum("n").alias("datoms"), F.count("e").alias("entities"))
 
 
 def entity(datoms: DataFrame, e: str) -> DataFrame:
@@ -50,7 +60,7 @@ def ref_datoms(refs: DataFrame) -> DataFrame:
 
 def load_counts(**families: DataFrame) -> DataFrame:
     """(family, datoms, entities) of every family given."""
-    parts = [df.agg(F.count("*").alias("datoms"), F.countDistinct("e").alias("entities")).select(F.lit(n).alias("family"), "datoms", "entities") for n, df in families.items()]
+    parts = [_by_entity(df).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("datoms"), F.count("e").alias("entities")).select(F.lit(n).alias("family"), "datoms", "entities") for n, df in families.items()]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

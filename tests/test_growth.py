@@ -13,3 +13,12 @@ def test_sorts_are_led_by_a_hash(spark):
     rows = spark.range(100).selectExpr("cast(id as string) k", "id v", "false is_deleted").hint("merge")
     for df in (overlay.overlay(rows, rows, ["k"]),):
         assert "hashpartitioning(_h" in plan(df)
+
+
+def test_counts_of_entities_are_dealt_by_entity(spark):
+    rows = spark.createDataFrame([("a", "x", "1"), ("a", "y", "1"), ("b", "x", "1"), (None, "x", "1"), ("b", None, "1")], "e string, a string, v string")
+    assert [tuple(r) for r in datoms.stats(datoms.asserted(rows, rows)).collect()] == [(10, 2, 2)]
+    assert [tuple(r) for r in datoms.load_counts(f=rows, none=rows.limit(0)).orderBy("family").collect()] == [("f", 5, 2), ("none", 0, 0)]
+    assert sorted(map(tuple, datoms.attribute_counts(rows).collect()), key=str) == sorted([("x", 3, 2), ("y", 1, 1), (None, 1, 1)], key=str)
+    for df in (datoms.load_counts(f=rows), datoms.attribute_counts(rows)):
+        assert "REPARTITION_BY_NUM" in plan(df)
