@@ -69,7 +69,8 @@ def load_counts(**families: DataFrame) -> DataFrame:
 
 def stats(datoms: DataFrame) -> DataFrame:
     """One row: all datoms, repeated ones too, entities and attributes."""
-    return datoms.agg(F.count("*").alias("datoms"), F.countDistinct("e").alias("entities"), F.countDistinct("a").alias("attributes"))
+    kinds = datoms.groupBy("a").agg(F.count("*").alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("datoms"), F.count("a").alias("attributes"))
+    return kinds.crossJoin(_by_entity(datoms).agg(F.count("e").alias("entities"))).select("datoms", "entities", "attributes")
 
 
 def asserted(datoms: DataFrame, more: DataFrame) -> DataFrame:

@@ -20,5 +20,5 @@ def test_counts_of_entities_are_dealt_by_entity(spark):
     assert [tuple(r) for r in datoms.stats(datoms.asserted(rows, rows)).collect()] == [(10, 2, 2)]
     assert [tuple(r) for r in datoms.load_counts(f=rows, none=rows.limit(0)).orderBy("family").collect()] == [("f", 5, 2), ("none", 0, 0)]
     assert sorted(map(tuple, datoms.attribute_counts(rows).collect()), key=str) == sorted([("x", 3, 2), ("y", 1, 1), (None, 1, 1)], key=str)
-    for df in (datoms.load_counts(f=rows), datoms.attribute_counts(rows)):
+    for df in (datoms.stats(rows), datoms.load_counts(f=rows), datoms.attribute_counts(rows)):
         assert "REPARTITION_BY_NUM" in plan(df)
