@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from codegrain.sources.written import written
+
 LEVELS = ("counts", "summary", "details")
 
 
@@ -208,9 +210,10 @@ def usage_examples(nodes: DataFrame, file: str, ending: str = ".tsx", kind: str
 
 def fix_context(nodes: DataFrame, edges: DataFrame, file: str, limit: int = 50) -> DataFrame:
     """What the symbols of a file lead to: at most limit distinct targets, known ones with name, kind and file."""
-    own = nodes.filter(F.col("file_path") == file).select(F.col("entity_id").alias("source_entity_id"))
-    targets = edges.join(own, "source_entity_id", "left_semi").select("target_entity_id").distinct().orderBy("target_entity_id").limit(limit)
-    return targets.join(nodes.select(F.col("entity_id").alias("target_entity_id"), "name", "kind", "file_path"), "target_entity_id", "left")
+    own = written(nodes.filter(F.col("file_path") == file).select(F.col("entity_id").alias("source_entity_id")))
+    targets = written(edges.join(own, "source_entity_id", "left_semi").select("target_entity_id").distinct().orderBy("target_entity_id").limit(limit))
+    known = nodes.select(F.col("entity_id").alias("target_entity_id"), "name", "kind", "file_path").join(F.broadcast(targets), "target_entity_id", "left_semi")  # at most limit ids
+    return targets.join(known, "target_entity_id", "left")
 
 
 def violations_where(effects: DataFrame, limit: int = 100, file: str | None = None, **wanted: str) -> DataFrame:

@@ -22,3 +22,11 @@ def test_counts_of_entities_are_dealt_by_entity(spark):
     assert sorted(map(tuple, datoms.attribute_counts(rows).collect()), key=str) == sorted([("x", 3, 2), ("y", 1, 1), (None, 1, 1)], key=str)
     for df in (datoms.stats(rows), datoms.load_counts(f=rows), datoms.attribute_counts(rows)):
         assert "REPARTITION_BY_NUM" in plan(df)
+
+
+def test_fix_context_looks_up_few_nodes(spark):
+    nodes = spark.createDataFrame([("a", "A", "function", "f.ts"), ("b", "B", "function", "g.ts")], "entity_id string, name string, kind string, file_path string").hint("merge")
+    edges = spark.createDataFrame([("a", "b"), ("a", "c"), ("b", "a")], "source_entity_id string, target_entity_id string")
+    out = symbols.fix_context(nodes, edges, "f.ts")
+    assert sorted(map(tuple, out.select("target_entity_id", "name").collect())) == [("b", "B"), ("c", None)]
+    assert "BroadcastHashJoin" in plan(out)
