@@ -1,7 +1,8 @@
 """Bounded graph traversal, one written level at a time.
 
-Every level joins the frontier with the edges once, is written to the shared
-folder and ends the walk when it is empty, so plans keep their size at any
+The ends of the edges are written to the shared folder once, as levels would
+build the edge table anew.  Every level joins the frontier with them once, is
+written too and ends the walk when it is empty, so plans keep their size at any
 depth.  Path traversals (dependencies, call graphs) follow simple paths; visited
 traversals (reachable, affected, importers) keep each node once, at its least
 depth.
@@ -15,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codegrain.operators.symbols import LEVELS, check_range, named_edges, repo_of
-from codegrain.sources.written import united, written
+from codegrain.sources.written import hashed, united, written
 
 MAX_DEPTH = 10
 
@@ -27,6 +28,11 @@ def _oriented(edges: DataFrame, edge_types: list[str] | None, reverse: bool) ->
     return edges.select(F.col(a).alias("here"), F.col(b).alias("there"), "edge_type")
 
 
+def _onward(hop: DataFrame, frontier: DataFrame, how: str = "inner") -> DataFrame:
+    """Hops from a frontier of here."""
+    return hashed(hop, ["here"]).join(hashed(frontier, ["here"]), ["_h", "here"], how).drop("_h")
+
+
 def _first(start: DataFrame | list[str], hop: DataFrame) -> DataFrame:
     """Hops from start; a list of ids filters the scan, a table of entity_id is joined."""
     return hop.filter(F.col("here").isin(start)) if isinstance(start, list) else hop.join(start.select(F.col("entity_id").alias("here")).distinct(), "here", "left_semi")
@@ -44,12 +50,12 @@ def _met(start: DataFrame | list[str], hop: DataFrame, depth: int) -> DataFrame:
     first = _first(start, hop).select("here", "there", "edge_type", F.lit(1).alias("depth")).distinct()
     if depth == 1:
         return first
-    found = [written(first)]
+    found, hop = [written(first)], written(hop)
     fresh = found[0].select(F.col("there").alias("node"), F.array("there").alias("on")).distinct()
     begin = hop.sparkSession.createDataFrame([(s,) for s in start], "node string") if isinstance(start, list) else start.select(F.col("entity_id").alias("node"))
     common = fresh.unionByName(begin.withColumn("on", F.array().cast("array<string>"))).groupBy("node").agg(F.min_by("on", F.size("on")).alias("on"))
     for d in range(2, depth + 1):
-        level = written(fresh.select(F.col("node").alias("here"), "on").join(hop, "here").filter(~F.array_contains("on", F.col("there"))))
+        level = written(_onward(hop, fresh.select(F.col("node").alias("here"), "on")).filter(~F.array_contains("on", F.col("there"))))
         if level.isEmpty():
             break
         found.append(level.select("here", "there", "edge_type", F.lit(d).alias("depth")))
