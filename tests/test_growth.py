@@ -9,6 +9,17 @@ def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
+def test_upsert_keeps_one_row_of_keys_without_news(spark):
+    old = spark.createDataFrame([("a", 1, "x"), ("a", 2, "y"), ("b", 1, "z"), (None, 1, "n")], "k string, age int, v string")
+    new = spark.createDataFrame([("b", 1, "w"), (None, 2, "m")], "k string, age int, v string")
+    assert sorted(map(str, overlay.upsert(old, new, ["k"], F.col("age")).select("k", "v").collect())) == sorted(map(str, spark.createDataFrame([("a", "y"), ("b", "w"), (None, "m")], "k string, v string").collect()))
+
+
+def test_upsert_is_one_shuffle(spark):
+    old = spark.range(100).selectExpr("cast(id as string) k", "id age")
+    assert plan(overlay.upsert(old, old, ["k"], F.col("age"))).count("Exchange hash") == 1
+
+
 def test_sorts_are_led_by_a_hash(spark):
     rows = spark.range(100).selectExpr("cast(id as string) k", "id v", "false is_deleted").hint("merge")
     for df in (overlay.overlay(rows, rows, ["k"]),):
