@@ -22,7 +22,7 @@ def test_upsert_is_one_shuffle(spark):
 
 def test_sorts_are_led_by_a_hash(spark):
     rows = spark.range(100).selectExpr("cast(id as string) k", "id v", "false is_deleted").hint("merge")
-    for df in (overlay.overlay(rows, rows, ["k"]),):
+    for df in (overlay.overlay(rows, rows, ["k"]), overlay.diff(rows, rows, ["k"], ["v"])):
         assert "hashpartitioning(_h" in plan(df)
 
 
