@@ -100,5 +100,7 @@ def unresolved_edges(edges: DataFrame, edge_type: str) -> DataFrame:
 def resolve_edges(edges: DataFrame, found: DataFrame, edge_type: str) -> DataFrame:
     """Edges of one type with targets replaced where found (source_entity_id, target_entity_id, resolved_id) has one; all others stay."""
     keys = ["source_entity_id", "target_entity_id"]
-    best = found.groupBy(*keys).agg(F.min("resolved_id").alias("_to")).withColumn("edge_type", F.lit(edge_type))
-    return edges.join(best, [*keys, "edge_type"], "left").withColumn("target_entity_id", F.coalesce("_to", "target_entity_id")).drop("_to")
+    mine = F.coalesce(F.col("edge_type") == edge_type, F.lit(False))
+    best = first_of(found.select(*keys, "resolved_id").filter("resolved_id is not null"), keys, F.asc("resolved_id")).withColumnRenamed("resolved_id", "_to")
+    met = hashed(edges.filter(mine), keys).join(best, ["_h", *keys], "left").withColumn("target_entity_id", F.coalesce("_to", "target_entity_id")).drop("_h", "_to")
+    return met.unionByName(edges.filter(~mine))

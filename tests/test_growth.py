@@ -26,6 +26,14 @@ def test_sorts_are_led_by_a_hash(spark):
         assert "hashpartitioning(_h" in plan(df)
 
 
+def test_resolved_edges_of_other_types_are_not_shuffled(spark):
+    edges = spark.createDataFrame([("a", "b", "CALLS"), ("a", "b", "EXTENDS"), ("c", "d", None), (None, "b", "CALLS")], "source_entity_id string, target_entity_id string, edge_type string")
+    found = spark.createDataFrame([("a", "b", "z"), ("a", "b", "y"), ("a", "b", None), (None, "b", "x")], "source_entity_id string, target_entity_id string, resolved_id string")
+    out = overlay.resolve_edges(edges, found, "CALLS")
+    assert sorted(map(str, map(tuple, out.select(*edges.columns).collect()))) == sorted(map(str, [("a", "y", "CALLS"), ("a", "b", "EXTENDS"), ("c", "d", None), (None, "b", "CALLS")]))
+    assert "SortAggregate" not in plan(out)
+
+
 def test_counts_of_entities_are_dealt_by_entity(spark):
     rows = spark.createDataFrame([("a", "x", "1"), ("a", "y", "1"), ("b", "x", "1"), (None, "x", "1"), ("b", None, "1")], "e string, a string, v string")
     assert [tuple(r) for r in datoms.stats(datoms.asserted(rows, rows)).collect()] == [(10, 2, 2)]
