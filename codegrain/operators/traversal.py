@@ -148,12 +148,21 @@ def reachable(edges: DataFrame, start: DataFrame, depth: int = MAX_DEPTH, edge_t
     keep: a condition on entity_id; nodes outside it are not reached and not walked through.
     """
     check_range("depth", depth, 1, MAX_DEPTH)
+    return _reached(_ends(edges, depth, edge_types, reverse), start, depth, keep)
+
+
+def _ends(edges: DataFrame, depth: int, edge_types: list[str] | None, reverse: bool) -> DataFrame:
     hop = _oriented(edges, edge_types, reverse).select("here", "there")
+    return written(hop) if depth > 1 else hop
+
+
+def _reached(hop: DataFrame, start: DataFrame, depth: int, keep: Column | None = None) -> DataFrame:
+    key = ["entity_id"]
     seen = [written(start.select("entity_id", F.lit(0).alias("depth")).distinct())]
     for d in range(1, depth + 1):
-        near = hop.join(seen[-1].select(F.col("entity_id").alias("here")), "here", "left_semi" if d == 1 else "inner").select(F.col("there").alias("entity_id"))
+        near = _onward(hop, seen[-1].select(F.col("entity_id").alias("here")), "left_semi").select(F.col("there").alias("entity_id"))
         near = near.filter(keep) if keep is not None else near
-        fresh = near.distinct().join(united(seen).select("entity_id"), "entity_id", "left_anti").select("entity_id", F.lit(d).alias("depth"))
+        fresh = hashed(near, key).distinct().join(hashed(united(seen).select("entity_id"), key), ["_h", *key], "left_anti").select("entity_id", F.lit(d).alias("depth"))
         seen.append(written(fresh))
         if seen[-1].isEmpty():
             break
