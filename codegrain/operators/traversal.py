@@ -191,8 +191,11 @@ def affected(edges: DataFrame, changed: DataFrame, depth: int = MAX_DEPTH, inclu
         keep = keep & repo.isin(include)
     if exclude:
         keep = keep & ~repo.isin(exclude)
-    found = reachable(edges, changed, depth, reverse=True, keep=keep if include or exclude else None)
-    return found.withColumns({"repo": repo, "is_direct": F.col("depth") == 1})
+    return _with_repo(reachable(edges, changed, depth, reverse=True, keep=keep if include or exclude else None))
+
+
+def _with_repo(found: DataFrame) -> DataFrame:
+    return found.withColumns({"repo": repo_of(F.col("entity_id")), "is_direct": F.col("depth") == 1})
 
 
 def affected_repos(found: DataFrame) -> DataFrame:
@@ -202,9 +205,10 @@ def affected_repos(found: DataFrame) -> DataFrame:
 
 def affected_by_file(edges: DataFrame, nodes: DataFrame, file: str, depth: int = MAX_DEPTH) -> DataFrame:
     """Dependents of the entities in a file that edges lead to."""
-    there = nodes.filter(F.col("file_path") == file).select("entity_id")
-    used = edges.select(F.col("target_entity_id").alias("entity_id")).join(there, "entity_id", "left_semi").distinct()
-    return affected(edges, used, depth)
+    check_range("depth", depth, 1, MAX_DEPTH)
+    there = written(nodes.filter(F.col("file_path") == file).select(F.col("entity_id").alias("here")))
+    hop = _ends(edges, depth, None, True)
+    return _with_repo(_reached(hop, _onward(hop, there, "left_semi").select(F.col("here").alias("entity_id")).distinct(), depth))
 
 
 def symbol_importers(refs: DataFrame, nodes: DataFrame, symbols: DataFrame, depth: int = 1) -> DataFrame:

@@ -43,6 +43,23 @@ def test_counts_of_entities_are_dealt_by_entity(spark):
         assert "REPARTITION_BY_NUM" in plan(df)
 
 
+def test_walks_build_the_edges_once(spark):
+    built = spark.sparkContext.accumulator(0)
+
+    def seen(a):
+        built.add(1)
+        return a
+
+    pairs = [("a", "b"), ("b", "c"), ("c", "d"), ("d", "e"), ("x", "y")]
+    edges = spark.createDataFrame(pairs, "s string, target_entity_id string").select(F.udf(seen)("s").alias("source_entity_id"), "target_entity_id", F.lit("CALLS").alias("edge_type"))
+    nodes = spark.createDataFrame([("e", "f.ts"), ("x", "g.ts")], "entity_id string, file_path string")
+    start = spark.createDataFrame([("a",)], "entity_id string")
+    for walk, rows in ((lambda: traversal.reachable(edges, start), 4), (lambda: traversal.graph_deps(edges, start, 10), 4), (lambda: traversal.affected_by_file(edges, nodes, "f.ts"), 4)):
+        before = built.value
+        assert walk().count() == rows
+        assert built.value - before <= 3 * len(pairs)
+
+
 def test_fix_context_looks_up_few_nodes(spark):
     nodes = spark.createDataFrame([("a", "A", "function", "f.ts"), ("b", "B", "function", "g.ts")], "entity_id string, name string, kind string, file_path string").hint("merge")
     edges = spark.createDataFrame([("a", "b"), ("a", "c"), ("b", "a")], "source_entity_id string, target_entity_id string")
